@@ -81,7 +81,8 @@ class Model:
 
 
 def _prepared(docs: DataFrame, text: str):
-    return F.lower(F.coalesce(F.col(text), F.lit("")))
+    """Lower-cased words of letters alone: symbols, digits and shouting say nothing about the language."""
+    return F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{M}]+", " "))
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", clusters: int = 4, sample_per_language: int = 600, slack: float = 0.5) -> Model:
