@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, language, lm, mixing, pii, quality
+from . import decontaminate, html_text, jaccard_join, language, lm, mixing, neighbours, pii, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -63,6 +68,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(docs, "held_out")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that also start earlier."""
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -70,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_pii, op4_jaccard_join, op5_mixing, op7_quality, op8_html_text, op9_lm_score, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_pii, op4_jaccard_join, op5_mixing, op6_neighbours, op7_quality, op8_html_text, op9_lm_score, op10_suffix_dedup, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
