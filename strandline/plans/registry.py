@@ -1,4 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import catalog
+
+QUERIES = dict(catalog.QUERIES)
+ORACLE = dict(catalog.ORACLE)
