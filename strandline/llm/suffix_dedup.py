@@ -5,7 +5,8 @@ k-grams with the least hash in the string. Spark groups anchors by hash; an anch
 string that holds it) stand at an earlier place is covered at once. What is left are anchors that repeat in different
 surroundings, the edges of repeated passages. The suffixes there are sorted in each task: multikey quicksort, eight
 bytes a step, to a shallow depth, then blind tries for groups that are still equal. Of each class of strings equal
-over the whole length the earliest goes on to the comparison between tasks.
+over the whole length the earliest goes on to the comparison between tasks. A string that holds an anchor holds half
+of the bytes around it on one side at least, so only anchors that share such a half with another are open.
 """
 
 from __future__ import annotations
@@ -119,10 +120,11 @@ def equal_classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: in
     """Classes of two or more starts whose strings of `length` bytes are equal, each in the order of starts."""
     order = np.arange(len(starts))
     group = np.zeros(len(starts), np.int64)
-    places = np.arange(8)
     for depth in range(0, min(shallow, length) - 7, 8):
         at = starts[order]
-        word = data[at[:, None] + depth + places].view(">u8")[:, 0].astype(np.uint64)
+        word = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            word = word << np.uint64(8) | data[at + (depth + k)]
         sort = np.lexsort((order, word, group))
         order, word, group = order[sort], word[sort], group[sort]
         new = np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])] if len(order) else np.zeros(0, bool)
@@ -143,12 +145,20 @@ def equal_classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: in
                 yield np.array(leaf)
 
 
-_MARKS = "doc long, tie long, key long, around long, lo long, hi long"
-_SCHEMA = pa.schema([(x, pa.int64()) for x in ("doc", "tie", "key", "around", "lo", "hi")])
+_MARKS = "doc long, tie long, key long, around long, left long, right long, lo long, hi long"
+_SCHEMA = pa.schema([(x, pa.int64()) for x in ("doc", "tie", "key", "around", "left", "right", "lo", "hi")])
 
 
-def _batch(doc, tie, key, around, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in (doc, tie, key, around, lo, hi)], schema=_SCHEMA)
+def _batch(doc, tie, key, around, left, right, lo, hi) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in (doc, tie, key, around, left, right, lo, hi)], schema=_SCHEMA)
+
+
+def _side(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16 bits (never 0) of the hash at each place, 0 where there is none."""
+    inside = (at >= 0) & (at < len(hashes))
+    out = np.zeros(len(at), np.int64)
+    out[inside] = (hashes[at[inside]] % np.uint64(65535)).astype(np.int64) + 1
+    return out
 
 
 def _merged_by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +184,7 @@ def _anchor_rows(length: int):
             for i, j in chunks(offsets):
                 base = offsets[i]
                 part = data[base : offsets[j]]
-                grams, wide = rolling(part, GRAM), rolling(part, length)
+                grams, wide, half = rolling(part, GRAM), rolling(part, length), rolling(part, GRAM + reach // 2)
                 for k in range(i, j):
                     a, b = offsets[k] - base, offsets[k + 1] - base
                     if b - a < length:
@@ -183,19 +193,20 @@ def _anchor_rows(length: int):
                     left, right = np.maximum(at - reach, 0), np.minimum(at, b - a - length)
                     # the surroundings are all strings from `left` to `right`: their two outer hashes and where they lie
                     around = mix(wide[a + left] * np.uint64(3) + wide[a + right] + ((at - left) * 1024 + (right - left)).astype(np.uint64))
-                    found.append((np.full(len(at), k), grams[a + at], around, at, left, right + length))
+                    own = half[a : b - GRAM - reach // 2 + 1]
+                    found.append((np.full(len(at), k), grams[a + at], around, at, left, right + length, _side(own, at - reach // 2), _side(own, at)))
             if not found:
                 continue
-            place, key, around, at, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            place, key, around, at, left, right, before, behind = (np.concatenate(x) for x in zip(*found, strict=True))
             rank = np.lexsort((ties, docs))
             ranks = np.empty(len(docs), np.int64)
             ranks[rank] = np.arange(len(docs))
             order = np.lexsort((at, ranks[place], around, key))
             same = np.r_[False, (key[order][1:] == key[order][:-1]) & (around[order][1:] == around[order][:-1])]
             first, again = order[~same], order[same]
-            yield _batch(docs[place[first]], ties[place[first]], key[first].view(np.int64), around[first].view(np.int64), at[first], np.zeros(len(first)))
+            yield _batch(docs[place[first]], ties[place[first]], key[first].view(np.int64), around[first].view(np.int64), before[first], behind[first], at[first], np.zeros(len(first)))
             d, lo, hi = _merged_by_doc(place[again], left[again], right[again])
-            yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), lo, hi)
+            yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), np.zeros(len(d)), np.zeros(len(d)), lo, hi)
 
     return run
 
@@ -212,16 +223,20 @@ def _edge_rows(length: int):
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             data, offsets = buffers(batch.column("text"))
             anchors = batch.column("anchors")
-            for i, j in chunks(offsets, 8 << 20):
+            for i, j in chunks(offsets, 1 << 20):
                 base = offsets[i]
                 part = data[base : offsets[j]]
                 starts, owner = [], []
                 for k in range(i, j):
-                    at = anchors[k].values.to_numpy()
+                    packed = anchors[k].values.to_numpy()
+                    at, sides = packed >> 2, packed & 3
                     size = offsets[k + 1] - offsets[k]
                     mark = np.zeros(size + 1, np.int64)
-                    np.add.at(mark, np.maximum(at - reach, 0), 1)
-                    np.add.at(mark, np.minimum(at, size - length) + 1, -1)
+                    lowest = np.maximum(np.where(sides & 1, at - reach, at - reach // 2), 0)
+                    highest = np.minimum(np.where(sides & 2, at, at - reach // 2), size - length)
+                    some = lowest <= highest
+                    np.add.at(mark, lowest[some], 1)
+                    np.add.at(mark, highest[some] + 1, -1)
                     own = np.flatnonzero(np.cumsum(mark)[:size] > 0)
                     starts.append(own + offsets[k] - base)
                     owner.append(np.full(len(own), k))
@@ -232,9 +247,9 @@ def _edge_rows(length: int):
                 keys = rolling(part, length)
                 first, again = np.flatnonzero(~later), np.flatnonzero(later)
                 where = start - (offsets[own] - base)
-                yield _batch(docs[own[first]], ties[own[first]], keys[start[first]].view(np.int64), np.zeros(len(first)), where[first], np.zeros(len(first)))
+                yield _batch(docs[own[first]], ties[own[first]], keys[start[first]].view(np.int64), np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first)), where[first], np.zeros(len(first)))
                 d, lo, hi = _merged_by_doc(own[again], where[again], where[again] + length)
-                yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), lo, hi)
+                yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), np.zeros(len(d)), np.zeros(len(d)), lo, hi)
 
     return run
 
@@ -263,23 +278,49 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     rows = keyed(docs, doc_id, text).select("doc", "tie", F.col(text).alias("text")).where(F.octet_length("text") >= length)
     marks = rows.mapInArrow(_anchor_rows(length), _MARKS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = Window.partitionBy("key")
-    place = group.orderBy("around", "doc", "tie", "lo")
+    place = Window.partitionBy("key").orderBy("around", "doc", "tie", "lo")
+
+    def shared(side: str):
+        w = Window.partitionBy("key", side)
+        return (F.col(side) > 0) & (F.min("around").over(w) < F.max("around").over(w))
+
     marks = marks.repartition(parts, "key").select(
-        "*", (F.lag("around").over(place) == F.col("around")).alias("again"), (F.min("around").over(group) < F.max("around").over(group)).alias("varied")
+        "doc", "tie", "lo", "hi", F.coalesce(F.lag("around").over(place) == F.col("around"), F.lit(False)).alias("again"), shared("left").cast("long").alias("l"), shared("right").cast("long").alias("r")
     )
-    marks = staged(marks.where("hi > 0 or again or varied").select("doc", "tie", "lo", "hi", (F.col("hi") == 0).alias("anchor"), F.coalesce("again", F.lit(False)).alias("again")))
+    marks = staged(marks.where("hi > 0 or again or l + r > 0"))
     size = rows.select("doc", "tie", F.octet_length("text").cast("long").alias("size"))
-    whole = marks.where("not anchor").select("doc", "tie", "lo", "hi")
-    covered = marks.where("anchor and again").join(size, ["doc", "tie"]).select("doc", "tie", F.greatest(F.col("lo") - (length - GRAM), F.lit(0)).alias("lo"), F.least(F.col("lo") + length, "size").alias("hi"))
-    open_ = marks.where("anchor and not again").groupBy("doc", "tie").agg(F.collect_list("lo").alias("anchors"))
-    edges = rows.join(open_, ["doc", "tie"]).select("doc", "tie", "text", "anchors").mapInArrow(_edge_rows(length), _MARKS)
+    whole = marks.where("hi > 0").select("doc", "tie", "lo", "hi")
+    covered = marks.where("hi = 0 and again").join(size, ["doc", "tie"]).select("doc", "tie", F.greatest(F.col("lo") - (length - GRAM), F.lit(0)).alias("lo"), F.least(F.col("lo") + length, "size").alias("hi"))
+    open_ = marks.where("hi = 0 and not again").groupBy("doc", "tie").agg(F.collect_list(F.col("lo") * 4 + F.col("l") + 2 * F.col("r")).alias("anchors"))
+    likely = members(marks.where("hi = 0 and not again"))
+    edges = rows.where(likely("doc", "tie")).join(open_, ["doc", "tie"]).select("doc", "tie", "text", "anchors").mapInArrow(_edge_rows(length), _MARKS)
     order = Window.partitionBy("key").orderBy("hi", "doc", "tie", "lo")
     edges = edges.repartition(parts, "key").select("doc", "tie", "lo", "hi", F.row_number().over(order).alias("nth"))
     edges = edges.where("hi > 0 or nth > 1").select("doc", "tie", "lo", F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.col("lo") + length).alias("hi"))
     return whole.unionByName(covered).unionByName(edges)
 
 
+def members(marks: DataFrame, buckets: int = 1024):
+    """A column function of (doc, tie): false only for documents without marks.
+
+    It is a bitmap of buckets * 32768 hashed bits (4 MB), whatever the input's size, and keeps texts that have nothing to
+    join out of a shuffle. The more documents have marks, the less it leaves out; results do not depend on it.
+    """
+    spot = F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets * 32768))
+    rows = marks.select(F.floor(spot / 32768).cast("int").alias("bucket"), F.pmod(spot, F.lit(32768)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros((buckets, 4096), np.uint8)
+    for r in rows:
+        bits[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    held = marks.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def probe(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy()
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    udf = F.arrow_udf(probe, "boolean")
+    return lambda doc, tie: udf(F.pmod(F.xxhash64(doc, tie), F.lit(buckets * 32768)))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """docs with doc (the id, null first) and tie: 0, or the text's hash where some id repeats."""
     ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"))
@@ -294,7 +335,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     equal in both are one document and get the same answer. Null and empty texts, and those shorter than length, keep
     everything. Strings are compared between tasks by 64-bit hashes, inside a task byte by byte.
     """
-    found = spans(docs, doc_id, text, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = staged(spans(docs, doc_id, text, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     rows = keyed(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), "doc", "tie", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    likely = members(found)
     cut = F.arrow_udf(_cut, _CUT).asNondeterministic()
-    return rows.join(found, ["doc", "tie"], "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("cut"))
+    some = rows.where(likely("doc", "tie")).join(found, ["doc", "tie"], "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("cut"))
+    intact = F.struct(F.col("text").cast("binary").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    return some.unionByName(rows.where(~likely("doc", "tie")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), intact.alias("cut")))
