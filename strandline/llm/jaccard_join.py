@@ -77,16 +77,35 @@ def _classes(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFram
     return found.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets have the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """node, text for the nodes asked for."""
     rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    texts = staged(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """node, own: how many of a text's shingles no other of these texts holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = batch.column("node").to_numpy(), list(shingle_sets(batch.column("text"), n))
+            for k in range(0, len(sets), 256):
+                part = sets[k : k + 256]
+                owner = np.repeat(nodes[k : k + 256], [len(x) for x in part])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(part).view(np.int64))], ["node", "shingle"])
+
+    single = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return single.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose shingle sets have the similarity."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
         for batch in batches:
-            keep, last, held = [], None, None
+            keep = []
             for b, left, right in zip(batch.column("b").to_pylist(), shingle_sets(batch.column("text_a"), n), batch.column("text_b"), strict=True):
                 if b != last:
                     last, held = b, next(shingle_sets(pa.array([right.as_py()]), n))
@@ -101,30 +120,41 @@ def jaccard_groups(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9
     """For each different text with words: node (xxhash64 of the text), n_shingles, label (its component's smallest node).
 
     Two texts link when den * intersection >= num * union of their distinct n-word shingles (whole texts). Equal texts
-    are one node, so groups of copies are never expanded. Every sketch bucket first compares its members with the
-    bucket's first member; then all bucket pairs that are still in different components are compared, so no link
-    between components is lost. Null and empty texts and texts of white space have no node.
+    are one node, so groups of copies are never expanded. Among texts that share a bucket, the shingles that a text has
+    for itself are counted: they are in its symmetric difference with every other text, so texts and pairs with too
+    many of them have no link and are left out. Every bucket first compares its members with the one that has the
+    fewest of its own; then all bucket pairs still in different components are compared, so no link between components
+    is lost. Null and empty texts and texts of white space have no node.
     """
     classes = staged(_classes(docs, text, n, num, den))
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+    keyed = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy("node")
-    shared = staged(
-        keyed.select("key", "node", F.first("node").over(order).alias("lead"), F.lead("node").over(order).alias("next")).where("lead <> node or next is not null").select("key", "node", "lead")
-    )
-    stars = staged(shared.where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).count().select("a", "b"))
-    links = staged(_verified(stars, docs, text, n, num, den))
+    near = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
+    shared = staged(keyed.withColumn("near", near).where("near").select("key", "node", "n_shingles"))
+    texts = staged(_texts(shared.select("node").distinct(), docs, text))
+    own = _own_shingles(texts, n)
+    known = shared.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(den * F.col("own") <= (den - num) * F.col("n_shingles"))
+    first = Window.partitionBy("key").orderBy("own", "node")
+    known = staged(known.withColumn("lead", F.first(F.struct("node", "n_shingles", "own")).over(first)))
+
+    def possible(n_a, own_a, n_b, own_b):
+        sizes = (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)) & ((den + num) * (own_a + own_b) <= (den - num) * (n_a + n_b))
+        return sizes
+
+    stars = known.where((F.col("node") != F.col("lead.node")) & possible(F.col("n_shingles"), F.col("own"), F.col("lead.n_shingles"), F.col("lead.own")))
+    stars = staged(stars.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
+    links = staged(_verified(stars, texts, n, num, den))
     labels = components(links)
-    known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    known = known.join(labels, "node", "left").select("key", "node", "n_shingles", "own", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = staged(known.join(mixed, "key", "left_semi"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = (
-        open_.select("key", F.col("node").alias("a"), "label").join(other, "key").where("label <> label_b and a > b").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    rest = staged(rest)
+    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "own", "label")])
+    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(F.col("n_shingles"), F.col("own"), F.col("n_shingles_b"), F.col("own_b"))
+    rest = open_.join(other, (open_.key == other.key) & far).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = staged(_verified(rest, docs, text, n, num, den))
+        more = staged(_verified(rest, texts, n, num, den))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     return classes.select("node", "n_shingles").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))

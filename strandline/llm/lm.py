@@ -59,55 +59,54 @@ def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([(mix(x ^ s) % np.uint64(FEATURES)).astype(np.int64) for x, s in zip((one, one * np.uint64(3) + two, two, three), _SALTS, strict=True)])
 
 
-def log_class(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes for each token; the first row of weights is the bias."""
+def class_probabilities(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Probabilities of all classes for each token; the first row of weights is the bias."""
     z = weights[0] + weights[1 + feats[0]]
     for f in feats[1:]:
         z += weights[1 + f]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
-def _observed(feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    out = np.zeros((FEATURES + 1, CLASSES), np.float64)
-    out[0] = np.bincount(cls, minlength=CLASSES)
+def _add_observed(total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None:
+    total[0] += np.bincount(cls, minlength=CLASSES)
+    flat = total[1:].reshape(-1)
     for f in feats:
-        out[1:] += np.bincount(f * CLASSES + cls, minlength=FEATURES * CLASSES).reshape(FEATURES, CLASSES)
-    return out
+        flat += np.bincount(f * CLASSES + cls, minlength=FEATURES * CLASSES)
 
 
-def _expected(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    p = np.exp(log_class(weights, feats))
-    out = np.zeros((FEATURES + 1, CLASSES), np.float64)
-    out[0] = p.sum(axis=0)
+def _add_expected(total: np.ndarray, weights: np.ndarray, feats: np.ndarray) -> None:
+    p = class_probabilities(weights, feats)
+    total[0] += p.sum(axis=0)
     for f in feats:
-        order = np.argsort(f, kind="stable")
-        rows = f[order]
+        short = f.astype(np.uint16)
+        order = np.argsort(short, kind="stable")
+        rows = short[order]
         first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        out[1 + rows[first]] += np.add.reduceat(p[order], first, axis=0)
-    return out
+        total[1 + rows[first].astype(np.int64)] += np.add.reduceat(p[order], first, axis=0)
 
 
 def _sums(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
     """Observed (weights None) or expected feature-class counts over all texts, added up in Spark by blocks of features."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
+    step = 1 << 17 if weights is None else 1 << 13  # tokens at a time: expected counts stay in the cache
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for i, j in chunks(offsets, 1 << 18):
+            for i, j in chunks(offsets):
                 lo, hi = offsets[i], offsets[j]
                 tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
-                for at in range(0, len(tok), 1 << 16):  # a very long text in pieces of tokens, with the tokens before them
-                    begin = max(0, at - 3)
-                    part = slice(at - begin, None)
-                    inner = np.clip(bounds, begin, at + (1 << 16))
-                    inner = np.unique(inner) - begin
-                    feats = features(tok[begin : at + (1 << 16)], inner)[:, part]
-                    own = cls[at : at + (1 << 16)]
-                    add = _observed(feats, own) if held.value is None else _expected(held.value, feats)
-                    total = add if total is None else total + add
+                feats = features(tok, bounds)
+                total = np.zeros((FEATURES + 1, CLASSES)) if total is None else total
+                for at in range(0, len(tok), step):
+                    if held.value is None:
+                        _add_observed(total, feats[:, at : at + step], cls[at : at + step])
+                    else:
+                        _add_expected(total, held.value, feats[:, at : at + step])
         if total is not None:
             padded = np.zeros((-(-len(total) // BLOCK) * BLOCK, CLASSES), np.float32)
             padded[: len(total)] = total
@@ -197,7 +196,7 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
             tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
             c = count[np.searchsorted(word, tok)]
             feats = features(tok, bounds)
-            own = np.concatenate([log_class(model.value, feats[:, k : k + (1 << 16)])[np.arange(min(1 << 16, len(tok) - k)), cls[k : k + (1 << 16)]] for k in range(0, len(tok), 1 << 16)])
+            own = np.concatenate([np.log(np.maximum(np.take_along_axis(class_probabilities(model.value, feats[:, k : k + 8192]), cls[k : k + 8192, None], 1)[:, 0], 1e-30)) for k in range(0, len(tok), 8192)])
             first = bounds[:-1]
             doc = np.repeat(np.arange(j - i), np.diff(bounds))
             hist = np.bincount(doc * CLASSES + cls, minlength=(j - i) * CLASSES).reshape(j - i, CLASSES)
