@@ -4,21 +4,25 @@ Each document is the set of its distinct n-word shingles. A set is hashed into a
 shingle flips one bit; flips of shared shingles cancel, so the Hamming distance of two sketches is at most the size of
 the sets' symmetric difference. Sets linked at a similarity of num/den differ in at most (a+b)(den-num)/(den+num)
 shingles. Within a size band P is one more than that bound, so linked sets agree in a whole 64-bit part (pigeonhole):
-an equi-join on (band, part, value) finds every link. Candidates are verified on the real sets.
+an equi-join on (band, part, value) finds every link. Candidates whose whole sketches lie too far apart go; the others
+are verified on the real sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .staging import staged
-from .textbytes import mix, shingle_sets
+from .textbytes import shingle_sets
+
+#: 64-bit words of the folded sketch that bucket joins test before a pair is made.
+FOLD = 4
 
 
 class Bands:
@@ -45,36 +49,42 @@ def sketch(members: np.ndarray, parts: int) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.uint64)
 
 
-def part_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: its sketch parts in its own band, and in the next where larger partners may lie."""
-    own, keys = bands.of(len(members)), []
-    for band in (own, own + 1):
-        parts = sketch(members, bands.parts(band))
-        keys.append(mix(mix(parts ^ np.uint64(band)) + np.arange(len(parts), dtype=np.uint64)))
-    return np.concatenate(keys).view(np.int64)
+def _parts(members: np.ndarray, bands: Bands) -> tuple[int, np.ndarray, np.ndarray]:
+    """A set's band and its sketches there and in the next band, where larger partners may lie."""
+    own = bands.of(len(members))
+    return own, sketch(members, bands.parts(own)), sketch(members, bands.parts(own + 1))
+
+
+def folded(parts: np.ndarray) -> np.ndarray:
+    """A sketch XOR-folded to FOLD parts; its Hamming distances are at most those of the sketch."""
+    out = np.zeros(FOLD, np.uint64)
+    for k in range(min(FOLD, len(parts))):
+        out[k] = np.bitwise_xor.reduce(parts[k::FOLD])
+    return out
 
 
 def _classes(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """A row for each different text that has words: node, n_shingles, keys."""
+    """A row for each different text that has words: node, n_shingles, band, its sketches (low, high) and their folds."""
+
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
-            seen = set()
-            nodes, counts, keys = [], [], []
+            found = {}
             for node, members in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), n), strict=True):
-                if len(members) and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    counts.append(len(members))
-                    keys.append(part_keys(members, bands))
-            lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(lengths, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), lists], ["node", "n_shingles", "keys"])
+                if len(members) and node not in found:
+                    found[node] = (len(members), *_parts(members, bands))
+            rows = list(found.values())
+            folds = [np.concatenate([folded(r[2]), folded(r[3])]) for r in rows]
+            columns = [pa.array(list(found), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2] for r in rows]), lists([r[3] for r in rows]), lists(folds)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "band", "low", "high", "folds"])
 
     rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
-    found = rows.mapInArrow(run, "node long, n_shingles long, keys array<long>")
-    return found.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    found = rows.mapInArrow(run, "node long, n_shingles long, band int, low array<long>, high array<long>, folds array<long>")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "low", "high", "folds")])
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -83,23 +93,27 @@ def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
-    """node, own: how many of a text's shingles no other of these texts holds."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sets = batch.column("node").to_numpy(), list(shingle_sets(batch.column("text"), n))
-            for k in range(0, len(sets), 256):
-                part = sets[k : k + 256]
-                owner = np.repeat(nodes[k : k + 256], [len(x) for x in part])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(part).view(np.int64))], ["node", "shingle"])
 
-    single = texts.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").alias("own"))
+def _close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) whose whole sketches differ in no more bits than linked sets may."""
+    wanted = staged(classes.drop("folds").join(_ends(pairs), "node", "left_semi"))
+
+    def side(x: str) -> DataFrame:
+        return wanted.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "low", "high")])
+
+    left = F.when(F.col("band_a") < F.col("band_b"), F.col("high_a")).otherwise(F.col("low_a"))
+    right = F.when(F.col("band_b") < F.col("band_a"), F.col("high_b")).otherwise(F.col("low_b"))
+    apart = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & ((den + num) * apart <= (den - num) * (F.col("n_shingles_a") + F.col("n_shingles_b")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose shingle sets have the similarity."""
+    texts = staged(_texts(_ends(pairs), docs, text))
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,43 +134,65 @@ def jaccard_groups(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9
     """For each different text with words: node (xxhash64 of the text), n_shingles, label (its component's smallest node).
 
     Two texts link when den * intersection >= num * union of their distinct n-word shingles (whole texts). Equal texts
-    are one node, so groups of copies are never expanded. Among texts that share a bucket, the shingles that a text has
-    for itself are counted: they are in its symmetric difference with every other text, so texts and pairs with too
-    many of them have no link and are left out. Every bucket first compares its members with the one that has the
-    fewest of its own; then all bucket pairs still in different components are compared, so no link between components
-    is lost. Null and empty texts and texts of white space have no node.
+    are one node, so groups of copies are never expanded. Every bucket of equal sketch parts has a lead, the member with
+    the most company over all its buckets. A text is compared first with the best of its leads, then with those leads
+    that are in another component, and last buckets whose members are still in different components compare those, so
+    no link between components is lost. Pairs come to the exact comparison only if their sketches are as near as linked
+    sets' must be; a fold of the sketch is tested inside the bucket join. Null and empty texts and texts of white space
+    have no node.
     """
     classes = staged(_classes(docs, text, n, num, den))
-    keyed = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    lanes = F.array(*[F.struct(F.lit(k).cast("byte").alias("lane"), (F.col("band") + k).alias("at"), F.col(c).alias("sketch")) for k, c in enumerate(("low", "high"))])
+    parts = classes.select("node", F.explode(lanes).alias("s")).select("node", "s.lane", "s.at", F.posexplode("s.sketch").alias("part", "value"))
+    keyed = parts.select("node", "lane", F.xxhash64("at", "part", "value").alias("key"))
     order = Window.partitionBy("key").orderBy("node")
     near = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
-    shared = staged(keyed.withColumn("near", near).where("near").select("key", "node", "n_shingles"))
-    texts = staged(_texts(shared.select("node").distinct(), docs, text))
-    own = _own_shingles(texts, n)
-    known = shared.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(den * F.col("own") <= (den - num) * F.col("n_shingles"))
-    first = Window.partitionBy("key").orderBy("own", "node")
-    known = staged(known.withColumn("lead", F.first(F.struct("node", "n_shingles", "own")).over(first)))
-
-    def possible(n_a, own_a, n_b, own_b):
-        sizes = (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b)) & ((den + num) * (own_a + own_b) <= (den - num) * (n_a + n_b))
-        return sizes
-
-    stars = known.where((F.col("node") != F.col("lead.node")) & possible(F.col("n_shingles"), F.col("own"), F.col("lead.n_shingles"), F.col("lead.own")))
-    stars = staged(stars.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
-    links = staged(_verified(stars, texts, n, num, den))
+    shared = staged(keyed.withColumn("near", near).where("near").select("key", "node", "lane"))
+    company = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    folds = [f"f{k}" for k in range(FOLD)]
+    about = classes.join(company, "node").select("node", "n_shingles", "folds", "weight")
+    known = shared.join(about, "node").select("key", "node", "n_shingles", "weight", *[F.get("folds", F.col("lane") * FOLD + k).alias(f) for k, f in enumerate(folds)])
+    known = staged(known)
+    leads = known.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles", *folds)).alias("lead"))
+    known = staged(known.join(leads, "key").select("key", "node", "n_shingles", *folds, "lead"))
+
+    def possible(other: Callable[[str], Column]) -> Column:
+        """Whether sizes and folded sketches of two rows allow a link."""
+        mine, theirs = F.col("n_shingles"), other("n_shingles")
+        bits = sum((F.bit_count(F.col(f).bitwiseXOR(other(f))) for f in folds), F.lit(0))
+        return (den * F.least(mine, theirs) >= num * F.greatest(mine, theirs)) & ((den + num) * bits <= (den - num) * (mine + theirs))
+
+    def found(pairs: DataFrame) -> DataFrame | None:
+        if pairs.isEmpty():
+            return None
+        close = staged(_close(pairs, classes, num, den))
+        return None if close.isEmpty() else staged(_verified(close, docs, text, n, num, den))
+
+    def labelled(rows: DataFrame, node: str, out: str) -> DataFrame:
+        named = labels.select(F.col("node").alias("_n"), F.col("label").alias(out))
+        return rows.join(named, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce(out, F.col(node))).drop("_n")
+
+    spokes = known.where((F.col("node") != F.col("lead.node")) & possible(lambda c: F.col(f"lead.{c}")))
+    spokes = staged(spokes.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "lead.weight").distinct())
+    first = staged(spokes.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    links = found(first) or none
     labels = components(links)
-    known = known.join(labels, "node", "left").select("key", "node", "n_shingles", "own", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(known.join(mixed, "key", "left_semi"))
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "own", "label")])
-    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(F.col("n_shingles"), F.col("own"), F.col("n_shingles_b"), F.col("own_b"))
+    apart = labelled(labelled(spokes, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b")
+    second = staged(apart.join(first, ["a", "b"], "left_anti"))
+    if (more := found(second)) is not None:
+        links = links.unionByName(more)
+        labels = components(links)
+    rows = labelled(known.drop("lead"), "node", "label")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = staged(rows.join(mixed, "key", "left_semi"))
+    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "label", *folds)])
+    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(lambda c: F.col(f"{c}_b"))
     rest = open_.join(other, (open_.key == other.key) & far).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = first.union(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = staged(_verified(rest, texts, n, num, den))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    if (more := found(rest)) is not None:
+        labels = components(links.unionByName(more))
     return classes.select("node", "n_shingles").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
