@@ -282,3 +282,23 @@ def test_blind_tries_order():
     for s in starts:
         by.setdefault(data[s : s + 100].tobytes(), []).append(int(s))
     assert got == sorted(v for v in by.values() if len(v) > 1)
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert rows and set(docs.columns) <= set(rows[0].asDict())
+    known = {r.doc_id: r for r in docs.collect()}
+    items = [q for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (q := shingle_set(r.text, 5))]
+    once = {r.doc_id: r for r in rows}
+    for r in once.values():
+        text = known[r.doc_id].text
+        assert not plain_spans(r.text) and (r.text == text or "[" in r.text)
+        s = shingle_set(text, 5)
+        assert not any(100 * len(q & s) >= 80 * len(q) for q in items)
+        assert r["size"] == len(WORD.findall(r.text or ""))
+    sets = [shingle_set(known[d].text, 5) for d in once]
+    for k, a in enumerate(sets):
+        assert not any(a and 100 * len(a & b) >= 80 * len(a | b) for b in sets[:k])
