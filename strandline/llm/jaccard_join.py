@@ -3,9 +3,11 @@
 Each document is the set of its distinct n-word shingles. A set is hashed into a sketch of 64 x P bits in which every
 shingle flips one bit; flips of shared shingles cancel, so the Hamming distance of two sketches is at most the size of
 the sets' symmetric difference. Sets linked at a similarity of num/den differ in at most (a+b)(den-num)/(den+num)
-shingles. Within a size band P is one more than that bound, so linked sets agree in a whole 64-bit part (pigeonhole):
-an equi-join on (band, part, value) finds every link. Candidates whose whole sketches lie too far apart go; the others
-are verified on the real sets.
+shingles. Within a size band P exceeds that bound by one and some slack, so linked sets have slack + 1 parts or more in
+which they hold the very same shingles (pigeonhole): the part's 64 parities and the XOR of its shingles' hashes agree,
+and an equi-join on (band, part, parities, XOR) finds every link. Parts without a shingle say little; a set gives them
+as keys only if it has more of them than the slack, as otherwise a linked set agrees with it in a part that has some.
+Candidates whose whole sketches lie too far apart go; the others are verified on the real sets.
 """
 
 from __future__ import annotations
@@ -36,11 +38,18 @@ class Bands:
             self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * self.den // self.num + 1))
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the largest symmetric difference of linked sets up to this band."""
+    def differing(self, band: int) -> int:
+        """The largest symmetric difference of linked sets up to this band."""
         while len(self.lows) < band + 2:
             self.of(self.lows[-1])
-        return 2 * (self.lows[band + 1] - 1) * (self.den - self.num) // (self.den + self.num) + 1
+        return 2 * (self.lows[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+
+    def slack(self, band: int) -> int:
+        """Parts beyond the one that linked sets must share; enough that few sets have more empty parts."""
+        return (self.differing(band) + 4) // 8
+
+    def parts(self, band: int) -> int:
+        return self.differing(band) + 1 + self.slack(band)
 
 
 def sketch(members: np.ndarray, parts: int) -> np.ndarray:
@@ -49,10 +58,20 @@ def sketch(members: np.ndarray, parts: int) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.uint64)
 
 
-def _parts(members: np.ndarray, bands: Bands) -> tuple[int, np.ndarray, np.ndarray]:
-    """A set's band and its sketches there and in the next band, where larger partners may lie."""
+def part_sums(members: np.ndarray, parts: int, slack: int) -> np.ma.MaskedArray:
+    """XOR of 32 hash bits of the members in each part; empty parts are masked unless there are more than slack."""
+    at = ((members >> np.uint64(6)) % np.uint64(parts)).astype(np.int64)
+    sums = np.zeros(parts, np.uint32)
+    np.bitwise_xor.at(sums, at, (members >> np.uint64(32)).astype(np.uint32))
+    empty = np.bincount(at, minlength=parts) == 0
+    return np.ma.array(sums.view(np.int32), mask=empty & (empty.sum() <= slack))
+
+
+def _parts(members: np.ndarray, bands: Bands) -> tuple:
+    """A set's band, and its sketches and part sums there and in the next band, where larger partners may lie."""
     own = bands.of(len(members))
-    return own, sketch(members, bands.parts(own)), sketch(members, bands.parts(own + 1))
+    sizes = [(bands.parts(k), bands.slack(k)) for k in (own, own + 1)]
+    return own, *[sketch(members, p) for p, _ in sizes], *[part_sums(members, p, s) for p, s in sizes]
 
 
 def folded(parts: np.ndarray) -> np.ndarray:
@@ -64,12 +83,17 @@ def folded(parts: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """A row for each different text that has words: node, n_shingles, band, its sketches (low, high) and their folds."""
+    """A row for each different text that has words: node, n_shingles, band, its sketches (low, high), their part sums and their folds."""
 
     def lists(arrays: list[np.ndarray]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
         return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
+    def sums(arrays: list[np.ma.MaskedArray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        flat = np.ma.concatenate([*arrays, np.ma.zeros(0, np.int32)])
+        return pa.ListArray.from_arrays(ends, pa.array(flat.data, pa.int32(), mask=np.ma.getmaskarray(flat)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
@@ -79,12 +103,13 @@ def _classes(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFram
                     found[node] = (len(members), *_parts(members, bands))
             rows = list(found.values())
             folds = [np.concatenate([folded(r[2]), folded(r[3])]) for r in rows]
-            columns = [pa.array(list(found), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2] for r in rows]), lists([r[3] for r in rows]), lists(folds)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "band", "low", "high", "folds"])
+            columns = [pa.array(list(found), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2] for r in rows]), lists([r[3] for r in rows])]
+            columns += [sums([r[4] for r in rows]), sums([r[5] for r in rows]), lists(folds)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "band", "low", "high", "low_sums", "high_sums", "folds"])
 
     rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
-    found = rows.mapInArrow(run, "node long, n_shingles long, band int, low array<long>, high array<long>, folds array<long>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "low", "high", "folds")])
+    found = rows.mapInArrow(run, "node long, n_shingles long, band int, low array<long>, high array<long>, low_sums array<int>, high_sums array<int>, folds array<long>")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "low", "high", "low_sums", "high_sums", "folds")])
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -99,7 +124,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose whole sketches differ in no more bits than linked sets may."""
-    wanted = staged(classes.drop("folds").join(_ends(pairs), "node", "left_semi"))
+    wanted = staged(classes.drop("low_sums", "high_sums", "folds").join(_ends(pairs), "node", "left_semi"))
 
     def side(x: str) -> DataFrame:
         return wanted.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "low", "high")])
@@ -142,9 +167,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9
     have no node.
     """
     classes = staged(_classes(docs, text, n, num, den))
-    lanes = F.array(*[F.struct(F.lit(k).cast("byte").alias("lane"), (F.col("band") + k).alias("at"), F.col(c).alias("sketch")) for k, c in enumerate(("low", "high"))])
+    lanes = F.array(*[F.struct(F.lit(k).cast("byte").alias("lane"), (F.col("band") + k).alias("at"), F.arrays_zip(F.col(c).alias("bits"), F.col(f"{c}_sums").alias("sum")).alias("sketch")) for k, c in enumerate(("low", "high"))])
     parts = classes.select("node", F.explode(lanes).alias("s")).select("node", "s.lane", "s.at", F.posexplode("s.sketch").alias("part", "value"))
-    keyed = parts.select("node", "lane", F.xxhash64("at", "part", "value").alias("key"))
+    keyed = parts.where("value.sum is not null").select("node", "lane", F.xxhash64("at", "part", "value.bits", "value.sum").alias("key"))
     order = Window.partitionBy("key").orderBy("node")
     near = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
     shared = staged(keyed.withColumn("near", near).where("near").select("key", "node", "lane"))
