@@ -78,20 +78,20 @@ def _add_observed(total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None
 
 
 def _add_expected(total: np.ndarray, weights: np.ndarray, feats: np.ndarray) -> None:
-    p = class_probabilities(weights, feats)
-    total[0] += p.sum(axis=0)
+    """Adds expected counts to total, which is laid out by class here: (CLASSES, FEATURES + 1)."""
+    p = np.empty((CLASSES, feats.shape[1]))
+    for at in range(0, feats.shape[1], 8192):  # so many tokens' rows stay in the cache
+        p[:, at : at + 8192] = class_probabilities(weights, feats[:, at : at + 8192]).T
+    total[:, 0] += p.sum(axis=1)
     for f in feats:
-        short = f.astype(np.uint16)
-        order = np.argsort(short, kind="stable")
-        rows = short[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        total[1 + rows[first].astype(np.int64)] += np.add.reduceat(p[order], first, axis=0)
+        for c in range(CLASSES):
+            total[c, 1:] += np.bincount(f, p[c], FEATURES)
 
 
 def _sums(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
     """Observed (weights None) or expected feature-class counts over all texts, added up in Spark by blocks of features."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    step = 1 << 17 if weights is None else 1 << 13  # tokens at a time: expected counts stay in the cache
+    step = 1 << 17 if weights is None else 1 << 16  # tokens at a time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -101,15 +101,15 @@ def _sums(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
                 lo, hi = offsets[i], offsets[j]
                 tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
                 feats = features(tok, bounds)
-                total = np.zeros((FEATURES + 1, CLASSES)) if total is None else total
+                total = np.zeros((FEATURES + 1, CLASSES) if held.value is None else (CLASSES, FEATURES + 1)) if total is None else total
                 for at in range(0, len(tok), step):
                     if held.value is None:
                         _add_observed(total, feats[:, at : at + step], cls[at : at + step])
                     else:
                         _add_expected(total, held.value, feats[:, at : at + step])
         if total is not None:
-            padded = np.zeros((-(-len(total) // BLOCK) * BLOCK, CLASSES), np.float32)
-            padded[: len(total)] = total
+            padded = np.zeros((-(-(FEATURES + 1) // BLOCK) * BLOCK, CLASSES), np.float32)
+            padded[: FEATURES + 1] = total if held.value is None else total.T
             blocks = [padded[k : k + BLOCK].tobytes() for k in range(0, len(padded), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
