@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .textbytes import LOWER, buffers, chunks, mix, word_hashes, words
+from .textbytes import LOWER, buffers, chunks, hashed, mix, words
 
 CLASSES = 64
 FEATURES = 1 << 14
@@ -29,7 +29,8 @@ _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class of each token (words, then an end for each document), and per document the range of its tokens."""
-    hashes, ranges = word_hashes(data, offsets)
+    starts, ends, ranges = words(data, offsets)
+    hashes = hashed(data, starts, ends)
     n = len(offsets) - 1
     bounds = ranges + np.arange(n + 1)
     last = np.zeros(len(hashes) + n, bool)
@@ -38,7 +39,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     tok[~last] = hashes
     cls = np.full(len(last), CLASSES - 1, np.int64)
     if len(hashes):
-        starts, ends, _ = words(data, offsets)
         final = LOWER[data[ends - 1]].astype(np.uint64)
         second = np.where(ends - starts > 1, LOWER[data[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
         cls[~last] = (mix(final | second << np.uint64(8)) % np.uint64(CLASSES - 1)).astype(np.int64)
@@ -59,15 +59,45 @@ def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([(mix(x ^ s) % np.uint64(FEATURES)).astype(np.int64) for x, s in zip((one, one * np.uint64(3) + two, two, three), _SALTS, strict=True)])
 
 
-def class_probabilities(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Probabilities of all classes for each token; the first row of weights is the bias."""
-    z = weights[0] + weights[1 + feats[0]]
-    for f in feats[1:]:
-        z += weights[1 + f]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+class ClassModel:
+    """Class scores of tokens under weights, whose first row is the bias; works on ROWS tokens at a time, in two reused arrays."""
+
+    ROWS = 2048
+
+    def __init__(self, weights: np.ndarray):
+        self.bias, self.weights = weights[0], weights[1:]
+        self.scratch, self.ones = np.empty((self.ROWS, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        # exp() of a score can't overflow or vanish as a whole below this bound, so that no row needs its maximum
+        self.bounded = float(np.abs(self.bias).max() + len(_SALTS) * np.abs(self.weights).max()) < 80
+
+    def _odds(self, feats: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Fills out with each token's unnormalised class probabilities; returns their sums."""
+        scratch = self.scratch[: len(out)]
+        np.take(self.weights, feats[0], axis=0, out=out, mode="clip")
+        out += self.bias
+        for f in feats[1:]:
+            out += np.take(self.weights, f, axis=0, out=scratch, mode="clip")
+        if not self.bounded:
+            out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        return out @ self.ones
+
+    def probabilities(self, feats: np.ndarray) -> np.ndarray:
+        """Probabilities of all classes for each token."""
+        p = np.empty((feats.shape[1], CLASSES), np.float32)
+        for at in range(0, len(p), self.ROWS):
+            rows = p[at : at + self.ROWS]
+            rows /= self._odds(feats[:, at : at + self.ROWS], rows)[:, None]
+        return p
+
+    def logs(self, feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token's own class."""
+        out, rows = np.empty(len(cls)), np.empty((self.ROWS, CLASSES), np.float32)
+        for at in range(0, len(cls), self.ROWS):
+            own = cls[at : at + self.ROWS]
+            sums = self._odds(feats[:, at : at + self.ROWS], rows[: len(own)])
+            out[at : at + self.ROWS] = np.log(np.maximum(rows[np.arange(len(own)), own] / sums, 1e-30))
+        return out
 
 
 def _add_observed(total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None:
@@ -77,11 +107,9 @@ def _add_observed(total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None
         flat += np.bincount(f * CLASSES + cls, minlength=FEATURES * CLASSES)
 
 
-def _add_expected(total: np.ndarray, weights: np.ndarray, feats: np.ndarray) -> None:
+def _add_expected(total: np.ndarray, model: ClassModel, feats: np.ndarray) -> None:
     """Adds expected counts to total, which is laid out by class here: (CLASSES, FEATURES + 1)."""
-    p = np.empty((CLASSES, feats.shape[1]))
-    for at in range(0, feats.shape[1], 8192):  # so many tokens' rows stay in the cache
-        p[:, at : at + 8192] = class_probabilities(weights, feats[:, at : at + 8192]).T
+    p = model.probabilities(feats).T.astype(np.float64, order="C")
     total[:, 0] += p.sum(axis=1)
     for f in feats:
         for c in range(CLASSES):
@@ -95,21 +123,22 @@ def _sums(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
+        model = None if held.value is None else ClassModel(held.value)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for i, j in chunks(offsets):
                 lo, hi = offsets[i], offsets[j]
                 tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
                 feats = features(tok, bounds)
-                total = np.zeros((FEATURES + 1, CLASSES) if held.value is None else (CLASSES, FEATURES + 1)) if total is None else total
+                total = np.zeros((FEATURES + 1, CLASSES) if model is None else (CLASSES, FEATURES + 1)) if total is None else total
                 for at in range(0, len(tok), step):
-                    if held.value is None:
+                    if model is None:
                         _add_observed(total, feats[:, at : at + step], cls[at : at + step])
                     else:
-                        _add_expected(total, held.value, feats[:, at : at + step])
+                        _add_expected(total, model, feats[:, at : at + step])
         if total is not None:
             padded = np.zeros((-(-(FEATURES + 1) // BLOCK) * BLOCK, CLASSES), np.float32)
-            padded[: FEATURES + 1] = total if held.value is None else total.T
+            padded[: FEATURES + 1] = total if model is None else total.T
             blocks = [padded[k : k + BLOCK].tobytes() for k in range(0, len(padded), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
@@ -190,17 +219,17 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
         order = np.argsort(word)
         word, count = word[order], count[order]
         data, offsets = buffers(left.column("text"))
-        out = []
+        out, classes_of = [], ClassModel(model.value)
         for i, j in chunks(offsets, 1 << 18):
             lo, hi = offsets[i], offsets[j]
             tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
             c = count[np.searchsorted(word, tok)]
             feats = features(tok, bounds)
-            own = np.concatenate([np.log(np.maximum(np.take_along_axis(class_probabilities(model.value, feats[:, k : k + 8192]), cls[k : k + 8192, None], 1)[:, 0], 1e-30)) for k in range(0, len(tok), 8192)])
+            own = classes_of.logs(feats, cls)
             first = bounds[:-1]
             doc = np.repeat(np.arange(j - i), np.diff(bounds))
             hist = np.bincount(doc * CLASSES + cls, minlength=(j - i) * CLASSES).reshape(j - i, CLASSES)
-            out.append((np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat(own.astype(np.float64), first) / np.log(10), hist))
+            out.append((np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1.0), first), np.add.reduceat(own, first) / np.log(10), hist))
         n_tokens, known, counts, classes, hist = (np.concatenate(x) for x in zip(*out, strict=True))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(hist.ravel().astype(np.int32)), CLASSES).cast(pa.list_(pa.int32()))
         return pa.table(

@@ -88,14 +88,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and per document the range of its words."""
     starts, ends, ranges = words(data, offsets)
+    return hashed(data, starts, ends), ranges
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word found by words()."""
     if not len(starts):
-        return np.zeros(0, np.uint64), ranges
+        return np.zeros(0, np.uint64)
     lengths = ends - starts
     solid = data[~SPACE[data]]
     first = np.cumsum(lengths) - lengths
     within = np.arange(len(solid)) - np.repeat(first, lengths)
     codes = CODE_OF_LOWER[solid] * powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(codes, first)), ranges
+    return mix(np.add.reduceat(codes, first))
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
