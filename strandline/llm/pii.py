@@ -122,8 +122,9 @@ def discovered(docs: DataFrame, text: str = "text", min_seeds: int = 3, confiden
     for _ in range(rounds):
         patterns = edges.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
         good = patterns.where(F.col("confidence") >= confidence)
-        voted = edges.join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg(
-            F.max("given").alias("given"), (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("vote")
+        # a left join: instances without a good pattern keep their given score and stay in every pattern's mean
+        voted = edges.join(good, ["pattern", "kind"], "left").groupBy("instance", "kind").agg(
+            F.max("given").alias("given"), (1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))).alias("vote")
         )
         scores = staged(voted.select("instance", "kind", F.greatest("given", "vote").alias("score")))
     new = edges.where("seed is null").select("instance", "kind").distinct().join(scores.where(F.col("score") >= threshold), ["instance", "kind"])

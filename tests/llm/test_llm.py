@@ -154,6 +154,15 @@ def test_discovery_and_redaction(spark):
     assert pii.with_spans(docs.limit(0)).count() == 0
 
 
+def test_ordinary_numbers_stay_in_a_patterns_mean(spark):
+    rows = [(i, f"contact phone line +1 (743) 555-38{i:02d} now") for i in range(10, 20)]
+    rows += [(i + 100, f"order number +1 (743) 555-38{i:02d} due") for i in range(10, 13)]
+    rows += [(1000 + i, f"order number {700000 + i} due") for i in range(1000)] + [(50, "contact phone line 555-0199-77 now")]
+    found = {r.doc_id: r for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[1000 + i].spans for i in range(1000))
+    assert len(found[50].spans) == 1 and len(found[110].spans) == 1
+
+
 def test_mixing(spark, hard):
     mixed = mixing.mix(hard).collect()
     assert len(mixed) == hard.count()
