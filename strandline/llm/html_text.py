@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
 )
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+""")
+_SEEN = frozenset("class id role hidden aria-hidden".split())
 # Elements by what they mean in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -50,8 +51,13 @@ def _goes(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in _KEPT:
         return False
-    for name, value in _MARKS.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+    seen = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in _SEEN or name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
+        value = value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name in ("class", "id", "role") and not MARKED.isdisjoint(re.split(r"[^a-z0-9]+", value)):

@@ -237,6 +237,13 @@ def test_main_text():
     assert html_text.main_text("<div " * 3000) is not None
 
 
+def test_whole_attribute_names():
+    for a in ('style="overflow:hidden"', 'title="a hidden gem"', 'data-id="ad-1"', "data-role='search' x-class=ad", 'data-x=id=ad', 'title="x" / alt=\'class="ad"\'', 'href=/a/id/ad', 'class="body" class="ad"', 'class id = "x1"'):
+        assert html_text.main_text(f"<div {a}><p>kept</p></div>") == "kept", a
+    for a in ("hidden", "HIDDEN=''", 'style="overflow:hidden" hidden', 'title="id" CLASS = "x ad"', "id=ad", 'a="b"class="ad"', "role = 'search'", "aria-hidden=true", "/hidden", "class='ad"):
+        assert html_text.main_text(f"<p>kept</p><div {a}><p>gone</p></div>") == "kept", a
+
+
 def test_templates(spark):
     rows = [(i, "http://h.com/a", f"<body><div><p>follow us</p></div><article><p>text {i}</p><p>stay tuned</p></article></body>") for i in range(12)]
     rows += [(50, "http://h.com/b", rows[0][2])] * 30 + [(60, None, None), (61, "http://o.com", "<p>alone</p>")]
