@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
 )
@@ -206,26 +208,39 @@ def host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = 0.5, min_pages: int = 5) -> DataFrame:
-    """Per host the subtree hashes on `share` of its different pages or more, and on min_pages or more: _host, _template.
+def _parts(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """Per page row its _host, its _key (of host and html), the hash of its text tree and those of its subtrees."""
+    tree = F.arrow_udf(_trees, _TREES).asNondeterministic()
+    rows = pages.select(host(url).alias("_host"), F.xxhash64(host(url), F.col(html)).alias("_key"), tree(F.col(html)).alias("t"))
+    return rows.select("_host", "_key", "t.page", "t.parts")
+
 
-    Pages of the same content count once, so copies of a page do not make its article a template. A host has at most
-    1 / share times as many such subtrees as its pages have on average.
+def templates(parts: DataFrame, share: float = 0.5, min_pages: int = 5, many: int = 20, least_share: float = 0.1) -> DataFrame:
+    """The template subtrees of each host, a row for each: _host, part. parts is what _parts gives.
+
+    A subtree is template if it stands on `many` different pages of its host or more, where least_share of the host's
+    pages spares what articles really repeat. On fewer pages than that it takes `share` of them, and min_pages. Pages
+    of the same content count once, so copies of a page do not make its article a template.
     """
-    tree = F.arrow_udf(_trees, _TREES).asNondeterministic()
-    rows = pages.select(host(url).alias("_host"), tree(F.col(html)).alias("t")).select("_host", "t.page", "t.parts")
-    different = rows.groupBy("_host", "page").agg(F.first("parts").alias("parts"))
+    different = parts.groupBy("_host", "page").agg(F.first("parts").alias("parts"))
     counts = different.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "parts")).alias("part")).groupBy("_host", "part").agg(F.count("*").alias("n"))
     totals = counts.where("part is null").select(F.col("_host").alias("_h"), F.col("n").alias("total"))
-    many = counts.where((F.col("n") >= min_pages) & F.col("part").isNotNull()).join(totals, F.col("_host") == F.col("_h")).where(F.col("n") >= share * F.col("total"))
-    return many.groupBy("_host").agg(F.sort_array(F.collect_list("part")).alias("_template"))
+    n, total = F.col("n"), F.col("total")
+    recurs = (n >= min_pages) & (n >= share * total) | (n >= many) & (n >= least_share * total)
+    return counts.where((n >= min(min_pages, many)) & F.col("part").isNotNull()).join(totals, F.col("_host") == F.col("_h")).where(recurs).select("_host", "part")
 
 
 def extract(pages: DataFrame, out: str = "main_text", url: str = "url", html: str = "html", **options) -> DataFrame:
     """pages with a column `out`: the main text, empty where there is none (null and empty html).
 
-    Repeated rows each get their text; a null url is a host of its own. A column named like `out` is replaced.
+    Repeated rows each get their text; a null url is a host of its own. A column named like `out` is replaced. Pages
+    meet their host's templates subtree by subtree, so that no row holds all templates of a host; what is joined is
+    staged, so that a skewed join can be split.
     """
     pages = pages.drop(out)
-    found = pages.withColumn("_host", host(url)).join(templates(pages, url, html, **options), "_host", "left")
-    return found.withColumn(out, F.arrow_udf(_texts, "string").asNondeterministic()(F.col(html), F.col("_template"))).drop("_host", "_template")
+    parts = staged(_parts(pages, url, html))
+    once = parts.groupBy("_key").agg(F.first("_host").alias("_host"), F.first("parts").alias("parts"))
+    met = once.select("_host", "_key", F.explode("parts").alias("part")).join(staged(templates(parts, **options)), ["_host", "part"])
+    lists = staged(met.groupBy("_key").agg(F.sort_array(F.collect_list("part")).alias("_template")))
+    found = pages.withColumn("_key", F.xxhash64(host(url), F.col(html))).join(lists, "_key", "left")
+    return found.withColumn(out, F.arrow_udf(_texts, "string").asNondeterministic()(F.col(html), F.col("_template"))).drop("_key", "_template")

@@ -251,6 +251,13 @@ def test_templates(spark):
     assert got[3] == "text 3" and got[50] == "text 0" and got[60] == "" and got[61] == "alone"
 
 
+def test_templates_of_a_large_host(spark):
+    side = "<section><p>stay tuned</p></section>"
+    rows = [(i, f"http://h.com/{i}", f"<body>{side if i % 5 == 0 else ''}<p>text {i}</p>{'<p>quoted</p>' if i % 25 == 1 else ''}</body>") for i in range(1000)]
+    got = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" + ("\n\nquoted" if i % 25 == 1 else "") for i in range(1000)}
+
+
 def test_lm(spark, hard):
     docs = hard.withColumn("held", language.remainder("doc_id", 7) == 2)
     rows = docs.collect()
