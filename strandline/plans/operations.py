@@ -69,7 +69,7 @@ def term_index(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id FROM c WHERE list_has_all(regexp_split_to_array(lower(body), '[^a-z]+'), ['the', 'and', 'of'])")
 def all_terms_match(spark, sf):
-    """Items with all words of a search."""
+    """Items with all words of a search."""
     words = F.split(F.lower("body"), "[^a-z]+")
     return contents(spark, sf).where(F.forall(F.array(*map(F.lit, ("the", "and", "of"))), lambda t: F.array_contains(words, t))).select("id")
 
@@ -165,7 +165,7 @@ def lineage_ancestors(spark, sf):
  SELECT day, coalesce(n, 0) AS n FROM d LEFT JOIN n USING (day)"""
 )
 def days_with_gaps(spark, sf):
-    """Counts of every day of a range, also of days without rows."""
+    """Counts of every day of a range, also of days without rows: the daily counts of a weekly summary alone."""
     days = spark.range(1).select(F.explode(F.expr("sequence(date'2024-01-01', date'2024-02-09', interval 1 day)")).alias("day"))
     n = table(spark, sf, "events").where("event_type = 'error' and user_id % 97 = 3").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return days.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
@@ -242,7 +242,7 @@ def reliability_windows(spark, sf):
 
 @query(f"WITH {CONTENTS}, w AS (SELECT DISTINCT id, source_id, unnest(regexp_split_to_array(lower(summary), '[^a-z]+')) AS token FROM c), n AS (SELECT source_id, count(*) AS n FROM c GROUP BY 1) SELECT source_id, token, count(*) AS k FROM w JOIN n USING (source_id) WHERE length(token) >= 2 GROUP BY source_id, token, n HAVING count(*) >= greatest(1, ceil(0.3 * n))")
 def centroid_tokens(spark, sf):
-    """Tokens that three tenths of a group's members have."""
+    """Tokens that three tenths of a group's members have."""
     c = contents(spark, sf).where("source_id is not null")
     n = c.groupBy("source_id").agg(F.count("*").alias("n"))
     w = c.select("source_id", F.explode(F.array_distinct(F.split(F.lower("summary"), "[^a-z]+"))).alias("token")).where(F.length("token") >= 2)
@@ -340,7 +340,7 @@ def cooldowns(spark, sf):
 
 @query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT user_id, CASE WHEN max(ts) >= any_value(t) - INTERVAL 72 HOUR THEN 'active' WHEN max(ts) >= any_value(t) - INTERVAL 14 DAY THEN 'cooling' ELSE 'closed' END AS state FROM events, m GROUP BY 1")
 def lifecycle_states(spark, sf):
-    """Active, cooling or closed by the age of the last activity."""
+    """Active, cooling or closed by the age of the last activity."""
     e = table(spark, sf, "events")
     last = e.agg(F.max("ts").alias("t")).scalar()
     u = e.groupBy("user_id").agg(F.max("ts").alias("seen"))
@@ -376,7 +376,7 @@ def _lane_sql(terms: tuple[str, ...]) -> str:
 
 @query(f"WITH {CONTENTS}, h AS (SELECT id, " + ", ".join(f"{_lane_sql(t)} AS {n}" for n, t in LANES) + " FROM c) SELECT id, CASE WHEN greatest(market, policy, science) = 0 THEN 'general' WHEN market >= greatest(policy, science) THEN 'market' WHEN policy >= science THEN 'policy' ELSE 'science' END AS lane FROM h")
 def lanes(spark, sf):
-    """The lane with most hits (title 2, body 1), the first on ties."""
+    """The lane with most hits (title 2, body 1), the first on ties."""
 
     def hits(terms):
         return sum((F.when(F.contains(F.lower("title"), F.lit(t)), 2).when(F.contains(F.lower("body"), F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
@@ -410,7 +410,7 @@ def quality_gates(spark, sf):
 
 @query(f"WITH {CONTENTS}, d AS (SELECT id, body AS a, trim(body) || CASE WHEN id % 6 = 0 THEN '.' ELSE '' END AS b FROM c) SELECT id, length(b) - length(a) AS delta, sha256(a) <> sha256(b) AS changed FROM d WHERE a IS NOT NULL")
 def shadow_diff(spark, sf):
-    """Two versions of a text by length and hash."""
+    """Two versions of a text by length and hash."""
     new = F.concat(F.trim("body"), F.when(F.col("id") % 6 == 0, ".").otherwise(""))
     c = contents(spark, sf).where("body is not null")
     return c.select("id", (F.length(new) - F.length("body")).alias("delta"), (F.sha2("body", 256) != F.sha2(new, 256)).alias("changed"))
@@ -449,7 +449,7 @@ def table_doctor(spark, sf):
 
 @query(f"WITH {CONTENTS}, k AS (SELECT DISTINCT source_id FROM c WHERE archived) SELECT id FROM c WHERE source_id IN (SELECT source_id FROM k WHERE source_id IS NOT NULL) AND id % 2 = 1")
 def keyword_gate(spark, sf):
-    """Items whose source passes a gate (semi join)."""
+    """Items whose source passes a gate (semi join)."""
     c = contents(spark, sf)
     return c.where("id % 2 = 1").join(c.where("archived").select("source_id").distinct(), "source_id", "left_semi").select("id")
 

@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import re
 
 import duckdb
 import pytest
@@ -37,3 +38,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cur.fetchall())
     assert got == want
+
+
+def test_docstrings_name_no_operator_that_is_not_built():
+    named = {code for f in registry.QUERIES.values() for code in re.findall(r"\b[A-Z][0-9]{2}\b", f.__doc__ or "")}
+    assert named and named.isdisjoint({"V21", "F05", "F06", "X24", "R10", "F10", "A03", "A36"})
