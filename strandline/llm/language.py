@@ -86,7 +86,7 @@ def _prepared(docs: DataFrame, text: str):
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", clusters: int = 4, sample_per_language: int = 600, slack: float = 0.5) -> Model:
-    """Learn from rows of train that have a language and a text with a letter.
+    """Learn from rows of train that have a language and a text with a letter; without any, every text is `und`, rejected.
 
     Document frequencies cover all of train. Centroids and distances are fitted per language on about
     sample_per_language rows (the bound of the sample) chosen by a hash. A text is too far from its nearest centroid
@@ -103,7 +103,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return Model(np.ones(FEATURES, np.float32), ["und"], np.zeros((1, FEATURES), np.float32), np.full((1, 13), np.inf))
     seen = rows.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(FEATURES)
     for r in seen:

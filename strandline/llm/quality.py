@@ -142,12 +142,13 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 6000) -> Model:
     """Fit on about `sample` labelled documents (the bound), chosen by a hash of the id; whole texts are used.
 
-    labels has (doc_id, label 0/1); null labels and ids are ignored, repeated labels count each.
+    labels has (doc_id, label 0/1); null labels and ids are ignored, repeated labels count each. With no
+    labelled document every text has quality 0.5.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
     n = known.count()
     if not n:
-        raise ValueError("no labels to learn from")
+        return Model(np.zeros(3 * LINE_FEATURES + 1), np.zeros((2, 2)))
     chosen = known.where(F.pmod(F.xxhash64(F.lit("quality"), F.col("_id")), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id")
 
@@ -159,6 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     held = rows.mapInPandas(features, "_id long, _y int, rows binary, sizes binary").collect()
     held.sort(key=lambda r: (r._id, r._y, r.rows))
     width = 3 * LINE_FEATURES + 1
+    if not held:
+        return Model(np.zeros(width), np.zeros((2, 2)))
     parsed = [(np.frombuffer(r.rows, np.float32).reshape(-1, width), np.frombuffer(r.sizes, np.float64)) for r in held]
     return train(parsed, np.array([r._y for r in held], float))
 

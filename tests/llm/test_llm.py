@@ -217,6 +217,23 @@ def test_quality(spark, hard):
     assert all(0 <= r.score <= 1 for r in quality.scored(hard.drop("score"), model).collect())
 
 
+def test_nothing_to_learn_from(spark, tmp_path):
+    import corpus_pipeline
+    from strandline.llm import queries
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    unknown = docs.limit(5).selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    for name, rows, n in (("empty", docs.limit(0), 0), ("unknown", unknown, 5)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = queries.op2_language_id(spark, f"{tmp_path}/{name}").collect()
+        assert [(r.lang_pred, r.score, r.rejected) for r in found] == [("und", 0.0, True)] * n
+        assert [r.score for r in queries.op7_quality(spark, f"{tmp_path}/{name}").collect()] == pytest.approx([0.5] * n)
+        assert corpus_pipeline.language_stage(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), "").count() == 0
+    odd = labels.limit(3).withColumn("doc_id", labels.doc_id + 1000000)
+    assert [r.score for r in quality.scored(unknown, quality.fit(unknown, odd)).collect()] == pytest.approx([0.5] * 5)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
     s, a = rng.normal(size=5), rng.normal(size=(2, 2))
