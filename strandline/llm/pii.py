@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import free, staged
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -61,11 +61,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: two words before it, and the words on either side."""
+    """Lexical patterns around a span: two words before it, two behind it, and the words on either side."""
     left = re.sub("[0-9]", "0", text[max(0, start - 100) : start].lower()).split()[-2:]
-    right = re.sub("[0-9]", "0", text[end : end + 100].lower()).split()[:1]
-    left = ["^"] * (2 - len(left)) + left
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {''.join(right) or '$'}"]
+    right = re.sub("[0-9]", "0", text[end : end + 100].lower()).split()[:2]
+    left, right = ["^"] * (2 - len(left)) + left, right + ["$"] * (2 - len(right))
+    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}", f"_ {right[0]} {right[1]}"]
 
 
 def mentions(text: str) -> list[dict]:
@@ -133,13 +133,19 @@ def discovered(docs: DataFrame, text: str = "text", min_seeds: int = 3, confiden
     return places.join(best, "instance").select("_text", "start", "end", "kind", "score")
 
 
-def with_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with base (base spans) and spans (base and discovered ones, by start, then kind); such columns are replaced."""
-    clean = docs.drop("base", "spans")
-    extra = discovered(clean, text, **options).groupBy("_text").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_more"))
-    keyed = clean.withColumn("base", spans_of(F.col(text))).withColumn("_text", F.xxhash64(text))
-    spans = F.array_sort(F.concat("base", F.coalesce("_more", F.array().cast(_SPAN))))
-    return keyed.join(extra, "_text", "left").withColumn("spans", spans).drop("_text", "_more")
+def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: str = "spans", **options) -> DataFrame:
+    """docs with columns `base` (base spans) and `spans` (base and discovered ones, by start, then kind); such columns are replaced."""
+    clean = docs.drop(base, spans)
+    key, other, more = free(clean, "_text", "_key", "_more")
+    extra = discovered(clean, text, **options).groupBy(F.col("_text").alias(other)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(more))
+    keyed = clean.withColumns({base: spans_of(F.col(text)), key: F.xxhash64(text)})
+    both = F.array_sort(F.concat(base, F.coalesce(F.col(more), F.array().cast(_SPAN))))
+    return keyed.join(extra, F.col(key) == F.col(other), "left").withColumn(spans, both).drop(key, other, more)
+
+
+def count_of(spans: str, kind: int) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda x: x.kind == kind)).cast("long")
 
 
 def listing(spans: str) -> Column:
@@ -164,8 +170,9 @@ def _redact(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets, overlapping spans by the first; columns stay."""
-    found = with_spans(docs, text, **options)
-    changed = found.withColumn(text, F.when(F.size("spans") > 0, F.arrow_udf(_redact, "string")(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    base, spans = free(docs, "base", "spans")
+    found = with_spans(docs, text, base, spans, **options)
+    changed = found.withColumn(text, F.when(F.size(spans) > 0, F.arrow_udf(_redact, "string")(F.col(text), F.col(spans))).otherwise(F.col(text)))
     if n_chars and n_chars in docs.columns:
-        changed = changed.withColumn(n_chars, F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
+        changed = changed.withColumn(n_chars, F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
     return changed.select(*docs.columns)
