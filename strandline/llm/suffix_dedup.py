@@ -1,12 +1,13 @@
 """Exact removal of repeated byte strings by suffix sorting (deep-shallow).
 
 A byte goes if a string of `length` bytes that covers it also starts earlier. Equal strings choose equal anchors: the
-k-grams with the least hash in the string. Spark groups anchors by hash; an anchor whose whole surroundings (every
-string that holds it) stand at an earlier place is covered at once. What is left are anchors that repeat in different
-surroundings, the edges of repeated passages. The suffixes there are sorted in each task: multikey quicksort, eight
-bytes a step, to a shallow depth, then blind tries for groups that are still equal. Of each class of strings equal
-over the whole length the earliest goes on to the comparison between tasks. A string that holds an anchor holds half
-of the bytes around it on one side at least, so only anchors that share such a half with another are open.
+leftmost k-gram with the least hash in the string. The strings of a text that follow each other and have the same anchor
+are one window. Hashes only leave out what can't repeat: windows whose anchor stands nowhere else. The bytes of all
+others are dealt to tasks by their anchor. There equal windows become one, and the suffixes of the different ones are
+sorted over all their bytes: multikey quicksort, eight bytes a step, to a shallow depth, then blind tries for groups that
+are still tied and not all alike. Neighbours in that order with equal bytes are repeats, and all but the earliest go.
+An anchor that more windows share than one task should sort is split by the bytes that ever shorter runs of its strings
+have in common, down to single strings, of which Spark takes the earliest by an aggregate.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
@@ -46,24 +48,17 @@ def rolling(data: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
-def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the least value of some run of `width` neighbours (all of them where several are least)."""
+def anchors_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` neighbours the place of its least hash, the leftmost of equals."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    low, size = hashes, 1
+    low, at, size = hashes, np.arange(len(hashes), dtype=np.int32), 1
     while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[:n], low[width - size : width - size + n])
-    top = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    size = 1
-    while size * 2 <= width:
-        top = np.maximum(top[:-size], top[size:])
-        size *= 2
-    m = len(hashes)
-    top = np.maximum(top[:m], top[width - size : width - size + m])
-    return np.flatnonzero(top == hashes)
+        left = low[:-size] <= low[size:]
+        low, at, size = np.where(left, low[:-size], low[size:]), np.where(left, at[:-size], at[size:]), size * 2
+    rest = width - size
+    return np.where(low[:n] <= low[rest : rest + n], at[:n], at[rest : rest + n]).astype(np.int64)
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,49 +111,71 @@ class BlindTrie:
                 yield node[2]
 
 
-def equal_classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
-    """Classes of two or more starts whose strings of `length` bytes are equal, each in the order of starts."""
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
+def sorted_classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in starts) of strings of `length` bytes that are equal to others, sorted by their bytes and then by place, and their class."""
+    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    eight = data.astype(np.uint64)
+    for size in (1, 2, 4):
+        eight = eight[:-size] << np.uint64(8 * size) | eight[size:]
     for depth in range(0, min(shallow, length) - 7, 8):
-        at = starts[order]
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | data[at + (depth + k)]
-        sort = np.lexsort((order, word, group))
+        word = eight[starts[order] + depth]
+        sort = np.lexsort((word, group)) if depth else np.argsort(word, kind="stable")
         order, word, group = order[sort], word[sort], group[sort]
         new = np.r_[True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])] if len(order) else np.zeros(0, bool)
-        group = np.cumsum(new)
-        tied = np.bincount(group, minlength=len(order) + 1)[group] > 1
+        group = np.cumsum(new) - 1
+        tied = np.bincount(group, minlength=1)[group] > 1
         order, group = order[tied], group[tied]
         if not len(order):
-            return
-    text = data.tobytes()
-    bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        members = np.sort(starts[order[a:b]])
-        trie = BlindTrie(int(members[0]), text, length)
-        for start in members[1:].tolist():
+            return order, group
+    first = np.r_[True, group[1:] != group[:-1]]
+    group = np.cumsum(first) - 1
+    lead = starts[order[first]][group]
+    alike = np.ones(len(order), bool)
+    for depth in range(min(shallow, length) & ~7, length, 8):  # the last word may reach back over the one before it
+        depth = min(depth, length - 8)
+        alike &= eight[starts[order] + depth] == eight[lead + depth]
+    mixed = np.bincount(group, weights=~alike) > 0
+    whole = ~mixed[group]
+    found, label = [order[whole]], [group[whole]]
+    text, free = data.tobytes() if mixed.any() else b"", len(first)
+    bounds = np.flatnonzero(np.r_[first, True])
+    for g in np.flatnonzero(mixed):
+        members = order[bounds[g] : bounds[g + 1]]
+        place = dict(zip(starts[members].tolist(), members.tolist(), strict=True))
+        trie = BlindTrie(int(starts[members[0]]), text, length)
+        for start in starts[members[1:]].tolist():
             trie.insert(start)
         for leaf in trie.classes():
             if len(leaf) > 1:
-                yield np.array(leaf)
+                found.append(np.array([place[x] for x in leaf]))
+                label.append(np.full(len(leaf), free))
+                free += 1
+    return np.concatenate(found), np.concatenate(label)
+
+
+def equal_classes(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
+    """Classes of two or more starts whose strings of `length` bytes are equal, each in the order of starts."""
+    order, label = sorted_classes(data, starts, length, shallow)
+    bounds = np.flatnonzero(np.r_[True, label[1:] != label[:-1], True]) if len(label) else np.zeros(1, int)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield starts[order[a:b]]
 
 
-_MARKS = "doc long, tie long, key long, around long, left long, right long, lo long, hi long"
-_SCHEMA = pa.schema([(x, pa.int64()) for x in ("doc", "tie", "key", "around", "left", "right", "lo", "hi")])
+def later_strings(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings at starts (in order of precedence) are equal to one before them."""
+    order, label = sorted_classes(data, starts, length)
+    later = np.zeros(len(starts), bool)
+    later[order[np.r_[False, label[1:] == label[:-1]]] if len(order) else order] = True
+    return later
 
 
-def _batch(doc, tie, key, around, left, right, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in (doc, tie, key, around, left, right, lo, hi)], schema=_SCHEMA)
+_MARKS = "doc long, tie long, key long, place long, hi long"
+_SPANS = "doc long, tie long, lo long, hi long"
+_WINDOWS = "g long, doc long, tie long, lo long, rel int, n int, bytes binary, crowded boolean"
 
 
-def _side(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """16 bits (never 0) of the hash at each place, 0 where there is none."""
-    inside = (at >= 0) & (at < len(hashes))
-    out = np.zeros(len(at), np.int64)
-    out[inside] = (hashes[at[inside]] % np.uint64(65535)).astype(np.int64) + 1
-    return out
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in columns], [x.split(" ")[0] for x in names.split(", ")])
 
 
 def _merged_by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,85 +188,124 @@ def _merged_by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.
     return d, a - d * (int(hi.max()) + 2), b - d * (int(hi.max()) + 2)
 
 
-def _anchor_rows(length: int):
-    """Task function: anchors (key, around; hi 0), and intervals covered by earlier equal anchors of the task (hi > 0)."""
+def _window_marks(length: int):
+    """Task function: different windows of the batch (hi 0; place holds start, place of the anchor in it and number of strings), and the repeats among them as intervals."""
     width = length - GRAM + 1
-    reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
+            rank = np.lexsort((ties, docs))
+            new = np.r_[True, (np.diff(docs[rank]) != 0) | (np.diff(ties[rank]) != 0)] if len(rank) else np.zeros(0, bool)
+            batch = batch.take(pa.array(rank[new]))  # equal rows are one document
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             data, offsets = buffers(batch.column("text"))
             found = []
             for i, j in chunks(offsets):
-                base = offsets[i]
-                part = data[base : offsets[j]]
-                grams, wide, half = rolling(part, GRAM), rolling(part, length), rolling(part, GRAM + reach // 2)
-                for k in range(i, j):
-                    a, b = offsets[k] - base, offsets[k + 1] - base
-                    if b - a < length:
-                        continue
-                    at = least_places(grams[a : b - GRAM + 1], width)
-                    left, right = np.maximum(at - reach, 0), np.minimum(at, b - a - length)
-                    # the surroundings are all strings from `left` to `right`: their two outer hashes and where they lie
-                    around = mix(wide[a + left] * np.uint64(3) + wide[a + right] + ((at - left) * 1024 + (right - left)).astype(np.uint64))
-                    own = half[a : b - GRAM - reach // 2 + 1]
-                    found.append((np.full(len(at), k), grams[a + at], around, at, left, right + length, _side(own, at - reach // 2), _side(own, at)))
+                base, part = offsets[i], data[offsets[i] : offsets[j]]
+                grams = rolling(part, GRAM)
+                at = anchors_of(grams, width)
+                if not len(at):
+                    continue
+                # a string must end in the text in which it starts
+                ends = np.repeat(offsets[i + 1 : j + 1] - base, np.diff(offsets[i : j + 1]))[: len(at)]
+                start = np.flatnonzero(np.arange(len(at)) + length <= ends)
+                if not len(start):
+                    continue
+                first = np.flatnonzero(np.r_[True, at[start][1:] != at[start][:-1]])
+                n = np.diff(np.r_[first, len(start)])
+                lo, at = start[first], at[start[first]]
+                found.append((grams[at], lo + base, at - lo, n))
             if not found:
                 continue
-            place, key, around, at, left, right, before, behind = (np.concatenate(x) for x in zip(*found, strict=True))
-            rank = np.lexsort((ties, docs))
-            ranks = np.empty(len(docs), np.int64)
-            ranks[rank] = np.arange(len(docs))
-            order = np.lexsort((at, ranks[place], around, key))
-            same = np.r_[False, (key[order][1:] == key[order][:-1]) & (around[order][1:] == around[order][:-1])]
-            first, again = order[~same], order[same]
-            yield _batch(docs[place[first]], ties[place[first]], key[first].view(np.int64), around[first].view(np.int64), before[first], behind[first], at[first], np.zeros(len(first)))
-            d, lo, hi = _merged_by_doc(place[again], left[again], right[again])
-            yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), np.zeros(len(d)), np.zeros(len(d)), lo, hi)
+            key, lo, rel, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner = np.searchsorted(offsets, lo, "right") - 1
+            _, back, often = np.unique(key, return_inverse=True, return_counts=True)
+            again, seen, raw = np.zeros(len(key), bool), set(), data.tobytes()
+            for k in np.flatnonzero(often[back] > 1).tolist():
+                window = (int(rel[k]), raw[lo[k] : lo[k] + n[k] + length - 1])
+                again[k] = window in seen
+                seen.add(window)
+            place = (lo - offsets[owner]) << 14 | rel << 7 | n
+            new = ~again
+            yield _batch(_MARKS, docs[owner[new]], ties[owner[new]], key[new].view(np.int64), place[new], np.zeros(int(new.sum())))
+            if again.any():
+                d, a, b = _merged_by_doc(owner[again], (place >> 14)[again], (place >> 14)[again] + n[again] + length - 1)
+                yield _batch(_MARKS, docs[d], ties[d], np.zeros(len(d)), a, b)
 
     return run
 
 
-def _edge_rows(length: int):
-    """Task function over documents with their open anchors: first of each class of equal strings (key, hi 0), others as intervals."""
-    reach = length - GRAM
+def _windows(length: int):
+    """Task function over documents with their open windows: the bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            rank = pa.array(np.lexsort((ties, docs)))
-            batch = batch.take(rank)
-            docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             data, offsets = buffers(batch.column("text"))
-            anchors = batch.column("anchors")
-            for i, j in chunks(offsets, 1 << 20):
-                base = offsets[i]
-                part = data[base : offsets[j]]
-                starts, owner = [], []
-                for k in range(i, j):
-                    packed = anchors[k].values.to_numpy()
-                    at, sides = packed >> 2, packed & 3
-                    size = offsets[k + 1] - offsets[k]
-                    mark = np.zeros(size + 1, np.int64)
-                    lowest = np.maximum(np.where(sides & 1, at - reach, at - reach // 2), 0)
-                    highest = np.minimum(np.where(sides & 2, at, at - reach // 2), size - length)
-                    some = lowest <= highest
-                    np.add.at(mark, lowest[some], 1)
-                    np.add.at(mark, highest[some] + 1, -1)
-                    own = np.flatnonzero(np.cumsum(mark)[:size] > 0)
-                    starts.append(own + offsets[k] - base)
-                    owner.append(np.full(len(own), k))
-                start, own = np.concatenate(starts), np.concatenate(owner)
-                later = np.zeros(len(start), bool)
-                for members in equal_classes(part, start, length):
-                    later[np.searchsorted(start, members[1:])] = True
-                keys = rolling(part, length)
-                first, again = np.flatnonzero(~later), np.flatnonzero(later)
-                where = start - (offsets[own] - base)
-                yield _batch(docs[own[first]], ties[own[first]], keys[start[first]].view(np.int64), np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first)), where[first], np.zeros(len(first)))
-                d, lo, hi = _merged_by_doc(own[again], where[again], where[again] + length)
-                yield _batch(docs[d], ties[d], mix(lo.astype(np.uint64) + docs[d].view(np.uint64)).view(np.int64), np.zeros(len(d)), np.zeros(len(d)), np.zeros(len(d)), lo, hi)
+            sizes = batch.column("open").value_lengths().to_numpy()
+            flat = batch.column("open").flatten()
+            bounds = np.r_[0, np.cumsum(sizes)]
+            for i, j in chunks(offsets, 1 << 22):
+                some = flat.slice(bounds[i], bounds[j] - bounds[i])
+                place, owner = some.field("place").to_numpy(), np.repeat(np.arange(i, j), sizes[i:j])
+                lo, rel, n = place >> 14, place >> 7 & 127, place & 127
+                ends = np.r_[0, np.cumsum(n + length - 1)]
+                taken = data[np.repeat(offsets[owner] + lo - ends[:-1], np.diff(ends)) + np.arange(ends[-1])]
+                held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
+                whose = pa.array(owner)
+                columns = [some.field("key"), batch.column("doc").take(whose), batch.column("tie").take(whose), pa.array(lo), pa.array(rel.astype(np.int32)), pa.array(n.astype(np.int32)), held, some.field("crowded")]
+                yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _WINDOWS.split(", ")])
+
+    return run
+
+
+def _split(size: int, length: int):
+    """Task function: windows cut into runs of at most `size` strings, dealt by the bytes that all strings of such a run have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                i = 0
+                while i < r["n"]:
+                    low = (r["rel"] - i) // size * size  # the strings of a run hold all from here before the anchor ..
+                    k = min(r["n"], r["rel"] - low + 1)
+                    core = r["bytes"][r["rel"] - low : r["rel"] + length - low - size + 1]  # .. to here behind it
+                    g = xxhash.xxh3_64_intdigest(core, seed=low * 1024 + size)
+                    out.append({**r, "g": g - (g >> 63 << 64), "lo": r["lo"] + i, "rel": r["rel"] - i, "n": k - i, "bytes": r["bytes"][i : k + length - 1]})
+                    i = k
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+    return run
+
+
+def _repeats(length: int):
+    """Group function over dealt windows: intervals of all strings that start earlier in the group too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, tie, lo, n = (table.column(c).to_numpy() for c in ("doc", "tie", "lo", "n"))
+        order = np.lexsort((lo, tie, doc))
+        same = [np.diff(x[order]) == 0 for x in (doc, tie, lo)]
+        order = order[np.r_[True, ~(same[0] & same[1] & same[2])]]  # equal rows in different tasks are one document too
+        doc, tie, lo, n = doc[order], tie[order], lo[order], n[order].astype(np.int64)
+        data, offsets = buffers(table.column("bytes").take(pa.array(order)))
+        raw, seen, new = data.tobytes(), set(), np.zeros(len(n), bool)
+        for k in range(len(n)):
+            window = raw[offsets[k] : offsets[k + 1]]
+            new[k] = window not in seen
+            seen.add(window)
+        first = np.flatnonzero(new)
+        row = np.repeat(first, n[first])
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n[first]) - n[first], n[first])
+        later = later_strings(data, offsets[row] + within, length) if len(row) else np.zeros(0, bool)
+        whole = np.flatnonzero(~new)
+        which = np.r_[whole, row[later]]
+        at = np.r_[lo[whole], (lo[row] + within)[later]]
+        change = np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])] if len(doc) else np.zeros(0, bool)
+        place = np.cumsum(change) - 1
+        d, a, b = _merged_by_doc(place[which], at, at + np.r_[n[whole], np.ones(int(later.sum()), np.int64)] + length - 1)
+        lead = np.flatnonzero(change)
+        return pa.Table.from_batches([_batch(_SPANS, doc[lead[d]], tie[lead[d]], a, b)])
 
     return run
 
@@ -273,31 +329,36 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, _CUT_TYPE)
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """Byte intervals to remove: doc, tie, lo, hi (may overlap), for docs keyed by keyed()."""
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, crowd: int = 1 << 14) -> DataFrame:
+    """Byte intervals to remove: doc, tie, lo, hi (may overlap), for docs keyed by keyed().
+
+    Anchors that more than `crowd` windows share are split (see above), so that no task sorts an unbounded group.
+    """
     rows = keyed(docs, doc_id, text).select("doc", "tie", F.col(text).alias("text")).where(F.octet_length("text") >= length)
-    marks = rows.mapInArrow(_anchor_rows(length), _MARKS)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = Window.partitionBy("key").orderBy("around", "doc", "tie", "lo")
-
-    def shared(side: str):
-        w = Window.partitionBy("key", side)
-        return (F.col(side) > 0) & (F.min("around").over(w) < F.max("around").over(w))
-
-    marks = marks.repartition(parts, "key").select(
-        "doc", "tie", "lo", "hi", F.coalesce(F.lag("around").over(place) == F.col("around"), F.lit(False)).alias("again"), shared("left").cast("long").alias("l"), shared("right").cast("long").alias("r")
-    )
-    marks = staged(marks.where("hi > 0 or again or l + r > 0"))
-    size = rows.select("doc", "tie", F.octet_length("text").cast("long").alias("size"))
-    whole = marks.where("hi > 0").select("doc", "tie", "lo", "hi")
-    covered = marks.where("hi = 0 and again").join(size, ["doc", "tie"]).select("doc", "tie", F.greatest(F.col("lo") - (length - GRAM), F.lit(0)).alias("lo"), F.least(F.col("lo") + length, "size").alias("hi"))
-    open_ = marks.where("hi = 0 and not again").groupBy("doc", "tie").agg(F.collect_list(F.col("lo") * 4 + F.col("l") + 2 * F.col("r")).alias("anchors"))
-    likely = members(marks.where("hi = 0 and not again"))
-    edges = rows.where(likely("doc", "tie")).join(open_, ["doc", "tie"]).select("doc", "tie", "text", "anchors").mapInArrow(_edge_rows(length), _MARKS)
-    order = Window.partitionBy("key").orderBy("hi", "doc", "tie", "lo")
-    edges = edges.repartition(parts, "key").select("doc", "tie", "lo", "hi", F.row_number().over(order).alias("nth"))
-    edges = edges.where("hi > 0 or nth > 1").select("doc", "tie", "lo", F.when(F.col("hi") > 0, F.col("hi")).otherwise(F.col("lo") + length).alias("hi"))
-    return whole.unionByName(covered).unionByName(edges)
+    marks = staged(rows.mapInArrow(_window_marks(length), _MARKS))
+    near = marks.where("hi > 0").select("doc", "tie", F.col("place").alias("lo"), "hi")
+    often = marks.where("hi = 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > crowd).alias("crowded"))
+    open_ = staged(marks.where("hi = 0").join(often, "key").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "place", "crowded")).alias("open")))
+    likely = members(open_)
+    windows = staged(rows.where(likely("doc", "tie")).join(open_, ["doc", "tie"]).select("doc", "tie", "text", "open").mapInArrow(_windows(length), _WINDOWS))
+    total, crowded = windows.agg(F.count("*"), F.count_if("crowded")).first()
+    dealt, found = windows.where("not crowded"), [near]
+    rest = windows.where("crowded")
+    for size in (32, 8, 1) if crowded else ():
+        split = staged(rest.mapInArrow(_split(size, length), _WINDOWS))
+        sized = split.join(split.groupBy("g").agg(F.count("*").alias("held")).where("held > 1"), "g")
+        if size > 1:
+            dealt = dealt.unionByName(sized.where(F.col("held") <= crowd).drop("held"))
+            rest = sized.where(F.col("held") > crowd).drop("held")
+        else:
+            firsts = sized.groupBy("bytes").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"))
+            later = sized.join(firsts, "bytes").where(F.struct("doc", "tie", "lo") > F.col("first"))
+            found.append(later.select("doc", "tie", "lo", (F.col("lo") + length).alias("hi")))
+    deals = int(total // 8192) + 1
+    sorted_ = dealt.select(F.pmod("g", F.lit(deals)).alias("deal"), "doc", "tie", "lo", "n", "bytes").groupBy("deal").applyInArrow(_repeats(length), _SPANS)
+    for part in found:
+        sorted_ = sorted_.unionByName(part)
+    return sorted_
 
 
 def members(marks: DataFrame, buckets: int = 1024):
@@ -333,7 +394,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     Order is that of doc_id (null first), then start. Rows with the same id are told apart by their texts' hashes; rows
     equal in both are one document and get the same answer. Null and empty texts, and those shorter than length, keep
-    everything. Strings are compared between tasks by 64-bit hashes, inside a task byte by byte.
+    everything. What is removed was found equal byte by byte.
     """
     found = staged(spans(docs, doc_id, text, length).groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     rows = keyed(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("doc_id"), "doc", "tie", F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -98,3 +98,50 @@ def test_discovery_on_several_templates(spark):
     assert [len(found[k].spans) for k in (901, 902)] == [1, 1]
     assert not any(found[4 * i + k].spans for i in range(30) for k in (2, 3))
     assert all(len(found[4 * i].spans) == 2 for i in range(30))
+
+
+@pytest.mark.parametrize("crowd", [3, 40])
+def test_crowded_anchors_are_split(spark, crowd):
+    """A passage with different surroundings in every text: the same result as without a split."""
+    import random
+
+    from strandline.llm import suffix_dedup
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 40))), passage, *(word() for _ in range(rng.randint(0, 40)))]) for _ in range(60)]
+    texts += ["-" * 700, "x" + "-" * 500, passage[40:] + passage[:200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    cut = lambda **o: sorted((r.doc, r.tie, r.lo, r.hi) for r in suffix_dedup.spans(docs, **o).collect())
+
+    def covered(rows):
+        return {(d, x) for d, _, a, b in rows for x in range(a, b)}
+
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        b = t.encode()
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                want |= {(d, x) for x in range(i, i + 100)}
+            seen.add(b[i : i + 100])
+    assert covered(cut(crowd=crowd)) == want == covered(cut())
+
+
+def test_removal_rests_on_the_sort(spark, hard_dir, monkeypatch):
+    """Without the order of suffixes, repeats with different surroundings are missed."""
+    import numpy as np
+
+    from strandline.llm import suffix_dedup
+
+    docs = spark.createDataFrame([(i, f"{chr(97 + i) * 30} " + " ".join(f"w{k * k}" for k in range(60)) + chr(105 + i) * 40) for i in range(3)], "doc_id long, text string").repartition(3)
+    assert sum(r.cut.n_removed for r in suffix_dedup.deduplicated(docs).collect()) > 0
+    empty = np.zeros(0, np.int64)
+    table = suffix_dedup._repeats(100)
+    import pyarrow as pa
+
+    one = (b"x" * 20 + bytes(range(60, 180)), b"y" * 20 + bytes(range(60, 180)))
+    rows = pa.table({"doc": [1, 2], "tie": [0, 0], "lo": [0, 0], "n": [41, 41], "bytes": list(one)})
+    assert table(rows).num_rows == 1
+    monkeypatch.setattr(suffix_dedup, "sorted_classes", lambda *a, **k: (empty, empty))
+    assert table(rows).num_rows == 0
