@@ -1,10 +1,13 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
 A word's probability is that of its class given the context times that of the word within its class. Classes come from
-word endings. Class scores are sums of weights of hashed context features: the word before, the pair before, and the
-second and third word before (skips). Weights start from feature-class counts and are moved by gradient rounds:
-each task sums observed minus expected counts over its documents, Spark adds them up by feature, and the driver takes
-the step. Within a class the softmax has one indicator a word, whose solution is the smoothed count.
+word endings and have two digits, each with a softmax of its own: the first given the context, the second given the
+context and the first. Scores are sums of weights of hashed context features: the word before, the pair before, and the
+second and third word before (skips). Weights start from feature-class counts over all training texts and are moved by
+distributed gradient updates: in each round every task sums expected minus observed counts over the texts of one slice,
+Spark adds them up by feature, and the driver takes the step; one epoch of rounds sees every training text once. Within
+a class the softmax has one indicator a word, whose solution is the smoothed count. Word counts are a Spark table of any
+size; the rows of hashed features follow the training text up to a bound, as they are broadcast.
 """
 
 from __future__ import annotations
@@ -13,15 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
 from .textbytes import LOWER, buffers, chunks, hashed, mix, words
 
-CLASSES = 64
-FEATURES = 1 << 14
-BLOCK = 64
+DIGIT = 8
+CLASSES = DIGIT * DIGIT
+#: Rows of hashed features: a power of two, about one for each BYTES_A_ROW bytes of training text, within these bounds.
+LEAST_ROWS, MOST_ROWS, BYTES_A_ROW = 1 << 14, 1 << 17, 1 << 15
+BLOCK = 256
+#: Bytes of text that one task sums up before its sums are shuffled.
+TASK_BYTES = 1 << 27
 END = np.uint64(0x51ED270B7F4A7C15)
 START = np.uint64(0x2545F4914F6CDD1D)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -45,8 +53,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tok, cls, bounds
 
 
-def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Feature rows of each token, shape (4, tokens)."""
+def features(tok: np.ndarray, bounds: np.ndarray, rows: int) -> np.ndarray:
+    """Feature rows of each token, shape (4, tokens); rows is a power of two."""
     at = np.arange(len(tok)) - np.repeat(bounds[:-1], np.diff(bounds))
 
     def back(k: int) -> np.ndarray:
@@ -56,126 +64,151 @@ def features(tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return out
 
     one, two, three = back(1), back(2), back(3)
-    return np.stack([(mix(x ^ s) % np.uint64(FEATURES)).astype(np.int64) for x, s in zip((one, one * np.uint64(3) + two, two, three), _SALTS, strict=True)])
+    return np.stack([(mix(x ^ s) & np.uint64(rows - 1)).astype(np.int64) for x, s in zip((one, one * np.uint64(3) + two, two, three), _SALTS, strict=True)])
 
 
 class ClassModel:
-    """Class scores of tokens under weights, whose first row is the bias; works on ROWS tokens at a time, in two reused arrays."""
+    """Class scores of tokens under weights of shape (1 + rows, DIGIT + CLASSES), whose first row is the bias.
 
-    ROWS = 2048
+    A row holds the scores of the first digit, then for each first digit those of the second.
+    """
+
+    STEP = 1 << 15  # tokens at a time
 
     def __init__(self, weights: np.ndarray):
-        self.bias, self.weights = weights[0], weights[1:]
-        self.scratch, self.ones = np.empty((self.ROWS, CLASSES), np.float32), np.ones(CLASSES, np.float32)
-        # exp() of a score can't overflow or vanish as a whole below this bound, so that no row needs its maximum
-        self.bounded = float(np.abs(self.bias).max() + len(_SALTS) * np.abs(self.weights).max()) < 80
-
-    def _odds(self, feats: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Fills out with each token's unnormalised class probabilities; returns their sums."""
-        scratch = self.scratch[: len(out)]
-        np.take(self.weights, feats[0], axis=0, out=out, mode="clip")
-        out += self.bias
-        for f in feats[1:]:
-            out += np.take(self.weights, f, axis=0, out=scratch, mode="clip")
-        if not self.bounded:
-            out -= out.max(axis=1, keepdims=True)
-        np.exp(out, out=out)
-        return out @ self.ones
-
-    def probabilities(self, feats: np.ndarray) -> np.ndarray:
-        """Probabilities of all classes for each token."""
-        p = np.empty((feats.shape[1], CLASSES), np.float32)
-        for at in range(0, len(p), self.ROWS):
-            rows = p[at : at + self.ROWS]
-            rows /= self._odds(feats[:, at : at + self.ROWS], rows)[:, None]
-        return p
+        self.rows = len(weights) - 1
+        self.bias = (weights[0, :DIGIT].copy(), weights[0, DIGIT:].reshape(DIGIT, DIGIT).copy())
+        self.first, self.second = np.ascontiguousarray(weights[1:, :DIGIT]), np.ascontiguousarray(weights[1:, DIGIT:]).reshape(-1, DIGIT)
+
+    def odds(self, feats: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised probabilities of the first digits, and of the second ones behind each token's own first digit."""
+        digit = cls // DIGIT
+        one, two = self.bias[0][None, :].repeat(len(cls), axis=0), self.bias[1][digit]
+        for f in feats:
+            one += self.first[f]
+            two += self.second[f * DIGIT + digit]
+        for scores in (one, two):
+            scores -= scores.max(axis=1, keepdims=True)
+            np.exp(scores, out=scores)
+        return one, two
 
     def logs(self, feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each token's own class."""
-        out, rows = np.empty(len(cls)), np.empty((self.ROWS, CLASSES), np.float32)
-        for at in range(0, len(cls), self.ROWS):
-            own = cls[at : at + self.ROWS]
-            sums = self._odds(feats[:, at : at + self.ROWS], rows[: len(own)])
-            out[at : at + self.ROWS] = np.log(np.maximum(rows[np.arange(len(own)), own] / sums, 1e-30))
+        out = np.empty(len(cls))
+        for at in range(0, len(cls), self.STEP):
+            own = cls[at : at + self.STEP]
+            one, two = self.odds(feats[:, at : at + self.STEP], own)
+            n = np.arange(len(own))
+            p = one[n, own // DIGIT] / one.sum(axis=1) * (two[n, own % DIGIT] / two.sum(axis=1))
+            out[at : at + self.STEP] = np.log(np.maximum(p, 1e-30))
         return out
 
-
-def _add_observed(total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None:
-    total[0] += np.bincount(cls, minlength=CLASSES)
-    flat = total[1:].reshape(-1)
-    for f in feats:
-        flat += np.bincount(f * CLASSES + cls, minlength=FEATURES * CLASSES)
-
-
-def _add_expected(total: np.ndarray, model: ClassModel, feats: np.ndarray) -> None:
-    """Adds expected counts to total, which is laid out by class here: (CLASSES, FEATURES + 1)."""
-    p = model.probabilities(feats).T.astype(np.float64, order="C")
-    total[:, 0] += p.sum(axis=1)
-    for f in feats:
-        for c in range(CLASSES):
-            total[c, 1:] += np.bincount(f, p[c], FEATURES)
-
-
-def _sums(docs: DataFrame, weights: np.ndarray | None) -> np.ndarray:
-    """Observed (weights None) or expected feature-class counts over all texts, added up in Spark by blocks of features."""
+    def add_gradient(self, total: np.ndarray, feats: np.ndarray, cls: np.ndarray) -> None:
+        """Adds expected minus observed counts to total, laid out by score: (DIGIT + DIGIT, (1 + rows) * DIGIT)."""
+        one, two = self.odds(feats, cls)
+        digit, n = cls // DIGIT, np.arange(len(cls))
+        for p, own in ((one, digit), (two, cls % DIGIT)):
+            p /= p.sum(axis=1, keepdims=True)
+            p[n, own] -= 1
+        one, two = one.T.astype(np.float64, order="C"), two.T.astype(np.float64, order="C")
+        for k in range(DIGIT):
+            total[k, 0] += one[k].sum()
+            total[DIGIT + k, :DIGIT] += np.bincount(digit, two[k], DIGIT)
+        for f in feats:
+            both = f * DIGIT + digit
+            for k in range(DIGIT):
+                total[k, 1 : self.rows + 1] += np.bincount(f, one[k], self.rows)
+                total[DIGIT + k, DIGIT:] += np.bincount(both, two[k], self.rows * DIGIT)
+
+
+def _gradient_table(total: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of add_gradient in the layout of the weights."""
+    return np.hstack([total[:DIGIT, : rows + 1].T, total[DIGIT:].reshape(DIGIT, rows + 1, DIGIT).transpose(1, 2, 0).reshape(rows + 1, CLASSES)])
+
+
+def _summed(docs: DataFrame, tasks: int, rows: int, weights: np.ndarray | None) -> np.ndarray:
+    """Feature-class counts (weights None) or the gradient over all texts, added up in Spark by blocks of features."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    step = 1 << 17 if weights is None else 1 << 16  # tokens at a time
+    step = 1 << 18  # tokens at a time
+    width = CLASSES if weights is None else DIGIT + CLASSES
+    padded_rows = -(-(rows + 1) // BLOCK) * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         model = None if held.value is None else ClassModel(held.value)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, 1 << 21):
                 lo, hi = offsets[i], offsets[j]
                 tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
-                feats = features(tok, bounds)
-                total = np.zeros((FEATURES + 1, CLASSES) if model is None else (CLASSES, FEATURES + 1)) if total is None else total
+                feats = features(tok, bounds, rows)
+                total = np.zeros((rows + 1) * CLASSES if model is None else (2 * DIGIT, (rows + 1) * DIGIT)) if total is None else total
                 for at in range(0, len(tok), step):
-                    if model is None:
-                        _add_observed(total, feats[:, at : at + step], cls[at : at + step])
+                    f, c = feats[:, at : at + step], cls[at : at + step]
+                    if model:
+                        model.add_gradient(total, f, c)
                     else:
-                        _add_expected(total, model, feats[:, at : at + step])
+                        total[:CLASSES] += np.bincount(c, minlength=CLASSES)
+                        np.add.at(total, ((f + 1) * CLASSES + c).ravel(), 1.0)
         if total is not None:
-            padded = np.zeros((-(-(FEATURES + 1) // BLOCK) * BLOCK, CLASSES), np.float32)
-            padded[: FEATURES + 1] = total if model is None else total.T
-            blocks = [padded[k : k + BLOCK].tobytes() for k in range(0, len(padded), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
+            padded = np.zeros((padded_rows, width), np.float32)
+            padded[: rows + 1] = total.reshape(rows + 1, CLASSES) if model is None else _gradient_table(total, rows)
+            blocks = [padded[k : k + BLOCK].tobytes() for k in range(0, padded_rows, BLOCK)]
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "sums"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("sums"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    rows = docs.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
-    out = np.zeros((-(-(FEATURES + 1) // BLOCK) * BLOCK, CLASSES))
-    for r in rows:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, CLASSES)
-    return out[: FEATURES + 1]
-
-
-def train(texts: DataFrame, rounds: int = 1, blend: float = 0.35, prior: float = 8.0, step: float = 1.0) -> np.ndarray:
-    """Class weights learned from all texts (column text): counts, then `rounds` gradient steps over all of them.
-
-    A step moves a feature's weights by its observed minus expected counts over their mean plus a prior.
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    kind = "block int, part int, sums binary"
+    found = docs.coalesce(tasks).mapInArrow(run, kind)
+    while True:  # no sum takes more than 64 parts
+        tasks = -(-tasks // 64)
+        found = found.withColumn("part", F.floor(F.col("part") / 64).cast("int")).groupBy("block", "part").applyInArrow(add, kind)
+        if tasks == 1:
+            break
+    out = np.zeros((padded_rows, width))
+    for r in found.collect():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, width)
+    held.destroy()
+    return out[: rows + 1]
+
+
+def train(texts: DataFrame, rounds: int = 4, blend: float = 0.35, prior: float = 8.0, step: float = 1.0) -> np.ndarray:
+    """Class weights learned from all texts (column text): counts, then one epoch of `rounds` gradient updates.
+
+    The texts are dealt into `rounds` slices by a hash; each update takes the gradient over one of them. It moves a
+    feature's weights by observed minus expected counts over the counts expected in a slice plus a prior.
     """
-    seen = _sums(texts, None)
-    base = (seen[0] + 1) / (seen[0].sum() + CLASSES)
-    row = seen[1:].sum(axis=1, keepdims=True)
-    weights = np.vstack([np.log(base), blend * (np.log((seen[1:] + prior * base) / (row + prior)) - np.log(base))])
-    for _ in range(rounds):
-        expected = _sums(texts, weights.astype(np.float32))
-        scale = 0.5 * (seen + expected) + prior
-        weights = weights + step / (len(_SALTS) + 1) * np.clip((seen - expected) / scale, -2, 2)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = 1 << int(np.clip(np.ceil(np.log2(max(1, size) / BYTES_A_ROW)), np.log2(LEAST_ROWS), np.log2(MOST_ROWS)))
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, int(size // TASK_BYTES) + 1)
+    seen = _summed(texts, tasks, rows, None).reshape(rows + 1, DIGIT, DIGIT)
+
+    def start(counts: np.ndarray) -> np.ndarray:
+        """Bias and blended log ratios from counts of shape (1 + rows, ..., DIGIT)."""
+        base = (counts[0] + 1) / (counts[0].sum(axis=-1, keepdims=True) + DIGIT)
+        ratio = (counts[1:] + prior * base) / (counts[1:].sum(axis=-1, keepdims=True) + prior)
+        return np.concatenate([np.log(base)[None], blend * (np.log(ratio) - np.log(base))])
+
+    seen = np.hstack([seen.sum(axis=2), seen.reshape(rows + 1, CLASSES)])
+    weights = np.hstack([start(seen[:, :DIGIT]), start(seen[:, DIGIT:].reshape(-1, DIGIT, DIGIT)).reshape(-1, CLASSES)])
+    slice_ = F.pmod(F.xxhash64(F.lit("slice"), "text"), F.lit(rounds))
+    for k in range(rounds):
+        gradient = _summed(texts.where(slice_ == k), tasks, rows, weights.astype(np.float32))
+        weights = weights - step / (len(_SALTS) + 1) * np.clip(gradient / (seen / rounds + prior), -2, 2)
     return weights.astype(np.float32)
 
 
-def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 1, batch_bytes: int = 8_000_000) -> DataFrame:
+def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, batch_bytes: int = 8_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     held_out names a boolean column; all other rows are learned from (null counts as false). Null texts are empty: one
     token, the end. Documents are dealt into batches of about batch_bytes by a hash; each batch looks up the training
-    counts of its different words once, so that words are shuffled once a batch and not once a token. Words are told
-    apart by 64-bit hashes. Repeated rows are scored each.
+    counts of its different words once, so that words are shuffled once a batch and not once a token; a word that
+    stands in every batch has one row a batch, a small part of any task's rows. Words are told apart by 64-bit hashes.
+    Repeated rows are scored each.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = train(rows.where("not held_out").select("text"), rounds)
@@ -209,7 +242,8 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
 
     by_word = Window.partitionBy("word")
     counted = dealt.select("batch", "held_out", "text").mapInArrow(vocabulary, "batch int, word long, cls int, n long").repartition(parts, "word")
-    counted = counted.select("batch", "word", "cls", "n", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("batch")).alias("place"))
+    place = F.row_number().over(by_word.orderBy("batch"))
+    counted = staged(counted.select("batch", "word", "cls", "n", F.sum("n").over(by_word).alias("c"), place.alias("place")))
     by_class = counted.groupBy("cls").agg(F.sum("n").alias("tokens"), F.sum(((F.col("place") == 1) & (F.col("c") > 0)).cast("long")).alias("kinds"))
     totals = by_class.agg(F.sum("tokens").alias("N"), F.sum("kinds").alias("V"), F.map_from_entries(F.collect_list(F.struct("cls", (F.col("tokens") + F.col("kinds") + 1).alias("m")))).alias("m"))
 
@@ -224,7 +258,7 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
             lo, hi = offsets[i], offsets[j]
             tok, cls, bounds = tokens(data[lo:hi], offsets[i : j + 1] - lo)
             c = count[np.searchsorted(word, tok)]
-            feats = features(tok, bounds)
+            feats = features(tok, bounds, classes_of.rows)
             own = classes_of.logs(feats, cls)
             first = bounds[:-1]
             doc = np.repeat(np.arange(j - i), np.diff(bounds))
@@ -238,7 +272,7 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
 
     lookup = counted.select("batch", "word", "c")
     found = dealt.groupBy("batch").cogroup(lookup.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, counts double, classes double, hist array<int>")
-    t = staged(totals).select(F.struct("N", "V", "m")).scalar()
+    t = totals.select(F.struct("N", "V", "m")).scalar()
     found = found.withColumn("t", t)
     within = F.aggregate(F.transform("hist", lambda k, i: F.when(k > 0, k * F.log10(F.element_at(F.col("t.m"), i).cast("double"))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     return found.select(

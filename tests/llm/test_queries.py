@@ -145,3 +145,54 @@ def test_removal_rests_on_the_sort(spark, hard_dir, monkeypatch):
     assert table(rows).num_rows == 1
     monkeypatch.setattr(suffix_dedup, "sorted_classes", lambda *a, **k: (empty, empty))
     assert table(rows).num_rows == 0
+
+
+def test_lm_score_equals_a_plain_model(spark, hard_dir):
+    """The query's score against a token-by-token computation from the trained weights and plain counts."""
+    import math
+
+    import numpy as np
+
+    from strandline.llm import language, lm, textbytes
+
+    docs = spark.read.parquet(f"{hard_dir}/documents.parquet").select("doc_id", "text", (language.remainder("doc_id", 7) == 2).alias("held"))
+    rows = docs.collect()
+    weights = lm.train(docs.where("not held").select(textbytes_text()))
+    size = len(weights) - 1
+    assert lm.LEAST_ROWS <= size <= lm.MOST_ROWS and size & size - 1 == 0
+
+    def parsed(text):
+        data, offsets = textbytes.buffers(__import__("pyarrow").array([text or ""]))
+        return lm.tokens(data, offsets)
+
+    counts, kinds, per_class = {}, {}, {}
+    for r in rows:
+        if not r.held:
+            tok, cls, _ = parsed(r.text)
+            for t, c in zip(tok.tolist(), cls.tolist(), strict=True):
+                counts[t] = counts.get(t, 0) + 1
+                kinds[t] = c
+                per_class[c] = per_class.get(c, 0) + 1
+    distinct = {c: sum(1 for k in kinds.values() if k == c) for c in range(64)}
+    want = []
+    for r in [x for x in rows if len(x.text or "") < 20000]:
+        tok, cls, bounds = parsed(r.text)
+        feats = lm.features(tok, bounds, size)
+        total = 0.0
+        for i, (t, c) in enumerate(zip(tok.tolist(), cls.tolist(), strict=True)):
+            w = weights[0].astype(float) + sum(weights[1 + f].astype(float) for f in feats[:, i])
+            one, two = w[:8], w[8 + 8 * (c // 8) : 16 + 8 * (c // 8)]
+            total += one[c // 8] - np.log(np.exp(one).sum()) + two[c % 8] - np.log(np.exp(two).sum())
+            total += math.log((counts.get(t, 0) + 1) / (per_class.get(c, 0) + distinct[c] + 1))
+        want.append((str(r.doc_id), total / math.log(10)))
+    got = sorted((str(r.doc_id), r.score) for r in queries.op9_lm_score(spark, hard_dir).collect() if r.n_tokens < 5000)
+    want = sorted(want)
+    assert [x for x, _ in got] == [x for x, _ in want] or {x for x, _ in want} <= {x for x, _ in got}
+    known = dict(got)
+    assert all(abs(known[d] - s) < 1e-3 * max(1, abs(s)) for d, s in want)
+
+
+def textbytes_text():
+    from pyspark.sql import functions as F
+
+    return F.coalesce("text", F.lit("")).alias("text")
