@@ -201,7 +201,7 @@ def train(texts: DataFrame, rounds: int = 4, blend: float = 0.35, prior: float =
     return weights.astype(np.float32)
 
 
-def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, batch_bytes: int = 8_000_000) -> DataFrame:
+def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, batch_bytes: int = 12_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
 
     held_out names a boolean column; all other rows are learned from (null counts as false). Null texts are empty: one
@@ -243,8 +243,9 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
     by_word = Window.partitionBy("word")
     counted = dealt.select("batch", "held_out", "text").mapInArrow(vocabulary, "batch int, word long, cls int, n long").repartition(parts, "word")
     place = F.row_number().over(by_word.orderBy("batch"))
-    counted = staged(counted.select("batch", "word", "cls", "n", F.sum("n").over(by_word).alias("c"), place.alias("place")))
-    by_class = counted.groupBy("cls").agg(F.sum("n").alias("tokens"), F.sum(((F.col("place") == 1) & (F.col("c") > 0)).cast("long")).alias("kinds"))
+    kind = F.when(place == 1, F.col("cls"))  # one of a word's rows tells its class
+    counted = staged(counted.select("batch", "word", F.sum("n").over(by_word).alias("c"), kind.alias("cls")))
+    by_class = counted.where("cls is not null and c > 0").groupBy("cls").agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"))
     totals = by_class.agg(F.sum("tokens").alias("N"), F.sum("kinds").alias("V"), F.map_from_entries(F.collect_list(F.struct("cls", (F.col("tokens") + F.col("kinds") + 1).alias("m")))).alias("m"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -274,8 +275,8 @@ def scored(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "
     found = dealt.groupBy("batch").cogroup(lookup.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, counts double, classes double, hist array<int>")
     t = totals.select(F.struct("N", "V", "m")).scalar()
     found = found.withColumn("t", t)
-    within = F.aggregate(F.transform("hist", lambda k, i: F.when(k > 0, k * F.log10(F.element_at(F.col("t.m"), i).cast("double"))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    within = F.aggregate(F.transform("hist", lambda k, i: F.when(k > 0, k * F.log10(F.coalesce(F.try_element_at(F.col("t.m"), i), F.lit(1)).cast("double"))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.coalesce("t.N", F.lit(0)).alias("train_tokens"),
-        (F.col("counts") - F.col("n_tokens") * F.log10((F.col("t.N") + F.col("t.V") + 1).cast("double"))).alias("base_score"), (F.col("classes") + F.col("counts") - within).alias("score"),
+        (F.col("counts") - F.col("n_tokens") * F.log10((F.coalesce("t.N", F.lit(0)) + F.coalesce("t.V", F.lit(0)) + 1).cast("double"))).alias("base_score"), (F.col("classes") + F.col("counts") - within).alias("score"),
     )
