@@ -7,7 +7,7 @@ shingles. Within a size band P exceeds that bound by one and some slack, so link
 which they hold the very same shingles (pigeonhole): the part's 64 parities and the XOR of its shingles' hashes agree,
 and an equi-join on (band, part, parities, XOR) finds every link. Parts without a shingle say little; a set gives them
 as keys only if it has more of them than the slack, as otherwise a linked set agrees with it in a part that has some.
-Candidates whose whole sketches lie too far apart go; the others are verified on the real sets.
+Candidates whose folded sketches lie too far apart go; the others are verified on the real sets.
 """
 
 from __future__ import annotations
@@ -16,15 +16,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import staged
-from .textbytes import shingle_sets
+from .staging import free, partitions, scratch, staged
+from .textbytes import mix, shingle_sets
 
-#: 64-bit words of the folded sketch that bucket joins test before a pair is made.
-FOLD = 4
+#: 64-bit words of the folded sketch.
+FOLD = 8
+#: Texts whose keys are dealt together; four times as many fit 16 bits.
+TOGETHER = 1 << 14
+#: Bytes of text for each group of dealt keys.
+DEAL_BYTES = 1 << 24
 
 
 class Bands:
@@ -67,11 +72,13 @@ def part_sums(members: np.ndarray, parts: int, slack: int) -> np.ma.MaskedArray:
     return np.ma.array(sums.view(np.int32), mask=empty & (empty.sum() <= slack))
 
 
-def _parts(members: np.ndarray, bands: Bands) -> tuple:
-    """A set's band, and its sketches and part sums there and in the next band, where larger partners may lie."""
-    own = bands.of(len(members))
-    sizes = [(bands.parts(k), bands.slack(k)) for k in (own, own + 1)]
-    return own, *[sketch(members, p) for p, _ in sizes], *[part_sums(members, p, s) for p, s in sizes]
+def part_keys(members: np.ndarray, bands: Bands, band: int) -> np.ndarray:
+    """Hashes of (band, part, parities, XOR) of a set's parts in a band."""
+    parts = bands.parts(band)
+    sums = part_sums(members, parts, bands.slack(band))
+    place = np.uint64(band << 32) + np.arange(parts, dtype=np.uint64)
+    keys = mix(mix(sketch(members, parts) + mix(place)) ^ sums.data.view(np.uint32).astype(np.uint64))
+    return keys[~np.ma.getmaskarray(sums)]
 
 
 def folded(parts: np.ndarray) -> np.ndarray:
@@ -82,63 +89,138 @@ def folded(parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """A row for each different text that has words: node, n_shingles, band, its sketches (low, high), their part sums and their folds."""
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
 
-    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
-    def sums(arrays: list[np.ma.MaskedArray]) -> pa.ListArray:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        flat = np.ma.concatenate([*arrays, np.ma.zeros(0, np.int32)])
-        return pa.ListArray.from_arrays(ends, pa.array(flat.data, pa.int32(), mask=np.ma.getmaskarray(flat)))
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Node and shingle set of each different text of a batch that has words."""
+    seen = set()
+    for node, members in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), n), strict=True):
+        if len(members) and node not in seen:
+            seen.add(node)
+            yield node, members
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for batch in batches:
-            found = {}
-            for node, members in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), n), strict=True):
-                if len(members) and node not in found:
-                    found[node] = (len(members), *_parts(members, bands))
-            rows = list(found.values())
-            folds = [np.concatenate([folded(r[2]), folded(r[3])]) for r in rows]
-            columns = [pa.array(list(found), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2] for r in rows]), lists([r[3] for r in rows])]
-            columns += [sums([r[4] for r in rows]), sums([r[5] for r in rows]), lists(folds)]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n_shingles", "band", "low", "high", "low_sums", "high_sums", "folds"])
 
-    rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).where("text is not null")
-    found = rows.mapInArrow(run, "node long, n_shingles long, band int, low array<long>, high array<long>, low_sums array<int>, high_sums array<int>, folds array<long>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "low", "high", "low_sums", "high_sums", "folds")])
+_DEALT = "deal int, kind int, batch long, keys binary, spots binary"
+_ENTRIES = "key long, batch long, spot int, node long"
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """node, text for the nodes asked for."""
-    rows = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    return rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _dealt_keys(n: int, num: int, den: int, bits: int):
+    """Task function: the keys of a batch of texts, packed by the deal that the first `bits` of a key name.
 
+    kind 0 holds each key once, by its next 32 bits and a spot: place of the text in the batch, lane, and whether more
+    texts of the batch have the key; kind 1 those further texts, with whole keys, dealt anywhere, so that a common key
+    brings one entry a batch to its deal; kind 2 the nodes of the batch.
+    """
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                nodes, keys, spots = [], [], []
+                for node, members in _sets(whole.slice(at, TOGETHER), n):
+                    own = bands.of(len(members))
+                    for lane in (0, 1):
+                        found = part_keys(members, bands, own + lane)
+                        keys.append(found)
+                        spots.append(np.full(len(found), len(nodes) * 4 + lane * 2, np.uint16))
+                    nodes.append(node)
+                if not nodes:
+                    continue
+                key, spot = np.concatenate(keys) >> np.uint64(32 - bits), np.concatenate(spots)
+                order = np.argsort(key, kind="stable")
+                key, spot = key[order], spot[order]
+                first = np.r_[True, key[1:] != key[:-1]]
+                many = np.diff(np.r_[np.flatnonzero(first), len(key)]) > 1
+                once, lead = key[first], spot[first] | many.astype(np.uint16)
+                deal = (once >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1], True])
+                held = np.array(nodes, np.int64)
+                batch = xxhash.xxh3_64_intdigest(held.tobytes()) >> 1
+                anywhere = batch % (1 << bits)
+                rows = [(int(deal[a]), 0, once[a:b].astype(np.uint32).tobytes(), lead[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows += [(anywhere, 1, key[~first].tobytes(), spot[~first].tobytes()), (anywhere, 2, held.tobytes(), b"")]
+                columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([batch] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["deal", "kind", "batch", "keys", "spots"])
+
+    return run
+
+
+def _met(key: tuple, table: pa.Table) -> pa.Table:
+    """Group function: entries of keys that more than one text has, and the texts of batches (without a key)."""
+    kind, batch = table.column("kind").to_numpy(), table.column("batch").to_numpy()
+    packed, places = table.column("keys").to_pylist(), table.column("spots").to_pylist()
+    out_key, out_batch, out_spot = [], [], []
+    blocks = np.flatnonzero(kind == 0)
+    if len(blocks):
+        low = np.frombuffer(b"".join(packed[k] for k in blocks), np.uint32)
+        spot = np.frombuffer(b"".join(places[k] for k in blocks), np.uint16)
+        source = np.repeat(batch[blocks], [len(packed[k]) // 4 for k in blocks])
+        order = np.argsort(low, kind="stable")
+        low, spot, source = low[order], spot[order], source[order]
+        group = np.cumsum(np.r_[True, low[1:] != low[:-1]]) - 1
+        shared = (np.bincount(group)[group] > 1) | (spot & 1 == 1)
+        out_key.append(low[shared].astype(np.int64) | key[0].as_py() << 32)
+        out_batch.append(source[shared])
+        out_spot.append(spot[shared])
+    for k in np.flatnonzero(kind == 1):
+        out_key.append(np.frombuffer(packed[k], np.int64))
+        out_spot.append(np.frombuffer(places[k], np.uint16))
+        out_batch.append(np.full(len(out_spot[-1]), batch[k]))
+    entries = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (out_key, out_batch, out_spot)]
+    names, of, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(kind == 2):
+        names.append(np.frombuffer(packed[k], np.int64))
+        of.append(np.full(len(names[-1]), batch[k]))
+        at.append(np.arange(len(names[-1])))
+    n, m = len(entries[0]), sum(map(len, names))
+    return pa.table({
+        "key": pa.concat_arrays([pa.array(entries[0]), pa.nulls(m, pa.int64())]), "batch": pa.array(np.concatenate([entries[1], *of])),
+        "spot": pa.array(np.concatenate([entries[2], *at]).astype(np.int32)), "node": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate(names))]),
+    })
+
+
+def _shared(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    """key, lane, node: for each key that several different texts have, those texts.
+
+    Keys have 32 bits beyond those that name their deal, and deals follow the amount of text, so at every size few keys
+    meet by accident; what meets is verified later.
+    """
+    rows = _rows(docs, text)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(30, int(np.ceil(np.log2(max(partitions(docs), size / DEAL_BYTES, 1)))))
+    met = staged(rows.mapInArrow(_dealt_keys(n, num, den, bits), _DEALT).groupBy("deal").applyInArrow(_met, _ENTRIES))
+    names = met.where("key is null").select("batch", F.col("spot").alias("place"), "node").distinct()
+    entries = met.where("key is not null").select("key", "batch", F.shiftright("spot", 2).alias("place"), F.shiftright("spot", 1).bitwiseAND(F.lit(1)).alias("lane"))
+    return entries.join(names, ["batch", "place"]).select("key", "lane", "node").distinct()
 
 
-def _close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sketches differ in no more bits than linked sets may."""
-    wanted = staged(classes.drop("low_sums", "high_sums", "folds").join(_ends(pairs), "node", "left_semi"))
+def _about(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    """node, n_shingles, band, folds (of the sketches in its band and the next) of each different text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            rows = []
+            for node, members in _sets(batch, n):
+                own = bands.of(len(members))
+                rows.append((node, len(members), own, np.concatenate([folded(sketch(members, bands.parts(own + k))) for k in (0, 1)])))
+            flat = np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in rows]]).view(np.int64)
+            folds = pa.FixedSizeListArray.from_arrays(pa.array(flat), 2 * FOLD).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), folds], ["node", "n_shingles", "band", "folds"])
+
+    found = _rows(docs, text).mapInArrow(run, "node long, n_shingles long, band int, folds array<long>")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "folds")])
 
-    def side(x: str) -> DataFrame:
-        return wanted.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "low", "high")])
 
-    left = F.when(F.col("band_a") < F.col("band_b"), F.col("high_a")).otherwise(F.col("low_a"))
-    right = F.when(F.col("band_b") < F.col("band_a"), F.col("high_b")).otherwise(F.col("low_b"))
-    apart = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & ((den + num) * apart <= (den - num) * (F.col("n_shingles_a") + F.col("n_shingles_b")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose shingle sets have the similarity."""
-    texts = staged(_texts(_ends(pairs), docs, text))
+    texts = staged(_rows(docs, text).join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,66 +241,66 @@ def jaccard_groups(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9
     """For each different text with words: node (xxhash64 of the text), n_shingles, label (its component's smallest node).
 
     Two texts link when den * intersection >= num * union of their distinct n-word shingles (whole texts). Equal texts
-    are one node, so groups of copies are never expanded. Every bucket of equal sketch parts has a lead, the member with
-    the most company over all its buckets. A text is compared first with the best of its leads, then with those leads
-    that are in another component, and last buckets whose members are still in different components compare those, so
-    no link between components is lost. Pairs come to the exact comparison only if their sketches are as near as linked
-    sets' must be; a fold of the sketch is tested inside the bucket join. Null and empty texts and texts of white space
-    have no node.
+    are one node, so groups of copies are never expanded. Every bucket of equal sketch parts has a lead, its smallest
+    node. A text is compared first with the lead that it meets most often, then with those of its leads that are in
+    another component, and last buckets whose members are still in different components compare those, so no link
+    between components is lost. Pairs come to the exact comparison only if their sizes and folded sketches allow a link.
+    Null and empty texts and texts of white space have no node. The tables made on the way are deleted.
     """
-    classes = staged(_classes(docs, text, n, num, den))
-    lanes = F.array(*[F.struct(F.lit(k).cast("byte").alias("lane"), (F.col("band") + k).alias("at"), F.arrays_zip(F.col(c).alias("bits"), F.col(f"{c}_sums").alias("sum")).alias("sketch")) for k, c in enumerate(("low", "high"))])
-    parts = classes.select("node", F.explode(lanes).alias("s")).select("node", "s.lane", "s.at", F.posexplode("s.sketch").alias("part", "value"))
-    keyed = parts.where("value.sum is not null").select("node", "lane", F.xxhash64("at", "part", "value.bits", "value.sum").alias("key"))
-    order = Window.partitionBy("key").orderBy("node")
-    near = F.lag("node").over(order).isNotNull() | F.lead("node").over(order).isNotNull()
-    shared = staged(keyed.withColumn("near", near).where("near").select("key", "node", "lane"))
-    company = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("node").agg(F.sum("size").alias("weight"))
-    folds = [f"f{k}" for k in range(FOLD)]
-    about = classes.join(company, "node").select("node", "n_shingles", "folds", "weight")
-    known = shared.join(about, "node").select("key", "node", "n_shingles", "weight", *[F.get("folds", F.col("lane") * FOLD + k).alias(f) for k, f in enumerate(folds)])
-    known = staged(known)
-    leads = known.groupBy("key").agg(F.max(F.struct("weight", "node", "n_shingles", *folds)).alias("lead"))
-    known = staged(known.join(leads, "key").select("key", "node", "n_shingles", *folds, "lead"))
-
-    def possible(other: Callable[[str], Column]) -> Column:
+    with scratch(docs.sparkSession) as kept:
+        return kept(_grouped(docs, text, n, num, den))
+
+
+def _grouped(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    shared = staged(_shared(docs, text, n, num, den))
+    about = staged(_about(docs, text, n, num, den))
+    leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
+    spokes = shared.join(leads, "key").where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("common"))
+    spokes = staged(spokes)
+    first = spokes.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+    def possible(mine: Callable[[str], Column], theirs: Callable[[str], Column], fold_of_mine: Column, fold_of_theirs: Column) -> Column:
         """Whether sizes and folded sketches of two rows allow a link."""
-        mine, theirs = F.col("n_shingles"), other("n_shingles")
-        bits = sum((F.bit_count(F.col(f).bitwiseXOR(other(f))) for f in folds), F.lit(0))
-        return (den * F.least(mine, theirs) >= num * F.greatest(mine, theirs)) & ((den + num) * bits <= (den - num) * (mine + theirs))
+        x, y = mine("n_shingles"), theirs("n_shingles")
+        bits = F.aggregate(F.zip_with(fold_of_mine, fold_of_theirs, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+        return (den * F.least(x, y) >= num * F.greatest(x, y)) & ((den + num) * bits <= (den - num) * (x + y))
 
     def found(pairs: DataFrame) -> DataFrame | None:
-        if pairs.isEmpty():
+        """The links among pairs, None if there are none."""
+        left, right = (about.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "folds")]) for x in "ab")
+
+        def fold(x: str, y: str) -> Column:
+            return F.slice(f"folds_{x}", F.when(F.col(f"band_{x}") < F.col(f"band_{y}"), FOLD + 1).otherwise(1), F.lit(FOLD))
+
+        near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & possible(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), fold("a", "b"), fold("b", "a"))
+        close = staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+        if close.isEmpty():
             return None
-        close = staged(_close(pairs, classes, num, den))
-        return None if close.isEmpty() else staged(_verified(close, docs, text, n, num, den))
+        links = staged(_verified(close, docs, text, n, num, den))
+        return None if links.isEmpty() else links
 
     def labelled(rows: DataFrame, node: str, out: str) -> DataFrame:
         named = labels.select(F.col("node").alias("_n"), F.col("label").alias(out))
         return rows.join(named, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce(out, F.col(node))).drop("_n")
 
-    spokes = known.where((F.col("node") != F.col("lead.node")) & possible(lambda c: F.col(f"lead.{c}")))
-    spokes = staged(spokes.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "lead.weight").distinct())
-    first = staged(spokes.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     links = found(first) or none
     labels = components(links)
-    apart = labelled(labelled(spokes, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b")
-    second = staged(apart.join(first, ["a", "b"], "left_anti"))
-    if (more := found(second)) is not None:
+    apart = labelled(labelled(spokes.select("a", "b"), "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b")
+    if (more := found(apart.join(first, ["a", "b"], "left_anti"))) is not None:
         links = links.unionByName(more)
         labels = components(links)
-    rows = labelled(known.drop("lead"), "node", "label")
+    rows = labelled(shared, "node", "label")
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(rows.join(mixed, "key", "left_semi"))
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "label", *folds)])
-    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(lambda c: F.col(f"{c}_b"))
+    lane = about.select("node", "n_shingles", "folds")
+    open_ = rows.join(mixed, "key", "left_semi").join(lane, "node").withColumn("fold", F.slice("folds", F.col("lane") * FOLD + 1, F.lit(FOLD))).drop("folds")
+    open_ = staged(open_)
+    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "label", "fold")])
+    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(F.col, lambda c: F.col(f"{c}_b"), F.col("fold"), F.col("fold_b"))
     rest = open_.join(other, (open_.key == other.key) & far).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    tried = first.union(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
-    if (more := found(rest)) is not None:
+    if (more := found(rest.join(spokes.select("a", "b"), ["a", "b"], "left_anti"))) is not None:
         labels = components(links.unionByName(more))
-    return classes.select("node", "n_shingles").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return staged(about.select("node", "n_shingles").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label")))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -227,7 +309,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Documents without words have n_shingles 0 and stand alone. A null doc_id takes part but never names a component
     that has another; repeated rows each return a row. Extra columns are ignored. No rows in, no rows out.
     """
-    groups = staged(jaccard_groups(docs, text, n, num, den))
+    groups = jaccard_groups(docs, text, n, num, den)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     # the smallest id of each component, by node
@@ -244,15 +326,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 
     Rows without words are kept. Columns stay as they are.
     """
-    groups = staged(jaccard_groups(docs, text, n, num, den))
-    keyed = docs.withColumns({"_node": F.xxhash64(text), "_row": F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
-    rank = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col("_node").alias("t"), F.col("_row").alias("r"))
-    rows = keyed.groupBy("_node", "_row").agg(F.min(rank).alias("rank"), F.count("*").alias("times"))
-    firsts = rows.join(groups, rows._node == groups.node).groupBy("label").agg(F.min(F.struct("rank", "times")).alias("first"))
-    chosen = groups.join(firsts, "label").select(F.col("node").alias("_node"), F.when(F.col("first.rank.t") == F.col("node"), F.col("first.rank.r")).alias("_kept"), F.col("first.times").alias("_times"))
+    groups = jaccard_groups(docs, text, n, num, den)
+    node, row, other, kept, times = free(docs, "_node", "_row", "_other", "_kept", "_times")
+    keyed = docs.withColumns({node: F.xxhash64(text), row: F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
+    rank = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col(node).alias("t"), F.col(row).alias("r"))
+    rows = keyed.select(F.col(node).alias("node"), F.col(row).alias("row"), rank.alias("rank")).groupBy("node", "row").agg(F.min("rank").alias("rank"), F.count("*").alias("times"))
+    firsts = rows.join(groups, "node").groupBy("label").agg(F.min(F.struct("rank", "times")).alias("first"))
+    chosen = groups.join(firsts, "label").select(F.col("node").alias(other), F.when(F.col("first.rank.t") == F.col("node"), F.col("first.rank.r")).alias(kept), F.col("first.times").alias(times))
     chosen = staged(chosen)
-    left = keyed.join(chosen, "_node", "left").where("_times is null or _row = _kept")
-    if chosen.where("_kept is not null and _times > 1").isEmpty():
+    left = keyed.join(chosen, F.col(node) == F.col(other), "left").where(F.col(times).isNull() | (F.col(row) == F.col(kept)))
+    if chosen.where(F.col(kept).isNotNull() & (F.col(times) > 1)).isEmpty():
         return left.select(*docs.columns)
-    once = left.where("_times is not null").dropDuplicates(["_node", "_row"])
-    return left.where("_times is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = left.where(F.col(times).isNotNull()).dropDuplicates([node, row])
+    return left.where(F.col(times).isNull()).select(*docs.columns).unionByName(once.select(*docs.columns))

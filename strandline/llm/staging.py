@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,37 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths staged within each open scratch(), innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was staged within, except for tables (fresh from staged) passed to the function it gives."""
+    _scratch.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles())
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            if path.rsplit("/", 1)[-1] in kept:
+                if _scratch:
+                    _scratch[-1].append(path)
+            else:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores behind it until no column of df has it (case does not count)."""
     taken = {c.lower() for c in df.columns}
