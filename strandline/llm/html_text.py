@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import free, staged
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
@@ -36,6 +37,11 @@ MARKED = frozenset(
     "share sharing social related recommended sidebar breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar comment comments disqus respond replies pagination pager widget toolbar "
     "search complementary contentinfo dialog skip".split()
 )
+#: Of these, those that mark what is no article inside an article too, as a whole class, id or role.
+MARKED_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe share sharing social related recommended sidebar breadcrumb breadcrumbs "
+    "menu nav navbar navigation footer comment comments disqus respond replies pagination".split()
+)
 _KEPT = frozenset("html body article main".split())
 
 
@@ -48,9 +54,10 @@ class Node:
         self.tag, self.dropped, self.children, self.mark, self.has_text = tag, dropped, [], 0, False
 
 
-def _goes(tag: str, attributes: str) -> bool:
+def _goes(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is no article by its tag or marks; inside an article its header stays, and fewer marks count."""
     if tag in DROPPED:
-        return True
+        return not (inside and tag == "header")
     if not attributes or tag in _KEPT:
         return False
     seen = set()
@@ -62,7 +69,7 @@ def _goes(tag: str, attributes: str) -> bool:
         value = value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and not MARKED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id", "role") and not (MARKED_INSIDE.isdisjoint(value.split()) if inside else MARKED.isdisjoint(re.split(r"[^a-z0-9]+", value))):
             return True
     return False
 
@@ -71,9 +78,11 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are repaired as browsers do in the common cases."""
     root = Node("#root", False)
     stack = [root]
+    open_ = Counter()  # tags on the stack, so that a stray end tag costs nothing
 
     def close() -> None:
         node = stack.pop()
+        open_[node.tag] -= 1
         state = xxhash.xxh3_64(node.tag)
         for c in node.children:
             if isinstance(c, Node):
@@ -84,8 +93,11 @@ def parse(page: str) -> Node:
                 node.has_text = True
         node.mark = state.intdigest()
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
+        if at > last:  # no tag ends behind this point
+            stack[-1].children.append(_html.unescape(re.split("<[!?]", page[at:], maxsplit=1)[0]))
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -94,14 +106,14 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(_html.unescape(m[0]))
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
                     while len(stack) > k:
                         close()
                     break
             continue
         attributes = m[3] or m[6] or ""
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     while len(stack) > k:
@@ -109,7 +121,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in CLOSED_BY_SAME:
+        if tag in CLOSED_BY_SAME and any(open_[x] > 0 for x in CLOSED_BY_SAME[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSED_BY_SAME[tag]:
                     while len(stack) > k:
@@ -117,16 +129,18 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in SCOPES and stack[k].tag != "tr":
                     break
-        node = Node(tag, _goes(tag, attributes))
+        node = Node(tag, _goes(tag, attributes, open_["article"] + open_["main"] > 0))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
             stack.append(node)
+            open_[tag] += 1
             close()
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     while stack:
         close()
     return root
@@ -238,9 +252,10 @@ def extract(pages: DataFrame, out: str = "main_text", url: str = "url", html: st
     staged, so that a skewed join can be split.
     """
     pages = pages.drop(out)
+    key, other, template = free(pages, "_key", "_other", "_template")
     parts = staged(_parts(pages, url, html))
     once = parts.groupBy("_key").agg(F.first("_host").alias("_host"), F.first("parts").alias("parts"))
     met = once.select("_host", "_key", F.explode("parts").alias("part")).join(staged(templates(parts, **options)), ["_host", "part"])
-    lists = staged(met.groupBy("_key").agg(F.sort_array(F.collect_list("part")).alias("_template")))
-    found = pages.withColumn("_key", F.xxhash64(host(url), F.col(html))).join(lists, "_key", "left")
-    return found.withColumn(out, F.arrow_udf(_texts, "string").asNondeterministic()(F.col(html), F.col("_template"))).drop("_key", "_template")
+    lists = staged(met.groupBy(F.col("_key").alias(other)).agg(F.sort_array(F.collect_list("part")).alias(template)))
+    found = pages.withColumn(key, F.xxhash64(host(url), F.col(html))).join(lists, F.col(key) == F.col(other), "left")
+    return found.withColumn(out, F.arrow_udf(_texts, "string").asNondeterministic()(F.col(html), F.col(template))).drop(key, other, template)
