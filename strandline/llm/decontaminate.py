@@ -9,13 +9,15 @@ shingles in the whole document. For the smallest partitions every shingle is a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import free, staged
 from .textbytes import buffers, chunks, shingles, word_hashes
 
 BINS = 64
@@ -104,36 +106,44 @@ def leak_udf(items: Items, n: int, num: int, den: int):
     return F.arrow_udf(leaks, "array<struct<item_id:long,n_item:long,n_shared:long>>").asNondeterministic()  # else filters run it twice
 
 
-def with_leaks(
-    docs: DataFrame, benchmark: DataFrame, out: str = "leaks", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_chars: int = 8_000_000
-) -> DataFrame:
-    """docs with a column `out`: the items of which the whole text holds num/den or more of the distinct n-word shingles.
-
-    Items are taken in blocks of about block_chars characters, the bound of what one task holds; each block sees every
-    document. Null and empty items and documents match nothing; a text of fewer than n words is one shingle, the whole
-    sequence. Repeated items are reported each. A column of docs named like `out` is replaced.
-    """
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, n: int, num: int, den: int, block_chars: int) -> Iterator[tuple[int, Callable[[Column], Column]]]:
+    """Number of blocks, and the leak function of each in turn; the driver holds one block's items at a time."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(chars // block_chars) + 1
+    blocks = int((rows.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) + 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    docs = docs.drop(out)
-    names = []
     for b in range(blocks):
         held = dealt.where(F.col("block") == b).orderBy("item_id", "text").collect()
-        found = leak_udf(Items([r.item_id for r in held], [r.text for r in held], n), n, num, den)
-        names.append(f"_{out}_{b}")
-        docs = docs.withColumn(names[-1], found(F.coalesce(F.col(text), F.lit(""))))
-    joined = F.col(names[0]) if len(names) == 1 else F.sort_array(F.concat(*names))
-    return docs.withColumn(out, joined).drop(*names)
+        yield blocks, leak_udf(Items([r.item_id for r in held], [r.text for r in held], n), n, num, den)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """A row for each (document, item) found: doc_id, item_id, n_item, n_shared, containment."""
-    found = with_leaks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(options.get("text", "text"))), benchmark, "_leaks", **options)
-    return found.select("doc_id", F.explode("_leaks").alias("x")).select("doc_id", "x.item_id", "x.n_item", "x.n_shared", (F.col("x.n_shared") / F.col("x.n_item")).alias("containment"))
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_chars: int = 8_000_000
+) -> DataFrame:
+    """A row for each (document, item) with num/den or more of the item's distinct n-word shingles in the whole text: doc_id, item_id, n_item, n_shared, containment.
+
+    Items are taken in blocks of about block_chars characters, the bound of what the driver and a task hold; there is
+    one pass over the documents for each block, and its result is staged before the next. Null and empty items and
+    documents match nothing; a text of fewer than n words is one shingle, the whole sequence. Repeated rows and items
+    are reported each.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = []
+    for blocks, found in _blocks(benchmark, item_id, item_text, n, num, den, block_chars):
+        part = rows.select("doc_id", F.explode(found(F.col("text"))).alias("x")).select("doc_id", "x.item_id", "x.n_item", "x.n_shared")
+        parts.append(part if blocks == 1 else staged(part))
+    return reduce(DataFrame.unionByName, parts).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a test item; columns stay as they are."""
-    return with_leaks(docs, benchmark, "_leaks", **options).where(F.size("_leaks") == 0).drop("_leaks")
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_chars: int = 8_000_000
+) -> DataFrame:
+    """docs without those that hold a test item; columns stay as they are. Blocks of items are taken as in leaks."""
+    (leaked,) = free(docs, "_leaks")
+    hashes = []
+    for blocks, found in _blocks(benchmark, item_id, item_text, n, num, den, block_chars):
+        held = found(F.coalesce(F.col(text), F.lit("")))
+        if blocks == 1:
+            return docs.withColumn(leaked, held).where(F.size(leaked) == 0).drop(leaked)
+        hashes.append(staged(docs.where(F.size(held) > 0).select(F.sha2(text, 256).alias(leaked)).distinct()))
+    gone = reduce(DataFrame.union, hashes).distinct()
+    return docs.join(gone, F.coalesce(F.sha2(text, 256), F.lit("")) == F.col(leaked), "left_anti")

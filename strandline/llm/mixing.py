@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import free
+
 #: Expected copies are whole multiples of 1 / UNIT, so that prefix sums are exact and reruns agree.
 UNIT = 1 << 24
 
@@ -57,28 +59,26 @@ def mix(
     are laid out like all others; a source without words has target 0. Columns of docs named like the four are replaced.
     """
     clean = docs.drop("size", "source_size", "target", "copies")
+    klass, slice_, own, place, s, c, l, before, each, begin = free(clean.withColumns(dict.fromkeys(("size", "source_size", "target", "copies"), F.lit(0))), "_class", "_slice", "_own", "_place", "_s", "_c", "_l", "_before", "_each", "_begin")
     bits = F.bin(F.col("size"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     rows = clean.withColumn("size", word_count(text)).withColumns(
-        {"_class": F.length(bits) * 10 + F.conv(F.substring(bits, 1, 3), 2, 10).cast("int"), "_slice": F.pmod(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), F.lit(slices)), "_source": F.col(source)}
+        {klass: F.length(bits) * 10 + F.conv(F.substring(bits, 1, 3), 2, 10).cast("int"), slice_: F.pmod(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), F.lit(slices)), own: F.col(source)}
     )
-    blocks = rows.groupBy("_source", "_class", "_slice").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    blocks = rows.groupBy(F.col(own).alias("_source"), F.col(klass).alias("_class"), F.col(slice_).alias("_slice")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goals = targets(blocks.groupBy("_source").agg(F.sum("words").alias("source_size")), weights, share, ceiling)
     expected = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") * UNIT), F.lit(int(ceiling * UNIT)))).otherwise(0)
-    goals = goals.withColumn("_each", expected.cast("long"))
+    goals = goals.withColumn(each, expected.cast("long"))
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("start"), F.coalesce("_source", F.lit("null")))), 1, 6), 16, 10).cast("long")
     earlier = Window.partitionBy("_source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_source", "_class", "_slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_source", "_class", "_slice").orderBy("size", F.col(doc_id).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    placed = (
-        rows.withColumn("_place", F.row_number().over(within))
-        .join(offsets.withColumnsRenamed({"_source": "_s", "_class": "_c", "_slice": "_l"}), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_slice") == F.col("_l")))
-        .drop("_s", "_c", "_l")
-        .join(goals.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
-    )
-    reach = (F.col("_before") + F.col("_place")).cast("decimal(38,0)") * F.col("_each") + start
-    crossed = F.floor(reach / UNIT) - F.floor((reach - F.col("_each")) / UNIT)
-    return placed.withColumn("copies", crossed.cast("long")).select(*[c for c in clean.columns], "size", "source_size", "target", "copies")
+    offsets = blocks.select(F.col("_source").alias(s), F.col("_class").alias(c), F.col("_slice").alias(l), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(own, klass, slice_).orderBy("size", F.col(doc_id).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    placed = rows.withColumn(place, F.row_number().over(within)).join(offsets, F.col(own).eqNullSafe(F.col(s)) & (F.col(klass) == F.col(c)) & (F.col(slice_) == F.col(l))).drop(s, c, l)
+    goals = goals.select(F.col("_source").alias(s), "source_size", "target", each, start.alias(begin))
+    placed = placed.join(goals, F.col(own).eqNullSafe(F.col(s)))
+    reach = (F.col(before) + F.col(place)).cast("decimal(38,0)") * F.col(each) + F.col(begin)
+    crossed = F.floor(reach / UNIT) - F.floor((reach - F.col(each)) / UNIT)
+    return placed.withColumn("copies", crossed.cast("long")).select(*clean.columns, "size", "source_size", "target", "copies")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

@@ -196,3 +196,42 @@ def textbytes_text():
     from pyspark.sql import functions as F
 
     return F.coalesce("text", F.lit("")).alias("text")
+
+
+def test_long_malformed_pages_take_linear_time():
+    import time
+
+    from strandline.llm import html_text
+
+    for page in ("<div>" * 12000 + "</b>" * 12000 + "x", "<p a=\"x " * 8000, "<div class='" * 8000 + ">", "<a <b " * 8000, "<ul>" + "<li>x" * 20000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 3
+
+
+def test_marks_inside_an_article():
+    from strandline.llm import html_text
+
+    page = '<body><header>site</header><article><header><h1>Head</h1></header><div class="alert-history">a</div><section id="search"><p>b</p></section><div class="ad">c</div><div class="comments">d</div><form>e</form></article></body>'
+    assert html_text.main_text(page) == "Head\n\na\n\nb"
+
+
+def test_clashing_columns_stay(spark):
+    """Columns named like the operators' inner ones come through unchanged."""
+    from pyspark.sql import functions as F
+
+    from strandline.llm import decontaminate, html_text, jaccard_join, language, mixing, quality
+
+    names = "_text _key _more _kept _times _node _row _other _host _template _each _s _place _leaks base spans _class _source _own _before _begin".split()
+    rows = spark.createDataFrame([(i, f"w{i} some words that stand here {i * 3} a b c", "src0") for i in range(6)], "doc_id long, text string, source string")
+    docs = rows.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    bench = spark.createDataFrame([(1, "nothing of that sort is in there")], "item_id long, text string")
+    pages = docs.withColumns({"html": F.concat(F.lit("<article>"), "text"), "url": F.lit("http://a.b/c")})
+    found = [
+        pii.redacted(docs), jaccard_join.keep_one(docs), decontaminate.uncontaminated(docs, bench), decontaminate.uncontaminated(docs, bench, block_chars=5), mixing.mix(docs), html_text.extract(pages),
+        language.identify(docs, language.fit(docs.withColumn("lang", F.lit("en")))), quality.scored(docs, quality.fit(docs, rows.select("doc_id", F.lit(1).alias("quality")))),
+    ]
+    for df in found:
+        got = df.collect()
+        assert len(got) == 6
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
