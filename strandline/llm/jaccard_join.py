@@ -26,8 +26,8 @@ from .textbytes import mix, shingle_sets
 
 #: 64-bit words of the folded sketch.
 FOLD = 8
-#: Texts whose keys are dealt together; four times as many fit 16 bits.
-TOGETHER = 1 << 14
+#: Texts whose keys are dealt together: few enough for their keys to stay small, and four times as many fit 16 bits.
+TOGETHER = 1 << 12
 #: Bytes of text for each group of dealt keys.
 DEAL_BYTES = 1 << 24
 
@@ -129,6 +129,7 @@ def _dealt_keys(n: int, num: int, den: int, bits: int):
                 if not nodes:
                     continue
                 key, spot = np.concatenate(keys) >> np.uint64(32 - bits), np.concatenate(spots)
+                del keys, spots
                 order = np.argsort(key, kind="stable")
                 key, spot = key[order], spot[order]
                 first = np.r_[True, key[1:] != key[:-1]]
