@@ -13,11 +13,35 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def mark_duplicates(df: DataFrame, group: str, order: Sequence[Column], id_: str = "id") -> DataFrame:
-    """duplicate_of: the group's first row for all others; null keys stand alone."""
-    w = Window.partitionBy(group).orderBy(*order)
-    first = F.first(id_).over(w)
-    return df.withColumn("duplicate_of", F.when(F.col(group).isNotNull() & (first != F.col(id_)), first))
+def mark_duplicates(df: DataFrame, group: str, best: Column, id_: str = "id") -> DataFrame:
+    """duplicate_of: the id of the group's row with the largest `best` (which no two rows share) for all others; null keys stand alone.
+
+    One aggregate a group, combined before the shuffle, and a join back, so that a large group is not sorted in one task.
+    """
+    leads = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.max_by(id_, best).alias("_lead"))
+    joined = df.join(leads, F.col(group) == F.col("_g"), "left")
+    return joined.withColumn("duplicate_of", F.when(F.col("_lead") != F.col(id_), F.col("_lead"))).drop("_g", "_lead")
+
+
+def nearest_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """group, n and a column for each of ranks: the exact nearest-rank percentiles of value (nulls left out).
+
+    Values are counted in ranges of equal width first; only the ranges that hold a rank are sorted.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    edges = rows.groupBy(F.col("g").alias("e")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    width = (F.col("hi") - F.col("lo")).cast("double")
+    spot = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * (buckets - 1))).otherwise(0).cast("int")
+    placed = rows.join(edges, F.col("g").eqNullSafe(F.col("e"))).select("g", "v", "n", spot.alias("spot"))
+    counts = placed.groupBy("g", "n", "spot").agg(F.count("*").alias("k"))
+    below = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("spot")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("n")).alias("rank")) for name, p in ranks.items()]))
+    hit = below.select("g", "spot", "k", "upto", wanted.alias("w")).where((F.col("upto") >= F.col("w.rank")) & (F.col("upto") - F.col("k") < F.col("w.rank")))
+    hit = hit.select(F.col("g").alias("h"), F.col("spot").alias("s"), "w.name", (F.col("w.rank") - F.col("upto") + F.col("k")).alias("rank"))
+    near = placed.join(F.broadcast(hit), F.col("g").eqNullSafe(F.col("h")) & (F.col("spot") == F.col("s")))  # a row for each group and rank
+    at = near.withColumn("at", F.row_number().over(Window.partitionBy("g", "name").orderBy("v"))).where("at = rank")
+    found = at.groupBy(F.col("g").alias("f")).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return edges.join(found, F.col("e").eqNullSafe(F.col("f")), "left").select(F.col("e").alias(group), "n", *ranks)
 
 
 def without_earlier(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:

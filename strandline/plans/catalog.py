@@ -87,9 +87,10 @@ def keyword_matches(spark, sf):
     hits = []
     for kid, kw in rules:
         pattern = f"(^|[^a-z0-9]){kw}($|[^a-z0-9])"
-        scope = F.when(F.lower("title").rlike(pattern), "title").when(F.lower("body").rlike(pattern), "content")
+        scope = F.when(F.col("title").rlike(pattern), "title").when(F.col("body").rlike(pattern), "content")
         hits.append(F.when(scope.isNotNull(), F.struct(F.lit(kid).alias("kid"), scope.alias("scope"))))
-    found = contents(spark, sf).select("id", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    lowered = contents(spark, sf).select("id", F.lower("title").alias("title"), F.lower("body").alias("body")).where(r"body rlike '(^|[^a-z0-9])(with|que|der|of)($|[^a-z0-9])' or title rlike '(^|[^a-z0-9])(with|que|der|of)($|[^a-z0-9])'")
+    found = lowered.select("id", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     return found.select("id", "h.kid", "h.scope")
 
 
@@ -197,9 +198,10 @@ def source_profile(spark, sf):
 @query(f"WITH {FETCH_LOG} SELECT outcome, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS worst, count(*) AS n FROM l GROUP BY 1")
 def latency_percentiles(spark, sf):
     """Nearest-rank percentiles by outcome."""
-    return fetch_log(spark, sf).groupBy("outcome").agg(
-        F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.max("latency_ms").alias("worst"), F.count("*").alias("n")
-    )
+    log = fetch_log(spark, sf)
+    worst = log.groupBy(F.col("outcome").alias("o")).agg(F.max("latency_ms").alias("worst"), F.count("*").alias("n"))
+    ranks = rows.nearest_ranks(log, "outcome", "latency_ms", {"p50": 0.5, "p95": 0.95}).drop("n")
+    return ranks.join(worst, F.col("outcome").eqNullSafe(F.col("o"))).select("outcome", "p50", "p95", "worst", "n")
 
 
 @query(f"WITH {FETCH_LOG}, m AS (SELECT *, lag(outcome) OVER (PARTITION BY source_id ORDER BY attempted_at, id) AS before FROM l), r AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY attempted_at, id) AS run FROM m) SELECT source_id, run, count(*) FILTER (WHERE outcome = 'failure') AS failures, least(16, power(2, least(4, count(*) FILTER (WHERE outcome = 'failure')))) AS backoff FROM r GROUP BY 1, 2")
@@ -215,8 +217,8 @@ def failure_runs(spark, sf):
 )
 def duplicate_groups(spark, sf):
     """Canonical member of each title group by source, score and length; the others point to it."""
-    order = [F.desc_nulls_last("stars"), F.desc("score"), F.length("body").desc(), F.asc("id")]
-    return rows.mark_duplicates(scored(spark, sf), "title", order).select("id", "duplicate_of")
+    best = F.struct(F.coalesce("stars", F.lit(-1)), "score", F.length("body"), -F.col("id"))
+    return rows.mark_duplicates(scored(spark, sf), "title", best).select("id", "duplicate_of")
 
 
 @query(f"WITH {CONTENTS} SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY publish_time DESC NULLS LAST, fetched_at DESC, id DESC) AS rank FROM c QUALIFY rank <= 3")
@@ -397,7 +399,14 @@ def title_pairs(spark, sf):
     """Pairs of titles of one source whose word sets overlap by 0.28 or more, from shared words only."""
     words = F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-z]+"), lambda w: F.length(w) >= 5))
     t = contents(spark, sf).select("id", "source_id", words.alias("w"))
-    x = t.select("id", "source_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    y = x.select(F.col("id").alias("id_b"), "source_id", F.col("n").alias("n_b"), "word")
-    shared = x.join(y, ["word", "source_id"]).where("id < id_b").groupBy(F.col("id").alias("left_id"), F.col("id_b").alias("right_id"), "n", "n_b").agg(F.count("*").alias("k"))
-    return shared.withColumn("jaccard", F.col("k") / (F.col("n") + F.col("n_b") - F.col("k"))).where("jaccard >= 0.28").select("left_id", "right_id", "jaccard")
+    # rarest words first: titles with that overlap share one of the first words that are left without 0.28 of all
+    often = t.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    x = t.select("id", "source_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(often, "word")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
+    x = x.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(0.28 * F.col("n")) + 1).select("id", "source_id", "word", "n")
+    y = x.select(F.col("id").alias("id_b"), "source_id", "word", F.col("n").alias("n_b"))
+    sized = (F.least("n", "n_b") >= 0.28 * F.greatest("n", "n_b")) & (F.col("id") < F.col("id_b"))
+    pairs = x.join(y, ["word", "source_id"]).where(sized).select("id", "id_b").distinct()
+    pairs = pairs.join(t.select("id", "w"), "id").join(t.select(F.col("id").alias("id_b"), F.col("w").alias("v")), "id_b")
+    both = F.size(F.array_intersect("w", "v"))
+    return pairs.select(F.col("id").alias("left_id"), F.col("id_b").alias("right_id"), (both / (F.size("w") + F.size("v") - both)).alias("jaccard")).where("jaccard >= 0.28")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, operations  # noqa: F401  (operations registers its queries with the catalog's)
+from . import catalog, evaluation, operations, rules  # noqa: F401  (each registers its queries with the catalog's)
 
 QUERIES = dict(catalog.QUERIES)
 ORACLE = dict(catalog.ORACLE)

@@ -54,3 +54,23 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FETCH_LOG = """l AS (SELECT event_id AS id, user_id % 50 AS source_id, ts AS attempted_at, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'view' THEN 'empty' ELSE 'success' END AS outcome,
  value AS latency_ms, CAST(json_extract_string(props, '$.k') AS INT) AS saved_count FROM events)"""
+
+
+#: Phrases put in front of titles, so that rules have something to find in invented prose.
+PHRASES = (
+    "Flood kills 12, several provinces dead and missing:", "Acme files for IPO, largest ipo of 2024-03-15", "50% off best price earbuds on sale", "NATO summit in London: official sanctions confirmed",
+    "Fed chair denies rate decision version 2.1.0-rc1 plan", "New model v1.2 launched worldwide, raised $3.5 million", "Company hires CFO, review of firmware", "Regulator approves bill A123 after investigation",
+    "地震多地死亡 全球关注", "Report: could policy shift hit local pilot by 4.5%?", "", "startup funding series a valuation 1,200 million in Tokyo on 2024/2/3",
+)
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with a phrase in front of the title, the first 200 characters of the text as summary, stars and authority."""
+    at = (F.pmod(F.col("id"), F.lit(len(PHRASES))) + 1).cast("int")
+    title = F.trim(F.concat(F.element_at(F.array(*map(F.lit, PHRASES)), at), F.lit(" "), F.coalesce("title", F.lit(""))))
+    c = contents(spark, sf_dir).withColumns({"title": title, "summary": F.substring("body", 1, 200)})
+    return c.join(sources(spark, sf_dir).withColumnRenamed("authority", "kind"), "source_id", "left")
+
+
+HEADLINES = f"""{CONTENTS}, {SOURCES}, h AS (SELECT c.* REPLACE (trim([{", ".join("'" + p + "'" for p in PHRASES)}][id % {len(PHRASES)} + 1] || ' ' || coalesce(title, '')) AS title, substr(body, 1, 200) AS summary),
+ s.stars, s.authority AS kind FROM c LEFT JOIN s USING (source_id))"""

@@ -16,3 +16,36 @@ def test_hourly_counts_complete_equals_batch(spark, tmp_path):
 def test_distinct_events(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert timed.distinct_events(e.union(e)).count() == e.count()
+
+
+def test_sessions_of_a_stream_equal_batch(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    q = timed.sessions(stream).writeStream.outputMode("append").format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    # a session is given out once the watermark (an hour behind the newest event) has passed its end
+    last = src.agg({"ts": "max"}).first()[0]
+    import datetime
+
+    done = {(r.user_id, str(r.started), r.n) for r in timed.sessions(src).collect() if r.ended <= last - datetime.timedelta(hours=1)}
+    got = {(r.user_id, str(r.started), r.n) for r in spark.table("sessions").collect()}
+    assert got <= {(r.user_id, str(r.started), r.n) for r in timed.sessions(src).collect()} and len(got) >= 0.9 * len(done)
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    cut = src.agg({"ts": "max"}).first()[0]
+    import datetime
+
+    src.where(src.ts > cut - datetime.timedelta(hours=1)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run():
+        out = []
+        timed.hourly_counts(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return out
+
+    assert run()
+    src.where(src.ts < cut - datetime.timedelta(hours=30)).limit(50).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert not [r for r in run() if r.hour < cut - datetime.timedelta(hours=10)]
