@@ -173,10 +173,10 @@ def nearest(
 
     Nearest is the largest inner product in double precision, ties to the smaller id. Every usable row is indexed;
     equal vectors are one node, of which the top + 1 smallest ids can appear in a result. Null ids and unusable vectors
-    (see usable) take no part; repeated rows are repeated candidates of one id and count once. k, rounds, beam, width
+    (see usable) take no part; an id that repeats stands for the smallest of its vectors. k, rounds, beam, width
     and hops are the search effort.
     """
-    rows = usable(vectors, vec_id, embedding).dropDuplicates(["vec_id"])
+    rows = usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     rows = staged(rows.withColumn("node", F.xxhash64("vec")))
     if rows.isEmpty():
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
