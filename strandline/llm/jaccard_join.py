@@ -260,21 +260,20 @@ def _grouped(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFram
     spokes = staged(spokes)
     first = spokes.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
-    def possible(mine: Callable[[str], Column], theirs: Callable[[str], Column], fold_of_mine: Column, fold_of_theirs: Column) -> Column:
-        """Whether sizes and folded sketches of two rows allow a link."""
-        x, y = mine("n_shingles"), theirs("n_shingles")
-        bits = F.aggregate(F.zip_with(fold_of_mine, fold_of_theirs, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    def possible(x: Column, y: Column, folds: list[tuple[Column, Column]]) -> Column:
+        """Whether sizes x and y and folded sketches allow a link."""
+        bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in folds), F.lit(0))
         return (den * F.least(x, y) >= num * F.greatest(x, y)) & ((den + num) * bits <= (den - num) * (x + y))
 
     def found(pairs: DataFrame) -> DataFrame | None:
         """The links among pairs, None if there are none."""
         left, right = (about.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "folds")]) for x in "ab")
 
-        def fold(x: str, y: str) -> Column:
-            return F.slice(f"folds_{x}", F.when(F.col(f"band_{x}") < F.col(f"band_{y}"), FOLD + 1).otherwise(1), F.lit(FOLD))
+        def fold(k: int, x: str, y: str) -> Column:
+            return F.get(f"folds_{x}", F.when(F.col(f"band_{x}") < F.col(f"band_{y}"), FOLD).otherwise(0) + k)
 
-        near = (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & possible(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), fold("a", "b"), fold("b", "a"))
-        close = staged(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"))
+        near = possible(F.col("n_shingles_a"), F.col("n_shingles_b"), [(fold(k, "a", "b"), fold(k, "b", "a")) for k in range(FOLD)])
+        close = staged(pairs.join(left, "a").join(right, "b").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & near).select("a", "b"))
         if close.isEmpty():
             return None
         links = staged(_verified(close, docs, text, n, num, den))
@@ -293,12 +292,13 @@ def _grouped(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFram
         labels = components(links)
     rows = labelled(shared, "node", "label")
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    lane = about.select("node", "n_shingles", "folds")
-    open_ = rows.join(mixed, "key", "left_semi").join(lane, "node").withColumn("fold", F.slice("folds", F.col("lane") * FOLD + 1, F.lit(FOLD))).drop("folds")
-    open_ = staged(open_)
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "label", "fold")])
-    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(F.col, lambda c: F.col(f"{c}_b"), F.col("fold"), F.col("fold_b"))
-    rest = open_.join(other, (open_.key == other.key) & far).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    folds = [f"f{k}" for k in range(FOLD)]
+    sized = about.select("node", "n_shingles", "folds")
+    open_ = rows.join(mixed, "key", "left_semi").join(sized, "node")
+    open_ = staged(open_.select("key", "node", "n_shingles", "label", *[F.get("folds", F.col("lane") * FOLD + k).alias(f) for k, f in enumerate(folds)]))
+    other = open_.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "label", *folds)])
+    far = (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("node_b")) & possible(F.col("n_shingles"), F.col("n_shingles_b"), [(F.col(f), F.col(f"{f}_b")) for f in folds])
+    rest = open_.join(other, (F.col("key") == F.col("key_b")) & far).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     if (more := found(rest.join(spokes.select("a", "b"), ["a", "b"], "left_anti"))) is not None:
         labels = components(links.unionByName(more))
     return staged(about.select("node", "n_shingles").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("label", "node").alias("label")))
