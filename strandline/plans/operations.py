@@ -83,7 +83,7 @@ def listing_urls(spark, sf):
 
 @query("SELECT event_id, CAST(value AS INT) AS seconds FROM events WHERE value < 86400")
 def durations(spark, sf):
-    """HH:MM:SS texts as seconds, by one fold over their parts."""
+    """HH:MM:SS texts as seconds, by one fold over their parts."""
     s = F.floor("value").cast("int")
     s = F.when(F.col("value") - s > 0.5, s + 1).when((F.col("value") - s == 0.5) & (s % 2 == 1), s + 1).otherwise(s)
     clock = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
@@ -101,7 +101,7 @@ def after_marker(spark, sf):
 
 @query("WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^(www|m|mobile|amp)[.]', '') AS host FROM pages) SELECT host, min(page_id) AS first_page FROM p GROUP BY 1 HAVING min(page_id) >= 20")
 def imported_hosts(spark, sf):
-    """Hosts of an import, each once, without those that are known (first twenty pages)."""
+    """Hosts of an import, each once, without those that are known (first twenty pages)."""
     p = table(spark, sf, "pages").select("page_id", text.bare_host(F.col("url")).alias("host"))
     fresh = p.where("page_id >= 20").groupBy("host").agg(F.min("page_id").alias("first_page"))
     return fresh.join(p.where("page_id < 20").select("host"), "host", "left_anti")
@@ -301,7 +301,7 @@ def title_grounding(spark, sf):
 
 @query("SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 def business_days(spark, sf):
-    """Counts by local date (eight hours east)."""
+    """Counts by local date (eight hours east)."""
     return table(spark, sf, "events").groupBy(F.to_date(F.col("ts") + F.expr("interval 8 hours")).alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -350,13 +350,13 @@ def lifecycle_states(spark, sf):
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS bucket, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def scheduled_once(spark, sf):
-    """One run for each schedule and minute."""
+    """One run for each schedule and minute."""
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("minute", "ts").alias("bucket")).agg(F.min("event_id").alias("event_id"))
 
 
 @query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events, m WHERE ts > t - INTERVAL 48 HOUR QUALIFY rank <= 3")
 def catch_up(spark, sf):
-    """The last three runs of each schedule in a window."""
+    """The last three runs of each schedule in a window."""
     e = table(spark, sf, "events")
     recent = e.where(F.col("ts") > e.agg(F.max("ts").alias("t")).scalar() - F.expr("interval 48 hours"))
     return rows.top_per_group(recent, ["event_type"], [F.desc("ts"), F.desc("event_id")], 3).select("event_type", "event_id", "rank")
@@ -403,7 +403,7 @@ def bcubed(spark, sf):
 
 @query(f"WITH {CONTENTS}, m AS (SELECT lang, avg(CASE WHEN length(body) >= 280 THEN 1.0 ELSE 0.0 END) AS full_share, count(*) AS n FROM c GROUP BY 1) SELECT lang, full_share, CASE WHEN n < 20 THEN 'unknown' WHEN full_share >= 0.9 THEN 'pass' ELSE 'fail' END AS gate FROM m")
 def quality_gates(spark, sf):
-    """Shares of full texts by stratum, against a threshold."""
+    """Shares of full texts by stratum, against a threshold."""
     m = contents(spark, sf).groupBy("lang").agg(F.avg(F.when(F.length("body") >= 280, 1.0).otherwise(0.0)).alias("full_share"), F.count("*").alias("n"))
     return m.select("lang", "full_share", F.when(F.col("n") < 20, "unknown").when(F.col("full_share") >= 0.9, "pass").otherwise("fail").alias("gate"))
 
@@ -418,14 +418,14 @@ def shadow_diff(spark, sf):
 
 @query("SELECT page_id, coalesce(regexp_extract(url, '/([0-9]+)(?:[/?#]|$)', 1), '') AS article_no, CASE WHEN regexp_extract(url, '/([0-9]+)(?:[/?#]|$)', 1) <> '' THEN regexp_extract(url, '/([0-9]+)(?:[/?#]|$)', 1) ELSE 'hash:' || sha1(url) END AS external_id FROM pages")
 def article_ids(spark, sf):
-    """The number in an article's path, else a hash."""
+    """The number in an article's path, else a hash."""
     n = F.regexp_extract("url", r"/([0-9]+)(?:[/?#]|$)", 1)
     return table(spark, sf, "pages").select("page_id", n.alias("article_no"), F.when(n != "", n).otherwise(F.concat(F.lit("hash:"), F.sha1("url"))).alias("external_id"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS origin FROM pages WHERE contains(url, 'utm_source=')")
 def query_parameters(spark, sf):
-    """A parameter looked up in a map made of the query text."""
+    """A parameter looked up in a map made of the query text."""
     q = F.str_to_map(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&"), F.lit("="))
     p = table(spark, sf, "pages").where(F.contains("url", F.lit("utm_source=")))
     return p.select("page_id", F.coalesce(F.try_element_at(q, F.lit("utm_source")), F.lit("")).alias("origin"))
@@ -433,13 +433,13 @@ def query_parameters(spark, sf):
 
 @query("SELECT event_type AS route, count(*) AS n, avg(value) AS mean, max(value) AS slowest, count(*) FILTER (WHERE value >= 100) AS slow FROM events GROUP BY 1")
 def request_metrics(spark, sf):
-    """Requests by route."""
+    """Requests by route."""
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("slowest"), F.count_if(F.col("value") >= 100).alias("slow"))
 
 
 @query("SELECT 'documents' AS name, count(*) AS n, CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END AS status FROM documents UNION ALL SELECT 'events', count(*), CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END FROM events UNION ALL SELECT 'pages', count(*), CASE WHEN count(*) = 0 THEN 'empty' ELSE 'ok' END FROM pages")
 def table_doctor(spark, sf):
-    """Row counts of tables, with a status."""
+    """Row counts of tables, with a status."""
     out = None
     for name in ("documents", "events", "pages"):
         n = table(spark, sf, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.when(F.col("n") == 0, "empty").otherwise("ok").alias("status"))
@@ -456,6 +456,6 @@ def keyword_gate(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, regexp_replace(regexp_replace(regexp_replace(title, '[*_`]+', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '^#+ *', '') AS plain, 'Digest ' || strftime(fetched_at, '%Y-%m-%d %H:00') AS heading FROM c")
 def markdown_plain(spark, sf):
-    """Markdown marks taken off a title, and a digest's heading."""
+    """Markdown marks taken off a title, and a digest's heading."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("title", "[*_`]+", ""), r"\[([^\]]*)\]\([^)]*\)", "$1"), "^#+ *", "")
     return contents(spark, sf).select("id", t.alias("plain"), F.concat(F.lit("Digest "), F.date_format("fetched_at", "yyyy-MM-dd HH:00")).alias("heading"))
