@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import free, partitions, scratch, staged
+from .staging import free, partitions, scratch, small_batches, staged
 from .textbytes import mix, shingle_sets
 
 #: 64-bit words of the folded sketch.
@@ -253,8 +253,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", n: int = 3, num: int = 9
 
 
 def _grouped(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    shared = staged(_shared(docs, text, n, num, den))
-    about = staged(_about(docs, text, n, num, den))
+    with small_batches(docs.sparkSession):
+        shared = staged(_shared(docs, text, n, num, den))
+        about = staged(_about(docs, text, n, num, den))
     leads = shared.groupBy("key").agg(F.min("node").alias("lead"))
     spokes = shared.join(leads, "key").where("node <> lead").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("common"))
     spokes = staged(spokes)

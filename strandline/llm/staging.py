@@ -59,6 +59,18 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """Arrow batches of fewer rows for what is staged within: long texts then take little memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores behind it until no column of df has it (case does not count)."""
     taken = {c.lower() for c in df.columns}
