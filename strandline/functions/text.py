@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Entities in the order in which they are decoded, and query parameters that only track.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
-TRACKING = r"^(utm_.*|fbclid|gclid|ref|spm|from|source)$"
+TRACKING = r"^(utm_.*|fbclid|from|gclid|igshid|mc_cid|mc_eid|mkt_tok|ref|source|spm|vero_id|yclid)$"
 
 
 def strip_tags(c: Column) -> Column:

@@ -47,7 +47,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_SCORED + " SELECT id, source_id, stars, title, score FROM sc WHERE NOT archived ORDER BY score DESC, fetched_at DESC, id DESC LIMIT 20")
 def top_stories(spark, sf):
-    """Visible stories by score, with their source."""
+    """Visible stories by score, with their source."""
     c = scored(spark, sf).where("not archived").orderBy(F.desc("score"), F.desc("fetched_at"), F.desc("id"))
     return c.limit(20).select("id", "source_id", "stars", "title", "score")
 
@@ -60,20 +60,20 @@ def article_scores(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, source_id FROM c WHERE content_type = 'rss' AND NOT is_read AND NOT archived AND fetched_at >= TIMESTAMP '2024-01-01 01:00:00' AND title ILIKE '%th%'")
 def list_filters(spark, sf):
-    """Conjunctive list filters."""
+    """conjunctive list filters."""
     c = contents(spark, sf).where((F.col("content_type") == "rss") & ~F.col("is_read") & ~F.col("archived"))
     return c.where((F.col("fetched_at") >= F.lit("2024-01-01 01:00:00").cast("timestamp")) & F.col("title").ilike("%th%")).select("id", "source_id")
 
 
 @query(f"WITH {CONTENTS} SELECT id FROM c WHERE NOT archived AND NOT EXISTS (SELECT 1 FROM c e WHERE e.title = c.title AND (e.fetched_at, e.id) < (c.fetched_at, c.id))")
 def visible_contents(spark, sf):
-    """Not archived, and no earlier item with the same title."""
+    """Not archived, and no earlier item with the same title."""
     return rows.without_earlier(contents(spark, sf), "title", ["fetched_at", "id"]).where("not archived").select("id")
 
 
 @query(f"WITH {CONTENTS} SELECT id FROM c WHERE title ILIKE '%tion%' OR summary ILIKE '%tion%' OR source_id ILIKE '%tion%'")
 def substring_search(spark, sf):
-    """Substring search over text columns and the source's name."""
+    """substring search over text columns and the source's name."""
     return contents(spark, sf).where(F.col("title").ilike("%tion%") | F.col("summary").ilike("%tion%") | F.col("source_id").ilike("%tion%")).select("id")
 
 
@@ -96,7 +96,7 @@ def keyword_matches(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, CASE WHEN title = '' THEN 'no_title' WHEN length(body) < 40 THEN 'too_short' WHEN length(body) - length(replace(body, '|', '')) > 0.02 * length(body) THEN 'table' END AS reason FROM c")
 def rejection_reasons(spark, sf):
-    """First reason of a ladder for which an item is rejected."""
+    """first reason of a ladder for which an item is rejected."""
     bars = F.length("body") - F.length(F.replace("body", F.lit("|"), F.lit("")))
     reason = F.when(F.col("title") == "", "no_title").when(F.length("body") < 40, "too_short").when(bars > 0.02 * F.length("body"), "table")
     return contents(spark, sf).select("id", reason.alias("reason"))
@@ -104,35 +104,35 @@ def rejection_reasons(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, date_diff('minute', publish_time, fetched_at) AS lag FROM c WHERE date_diff('minute', publish_time, fetched_at) <= 90")
 def freshness_gate(spark, sf):
-    """Items fetched within 90 minutes of publication."""
+    """Items fetched within 90 minutes of publication."""
     lag = F.timestamp_diff("MINUTE", F.col("publish_time"), F.col("fetched_at"))
     return contents(spark, sf).select("id", lag.alias("lag")).where("lag <= 90")
 
 
 @query(f"WITH {CONTENTS} SELECT id, CASE WHEN length(trim(summary)) >= 12 THEN substr(trim(summary), 1, 280) ELSE substr(body, 1, 280) END AS preview FROM c")
 def list_cards(spark, sf):
-    """Preview text of list cards."""
+    """preview text of list cards."""
     preview = F.when(F.length(F.trim("summary")) >= 12, F.substring(F.trim("summary"), 1, 280)).otherwise(F.substring("body", 1, 280))
     return contents(spark, sf).select("id", preview.alias("preview"))
 
 
 @query(f"WITH {CONTENTS}, {SOURCES} SELECT s.source_id, stars, count(c.id) AS n FROM s LEFT JOIN c USING (source_id) GROUP BY ALL")
 def source_counts(spark, sf):
-    """Sources with their number of items."""
+    """Sources with their number of items."""
     counts = contents(spark, sf).groupBy("source_id").agg(F.count("*").alias("n"))
     return sources(spark, sf).join(counts, "source_id", "left").select("source_id", "stars", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {CONTENTS}, {SOURCES} SELECT source_id, count(*) AS n FROM c JOIN s USING (source_id) WHERE enabled GROUP BY 1 ORDER BY n DESC, source_id LIMIT 10")
 def top_sources(spark, sf):
-    """Ten largest enabled sources."""
+    """Ten largest enabled sources."""
     c = contents(spark, sf).join(sources(spark, sf).where("enabled"), "source_id")
     return c.groupBy("source_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_id").limit(10)
 
 
 @query("SELECT d.doc_id AS id, coalesce(CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'noise' END, 'pending') AS status FROM documents d LEFT JOIN labels USING (doc_id)")
 def feedback_queue(spark, sf):
-    """Adjudication status of every item."""
+    """Adjudication status of every item."""
     d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
     status = F.when(F.col("quality") == 1, "relevant").when(F.col("quality") == 0, "noise").otherwise("pending")
     return d.select(F.col("doc_id").alias("id"), status.alias("status"))
@@ -149,7 +149,7 @@ def identity_links(spark, sf):
 
 @query("SELECT c.c_custkey, count(o.o_orderkey) FILTER (WHERE o.o_orderstatus = 'F') AS n_final, max(o.o_totalprice) AS largest FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")
 def filtered_counts(spark, sf):
-    """Left join with conditional aggregates, aggregated before the join."""
+    """Left join with conditional aggregates, aggregated before the join."""
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.max("o_totalprice").alias("largest"))
     c = table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left")
     return c.select("c_custkey", F.coalesce("n_final", F.lit(0)).alias("n_final"), "largest")
@@ -157,7 +157,7 @@ def filtered_counts(spark, sf):
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def missing_references(spark, sf):
-    """Customers without orders (anti join)."""
+    """Customers without orders (anti join)."""
     return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -170,14 +170,14 @@ def price_summary(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT CAST(fetched_at AS DATE) AS d, content_type, count(*) AS n FROM c GROUP BY GROUPING SETS ((CAST(fetched_at AS DATE), content_type), (CAST(fetched_at AS DATE)), (content_type))")
 def daily_totals(spark, sf):
-    """Counts by day and type with both marginals in one pass."""
+    """Counts by day and type with both marginals in one pass."""
     c = contents(spark, sf).select(F.to_date("fetched_at").alias("d"), "content_type")
     return c.groupingSets([["d", "content_type"], ["d"], ["content_type"]], "d", "content_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CONTENTS} SELECT count(*) AS n, count(*) FILTER (WHERE NOT is_read) AS unread, count(*) FILTER (WHERE favorited) AS favorited, count(*) FILTER (WHERE archived) AS archived FROM c")
 def dashboard(spark, sf):
-    """Conditional totals in one row."""
+    """Conditional totals in one row."""
     c = contents(spark, sf)
     return c.agg(F.count("*").alias("n"), F.count_if(~F.col("is_read")).alias("unread"), F.count_if("favorited").alias("favorited"), F.count_if("archived").alias("archived"))
 
@@ -187,7 +187,7 @@ def dashboard(spark, sf):
  max(attempted_at) FILTER (WHERE outcome = 'success') AS last_success, max(attempted_at) FILTER (WHERE outcome = 'failure') AS last_failure, sum(saved_count) AS saved FROM l GROUP BY 1"""
 )
 def source_profile(spark, sf):
-    """Fetch profile by source."""
+    """Fetch profile by source."""
     ok, bad = F.col("outcome") == "success", F.col("outcome") == "failure"
     return fetch_log(spark, sf).groupBy("source_id").agg(
         F.count("*").alias("attempts"), (F.count_if(ok) / F.count("*")).alias("success_rate"), F.avg("latency_ms").alias("mean_latency"),
@@ -197,7 +197,7 @@ def source_profile(spark, sf):
 
 @query(f"WITH {FETCH_LOG} SELECT outcome, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, max(latency_ms) AS worst, count(*) AS n FROM l GROUP BY 1")
 def latency_percentiles(spark, sf):
-    """Nearest-rank percentiles by outcome."""
+    """Nearest-rank percentiles by outcome."""
     log = fetch_log(spark, sf)
     worst = log.groupBy(F.col("outcome").alias("o")).agg(F.max("latency_ms").alias("worst"), F.count("*").alias("n"))
     ranks = rows.nearest_ranks(log, "outcome", "latency_ms", {"p50": 0.5, "p95": 0.95}).drop("n")
@@ -206,7 +206,7 @@ def latency_percentiles(spark, sf):
 
 @query(f"WITH {FETCH_LOG}, m AS (SELECT *, lag(outcome) OVER (PARTITION BY source_id ORDER BY attempted_at, id) AS before FROM l), r AS (SELECT *, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY attempted_at, id) AS run FROM m) SELECT source_id, run, count(*) FILTER (WHERE outcome = 'failure') AS failures, least(16, power(2, least(4, count(*) FILTER (WHERE outcome = 'failure')))) AS backoff FROM r GROUP BY 1, 2")
 def failure_runs(spark, sf):
-    """Failures since each success, and the back-off they cause."""
+    """Failures since each success, and the back-off they cause."""
     r = rows.runs(fetch_log(spark, sf), "source_id", ["attempted_at", "id"], F.col("outcome") == "success")
     failures = F.count_if(F.col("outcome") == "failure")
     return r.groupBy("source_id", "run").agg(failures.alias("failures"), F.least(F.lit(16.0), F.pow(F.lit(2.0), F.least(F.lit(4), failures))).alias("backoff"))
@@ -216,7 +216,7 @@ def failure_runs(spark, sf):
     _SCORED + ", r AS (SELECT *, first_value(id) OVER (PARTITION BY title ORDER BY stars DESC NULLS LAST, score DESC, length(body) DESC, id) AS canon FROM sc) SELECT id, CASE WHEN canon <> id THEN canon END AS duplicate_of FROM r"
 )
 def duplicate_groups(spark, sf):
-    """Canonical member of each title group by source, score and length; the others point to it."""
+    """Canonical member of each title group by source, score and length; the others point to it."""
     best = F.struct(F.coalesce("stars", F.lit(-1)), "score", F.length("body"), -F.col("id"))
     return rows.mark_duplicates(scored(spark, sf), "title", best).select("id", "duplicate_of")
 
@@ -230,13 +230,13 @@ def latest_per_source(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, publish_time FROM c ORDER BY publish_time DESC NULLS LAST, fetched_at DESC, id DESC LIMIT 20 OFFSET 40")
 def page_by_offset(spark, sf):
-    """Third page of a list."""
+    """Third page of a list."""
     return contents(spark, sf).orderBy(F.desc_nulls_last("publish_time"), F.desc("fetched_at"), F.desc("id")).offset(40).limit(20).select("id", "publish_time")
 
 
 @query(f"WITH {CONTENTS} SELECT id FROM c WHERE (fetched_at, id) > (TIMESTAMP '2024-01-01 02:00:00', 120) ORDER BY fetched_at, id LIMIT 25")
 def page_by_key(spark, sf):
-    """Keyset page after a cursor."""
+    """Keyset page after a cursor."""
     at = F.lit("2024-01-01 02:00:00").cast("timestamp")
     after = (F.col("fetched_at") > at) | ((F.col("fetched_at") == at) & (F.col("id") > 120))
     return contents(spark, sf).where(after).orderBy("fetched_at", "id").limit(25).select("id")
@@ -244,7 +244,7 @@ def page_by_key(spark, sf):
 
 @query("WITH u AS (SELECT doc_id AS id, 'feedback' AS origin, quality AS v FROM labels UNION ALL SELECT event_id, event_type, NULL FROM events) SELECT origin, count(*) AS n, sum(v) AS v FROM u GROUP BY 1")
 def union_streams(spark, sf):
-    """Feedback and interactions as one stream."""
+    """Feedback and interactions as one stream."""
     a = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.lit("feedback").alias("origin"), F.col("quality").alias("v"))
     b = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("origin"))
     return a.unionByName(b, allowMissingColumns=True).groupBy("origin").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
@@ -252,7 +252,7 @@ def union_streams(spark, sf):
 
 @query("SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left' WHEN a.id IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT doc_id AS id FROM labels WHERE quality = 1) a FULL JOIN (SELECT doc_id AS id FROM labels WHERE toxic = 1) b ON a.id = b.id")
 def id_list_diff(spark, sf):
-    """Members of two id lists by the side they are on."""
+    """Members of two id lists by the side they are on."""
     lab = table(spark, sf, "labels")
     a, b = lab.where("quality = 1").select("doc_id", F.lit(1).alias("a")), lab.where("toxic = 1").select("doc_id", F.lit(1).alias("b"))
     side = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise("both")
@@ -261,18 +261,18 @@ def id_list_diff(spark, sf):
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^(www|m|mobile|amp)[.]', '') AS bare, regexp_extract(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) AS domain FROM pages")
 def url_hosts(spark, sf):
-    """Host, bare host and registrable domain of page URLs."""
+    """Host, bare host and registrable domain of page URLs."""
     u = F.col("url")
     return table(spark, sf, "pages").select("page_id", text.host(u).alias("host"), text.bare_host(u).alias("bare"), text.registrable(u).alias("domain"))
 
 
 @query(
     """WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^(www|m|mobile|amp)[.]', '') AS h, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS p,
- list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '^(utm_.*|fbclid|gclid|ref|spm|from|source)$'))) AS q FROM pages)
+ list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '^(utm_.*|fbclid|from|gclid|igshid|mc_cid|mc_eid|mkt_tok|ref|source|spm|vero_id|yclid)$'))) AS q FROM pages)
 SELECT page_id, 'https://' || h || p || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM p"""
 )
 def canonical_urls(spark, sf):
-    """URLs without trackers, fragments and mobile hosts."""
+    """URLs without trackers, fragments and mobile hosts."""
     return table(spark, sf, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
 
 
@@ -280,33 +280,33 @@ def canonical_urls(spark, sf):
     r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '\s+', ' ', 'g')) AS plain FROM pages"""
 )
 def strip_html(spark, sf):
-    """Plain text of raw HTML by tag stripping."""
+    """Plain text of raw HTML by tag stripping."""
     return table(spark, sf, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
 @query(f"WITH {CONTENTS} SELECT id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS title_key, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> '')) AS words, len(list_filter(string_split(body, chr(10)), lambda p: length(trim(p)) >= 40)) AS paragraphs FROM c")
 def text_measures(spark, sf):
-    """Title keys, word and paragraph counts."""
+    """Title keys, word and paragraph counts."""
     return contents(spark, sf).select("id", text.title_key(F.col("title")).alias("title_key"), text.word_count(F.col("body")).alias("words"), text.paragraphs(F.col("body")).alias("paragraphs"))
 
 
 @query(f"WITH {CONTENTS} SELECT id, length(regexp_replace(body, '[^A-Z]', '', 'g')) / length(body) AS upper_share, length(regexp_replace(body, '[^0-9]', '', 'g')) / length(body) AS digit_share FROM c WHERE length(body) > 0")
 def character_shares(spark, sf):
-    """Shares of capital letters and digits."""
+    """Shares of capital letters and digits."""
     c = contents(spark, sf).where(F.length("body") > 0)
     return c.select("id", text.char_share(F.col("body"), "[A-Z]").alias("upper_share"), text.char_share(F.col("body"), "[0-9]").alias("digit_share"))
 
 
 @query(f"WITH {CONTENTS} SELECT id, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda p: trim(p)), lambda p: length(p) >= 20), chr(10)) AS normal FROM c")
 def normalized_text(spark, sf):
-    """Texts without short lines."""
+    """Texts without short lines."""
     lines = F.transform(F.split("body", "\n"), lambda p: F.trim(p))
     return contents(spark, sf).select("id", F.array_join(F.filter(lines, lambda p: F.length(p) >= 20), "\n").alias("normal"))
 
 
 @query(f"WITH {CONTENTS} SELECT id, substr(sha1(title), 1, 24) AS event_id, 'ITEM-' || strftime(fetched_at, '%Y%m%d') || '-' || lpad(CAST(row_number() OVER (PARTITION BY CAST(fetched_at AS DATE) ORDER BY id) AS VARCHAR), 5, '0') AS item_no FROM c")
 def stable_ids(spark, sf):
-    """Hashed event ids and sequential item numbers by day."""
+    """Hashed event ids and sequential item numbers by day."""
     n = F.row_number().over(Window.partitionBy(F.to_date("fetched_at")).orderBy("id"))
     number = F.concat(F.lit("ITEM-"), F.date_format("fetched_at", "yyyyMMdd"), F.lit("-"), F.lpad(n.cast("string"), 5, "0"))
     return contents(spark, sf).select("id", F.substring(F.sha1("title"), 1, 24).alias("event_id"), number.alias("item_no"))
@@ -314,13 +314,13 @@ def stable_ids(spark, sf):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def hourly_events(spark, sf):
-    """Tumbling hourly counts."""
+    """Tumbling hourly counts."""
     return timed.hourly_counts(table(spark, sf, "events"))
 
 
 @query("WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS n, avg(value) AS mean FROM events, m WHERE ts > m.t - INTERVAL 48 HOUR AND ts <= m.t GROUP BY 1")
 def rolling_48h(spark, sf):
-    """Counts over the last 48 hours of the data."""
+    """Counts over the last 48 hours of the data."""
     e = table(spark, sf, "events")
     last = e.agg(F.max("ts").alias("t")).scalar()
     return e.where((F.col("ts") > last - F.expr("interval 48 hours")) & (F.col("ts") <= last)).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
@@ -328,7 +328,7 @@ def rolling_48h(spark, sf):
 
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k")
 def user_sessions(spark, sf):
-    """Sessions by user."""
+    """Sessions by user."""
     return timed.sessions(table(spark, sf, "events"))
 
 
@@ -342,7 +342,7 @@ def sliding_rate(spark, sf):
 
 @query("WITH v AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, turn, 1 + sum(CASE WHEN before IS NOT NULL AND before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS version FROM v")
 def snapshot_versions(spark, sf):
-    """Versions that rise when the fingerprint changes."""
+    """Versions that rise when the fingerprint changes."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     v = table(spark, sf, "conversations").withColumn("before", F.lag("role").over(w))
     changed = F.when(F.col("before").isNotNull() & (F.col("before") != F.col("role")), 1).otherwise(0)
@@ -351,7 +351,7 @@ def snapshot_versions(spark, sf):
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, min(turn) AS first_turn FROM conversations GROUP BY 1")
 def latest_snapshot(spark, sf):
-    """Last version of each conversation."""
+    """Last version of each conversation."""
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"), F.min("turn").alias("first_turn"))
 
 
@@ -396,7 +396,7 @@ def reliability_bins(spark, sf):
 
 @query(f"WITH {CONTENTS}, t AS (SELECT id, source_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z]+'), lambda w: length(w) >= 5)) AS w FROM c), x AS (SELECT id, source_id, len(w) AS n, unnest(w) AS w FROM t) SELECT a.id AS left_id, b.id AS right_id, count(*) / (a.n + b.n - count(*)) AS jaccard FROM x a JOIN x b ON a.w = b.w AND a.source_id = b.source_id AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.28")
 def title_pairs(spark, sf):
-    """Pairs of titles of one source whose word sets overlap by 0.28 or more, from shared words only."""
+    """Pairs of titles of one source whose word sets overlap by 0.28 or more, from shared words only."""
     words = F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-z]+"), lambda w: F.length(w) >= 5))
     t = contents(spark, sf).select("id", "source_id", words.alias("w"))
     # rarest words first: titles with that overlap share one of the first words that are left without 0.28 of all
