@@ -117,9 +117,9 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each text its distinct shingle hashes, sorted."""
+    """For each text its distinct shingle hashes, sorted; taken in small pieces, as workers keep the memory they once had."""
     data, offsets = buffers(column)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, 1 << 18):
         lo, hi = offsets[i], offsets[j]
         hashes, ranges = word_hashes(data[lo:hi], offsets[i : j + 1] - lo)
         for k in range(j - i):
