@@ -20,7 +20,7 @@ def hard_dir(spark, hard, tmp_path_factory):  # noqa: F811
         "doc_id long, text string, lang string, source string, score string, node int",
     )
     hard.unionByName(extra).coalesce(3).write.parquet(f"{where}/documents.parquet")
-    for name in ("benchmark", "labels", "pages", "embeddings"):
+    for name in ("benchmark", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{where}/{name}.parquet")
     return str(where)
 
@@ -29,7 +29,7 @@ def hard_dir(spark, hard, tmp_path_factory):  # noqa: F811
 def empty_dir(spark, hard, tmp_path_factory):  # noqa: F811
     where = tmp_path_factory.mktemp("empty")
     hard.limit(0).withColumn("n_chars", hard.doc_id).write.parquet(f"{where}/documents.parquet")
-    for name in ("benchmark", "labels", "pages", "embeddings"):
+    for name in ("benchmark", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{where}/{name}.parquet")
     return str(where)
 
