@@ -33,17 +33,17 @@ def incumbent(letters: bytes, flags: np.ndarray) -> int:
     """Cost of a plain repair: faulty rows go, rows out of step go or are given the role that the next row asks for."""
     good = [c for c, f in zip(letters.decode("latin-1"), flags.tolist(), strict=True) if f == PLAIN]
     faulty = DELETE * (len(letters) - len(good))
-    cost, turn = 0, 0
+    cost = turn = stay = 0
     first = 1 if good and good[0] == "s" else 0
     for at in range(first, len(good)):
         if good[at] == "ua"[turn]:
-            turn ^= 1
+            turn, stay = turn ^ 1, stay + 1
         elif at + 1 < len(good) and good[at + 1] == "ua"[turn ^ 1]:
-            cost, turn = cost + 1, turn ^ 1
+            cost, turn, stay = cost + 1, turn ^ 1, stay + 1
         else:
             cost += DELETE
-    cost += DELETE * turn
-    return faulty + min(DELETE * len(good), cost + DELETE * first)
+    cost += DELETE * turn + DELETE * (first and stay - turn < 2)
+    return faulty + min(DELETE * len(good), cost)
 
 
 class Table:
@@ -56,7 +56,7 @@ class Table:
     def __init__(self, letters: bytes, flags: np.ndarray):
         self.letters, self.flags, self.n = letters, flags, len(letters)
         self.base = DELETE * int((flags != PLAIN).sum())
-        slack = max(0, incumbent(letters, flags) - self.base) + DELETE  # with room for a leading system turn that goes
+        slack = incumbent(letters, flags) - self.base
         self.low, self.width = slack // 2, slack // 2 + slack // 3 + 1
         self.left = np.concatenate([np.cumsum((flags == PLAIN)[::-1])[::-1], [0]]).astype(np.int64)
         self.steps = np.arange(self.width, dtype=np.int64) * INSERT
@@ -168,6 +168,9 @@ class Table:
 
 def aligned(letters: bytes, flags: np.ndarray) -> tuple[int, str]:
     """Least cost and least audit of a conversation given by its rows' initials (u, a, s, others) and faults."""
+    faulty = int((flags != PLAIN).sum())
+    if incumbent(letters, flags) == DELETE * faulty:  # a band of one diagonal: each good row stays, each faulty one goes
+        return DELETE * faulty, "".join("D" if f else "K" for f in flags.tolist())
     return Table(letters, flags).traced()
 
 
@@ -223,10 +226,11 @@ def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = rows["flag"].to_numpy().astype(np.int8)
         letters = "".join(rows["letter"].to_pylist()).encode()
         turns = [t for t in rows["turn"].to_pylist() if t is not None]
-        digests = np.frombuffer(b"".join(rows["digest"].to_pylist()), "V16")
-        again = np.ones(n, bool)
-        again[np.unique(digests.view("u8").reshape(-1, 2), axis=0, return_index=True)[1] if n else []] = False
-        flags[again & (flags != BLANK)] = DUPLICATE
+        seen: set[bytes] = set()
+        for i, digest in enumerate(rows["digest"].to_pylist()):
+            if digest in seen and flags[i] != BLANK:
+                flags[i] = DUPLICATE
+            seen.add(digest)
         cost, audit = aligned(letters, flags)
         row = (
             conv, turns[-1] - turns[0] + 1 - len(set(turns)) if turns else 0, int((flags == BLANK).sum()), int((flags == DUPLICATE).sum()), int((flags == TRUNCATED).sum()),
