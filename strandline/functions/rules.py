@@ -7,7 +7,7 @@ that other engines' regular expressions share.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,8 +35,11 @@ def whole(term: str) -> str:
 
 
 def any_entity(terms: Sequence[str]) -> str:
-    """Pattern of any of the terms: ASCII terms as whole words, others anywhere."""
-    return "|".join(whole(t.lower()) if t.isascii() else escaped(t.lower()) for t in terms)
+    """Pattern of any of the terms: ASCII terms as whole words, others anywhere. Words that begin and end alike share their boundaries."""
+    plain = [t.lower() for t in terms if t.isascii() and re.match(r"\w", t[0]) and re.match(r"\w", t[-1])]
+    rest = [whole(t.lower()) if t.isascii() else escaped(t.lower()) for t in terms if t.lower() not in plain]
+    words = [f"(?:^|{OTHER})(?:{'|'.join(map(escaped, plain))})(?:$|{OTHER})"] if plain else []
+    return "|".join([*words, *rest])
 
 
 def has(c: Column, terms: Sequence[str]) -> Column:
@@ -48,31 +51,42 @@ def headline(title: Column, summary: Column, limit: int = 600) -> Column:
     return F.lower(F.substring(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))), 1, limit))
 
 
-def salience(title: Column, head: Column, tiers: Mapping[str, Sequence[str]] = v.TIERS, user_terms: Sequence[str] = ()) -> Column:
-    """Tier of the best entity, best event bonus, user terms (up to 2), at least the floor for disasters; up to 10."""
-    base = F.when(head.rlike(any_entity(tiers["S"])), v.TIER_SCORES["S"])
-    for tier in "AB":
-        base = base.when(head.rlike(any_entity(tiers[tier])), v.TIER_SCORES[tier])
+#: Columns of hits(): which lists a title (t_) or a headline (h_) has a term of.
+HITS = (
+    "h_s", "h_a", "h_b", "h_bonus", "h_disaster", "t_disaster", "h_dead", "t_dead", "t_places", "h_systemic", "h_sector", "h_local", "h_major", "h_exempt", "h_commerce", "t_commerce", "h_narrow", "t_narrow",
+)
+
+
+def hits(title: Column, head: Column, tiers: Mapping[str, Sequence[str]] = v.TIERS) -> dict[str, Column]:
+    """Every vocabulary matched once against the lower-cased title or headline; salience, reach and cap_scope read these columns."""
     bonus = F.greatest(*[F.when(has(head, terms), add).otherwise(0.0) for add, terms in v.EVENTS.values()])
+    tested = {
+        "h_s": head.rlike(any_entity(tiers["S"])), "h_a": head.rlike(any_entity(tiers["A"])), "h_b": head.rlike(any_entity(tiers["B"])), "h_bonus": bonus, "h_disaster": has(head, v.DISASTERS), "t_disaster": has(title, v.DISASTERS),
+        "h_dead": has(head, v.CASUALTIES), "t_dead": has(title, v.CASUALTIES), "t_places": has(title, v.SEVERAL_PLACES), **{f"h_{k}": has(head, v.REACH[k]) for k in ("systemic", "sector", "local")},
+        "h_major": has(head, tiers["S"]), "h_exempt": has(head, v.EXEMPT), "h_commerce": has(head, v.COMMERCE), "t_commerce": has(title, v.COMMERCE), "h_narrow": has(head, v.NARROW), "t_narrow": has(title, v.NARROW),
+    }
+    return {k: tested[k] for k in HITS}
+
+
+def salience(head: Column, user_terms: Sequence[str] = ()) -> Column:
+    """Tier of the best entity, best event bonus, user terms (up to 2), at least the floor for disasters; up to 10."""
+    base = F.when(F.col("h_s"), v.TIER_SCORES["S"]).when(F.col("h_a"), v.TIER_SCORES["A"]).when(F.col("h_b"), v.TIER_SCORES["B"]).otherwise(v.TIER_SCORES["C"])
     user = F.least(F.lit(2.0), sum((head.rlike(any_entity([t])).cast("double") for t in user_terms), F.lit(0.0)))
-    title = F.lower(title)
-    floor = F.when(has(title, v.DISASTERS) & has(title, v.CASUALTIES), 9.0).when(has(head, v.DISASTERS) & has(head, v.CASUALTIES), 8.5).when(has(head, v.DISASTERS), 7.5).otherwise(0.0)
-    return F.round(F.least(F.lit(10.0), F.greatest(base.otherwise(v.TIER_SCORES["C"]) + bonus + user, floor)), 1)
+    floor = F.when(F.col("t_disaster") & F.col("t_dead"), 9.0).when(F.col("h_disaster") & F.col("h_dead"), 8.5).when(F.col("h_disaster"), 7.5).otherwise(0.0)
+    return F.round(F.least(F.lit(10.0), F.greatest(base + F.col("h_bonus") + user, floor)), 1)
 
 
-def reach(title: Column, head: Column, tiers: Mapping[str, Sequence[str]] = v.TIERS) -> Column:
-    title = F.lower(title)
-    wide = has(head, v.DISASTERS) & has(title, v.SEVERAL_PLACES)
-    out = F.when(wide & has(title, v.CASUALTIES), v.REACH_SCORES["systemic"]).when(wide, v.REACH_SCORES["sector"])
+def reach() -> Column:
+    wide = F.col("h_disaster") & F.col("t_places")
+    out = F.when(wide & F.col("t_dead"), v.REACH_SCORES["systemic"]).when(wide, v.REACH_SCORES["sector"])
     for level in ("systemic", "sector", "local"):
-        out = out.when(has(head, v.REACH[level]), v.REACH_SCORES[level])
-    return out.when(has(head, tiers["S"]), v.REACH_SCORES["major_entity"]).otherwise(v.REACH_SCORES["entity"])
+        out = out.when(F.col(f"h_{level}"), v.REACH_SCORES[level])
+    return out.when(F.col("h_major"), v.REACH_SCORES["major_entity"]).otherwise(v.REACH_SCORES["entity"])
 
 
-def cap_scope(title: Column, head: Column) -> Column:
+def cap_scope() -> Column:
     """commerce, narrow or null: which caps bound the dimensions."""
-    title = F.lower(title)
-    return F.when(has(head, v.EXEMPT), None).when(has(title, v.COMMERCE) | has(head, v.COMMERCE), "commerce").when(has(title, v.NARROW) | has(head, v.NARROW), "narrow")
+    return F.when(F.col("h_exempt"), None).when(F.col("t_commerce") | F.col("h_commerce"), "commerce").when(F.col("t_narrow") | F.col("h_narrow"), "narrow")
 
 
 def capped(score: Column, dimension: str, scope: Column) -> Column:
@@ -93,20 +107,27 @@ def authority(stars: Column, kind: Column) -> Column:
     return F.round(F.least(F.lit(10.0), base + bonus), 1)
 
 
-def paragraph_count(text: Column) -> Column:
-    """Parts of 40 characters or more between blank lines or behind ends of sentences; a text of 80 or more has one at least."""
-    cut = F.regexp_replace(text, r"([.!?。！？])\s+", "$1\n\n")
-    parts = F.size(F.filter(F.split(cut, r"\n{2,}"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) >= 40))
+def paragraph_count(text: Column, folded: bool = False) -> Column:
+    """Parts of 40 characters or more between blank lines or behind ends of sentences; a text of 80 or more has one at least.
+
+    `folded` says that the text has no white space but single blanks.
+    """
+    cut = F.split(text, r"(?<=[.!?。！？])\s+" if folded else r"(?<=[.!?。！？])\s+|\n{2,}")
+    size = (lambda p: F.length(F.trim(p))) if folded else lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " ")))
+    parts = F.size(F.filter(cut, lambda p: size(p) >= 40))
     return F.when(parts > 0, parts).when(F.length(text) >= 80, 1).otherwise(0)
 
 
-def depth(body: Column, status: Column, content_type: Column) -> Column:
-    """Paragraphs (up to 4), digits and quotation marks (up to 4), and the adjustment for posts and full texts; up to 10."""
-    text = F.trim(body)
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    facts = F.least(F.lit(4.0), 0.15 * count("[0-9]") + 0.4 * (2 * count('"') + count("'") + count("「")))
+def facts(text: Column) -> Column:
+    """Points for digits and quotation marks, up to 4."""
+    count = lambda c: F.length(text) - F.length(F.translate(text, c, "") if len(c) > 1 else F.replace(text, F.lit(c), F.lit("")))
+    return F.least(F.lit(4.0), 0.15 * count("0123456789") + 0.4 * (2 * count('"') + count("'") + count("「")))
+
+
+def depth(paragraphs: Column, points: Column, status: Column, content_type: Column) -> Column:
+    """Paragraphs (up to 4), points of facts(), and the adjustment for posts and full texts; up to 10."""
     adjust = F.when(content_type == "x", 2.0).when(status == "full", 1.0).otherwise(0.0)
-    return F.round(F.least(F.lit(10.0), F.least(F.lit(4.0), 0.8 * paragraph_count(text)) + facts + adjust), 1)
+    return F.round(F.least(F.lit(10.0), F.least(F.lit(4.0), 0.8 * paragraphs) + points + adjust), 1)
 
 
 def clean(text: Column) -> Column:
@@ -117,19 +138,18 @@ def clean(text: Column) -> Column:
     return F.trim(out)
 
 
-def text_status(title: Column, body: Column, summary: Column, blocked: Column | None = None) -> tuple[Column, Column]:
-    """Availability of the text (full, partial, summary_only, title_only, blocked) and its quality from 0 to 1, of cleaned texts."""
-    n, s, paragraphs = F.length(body), F.length(summary), paragraph_count(body)
+def text_status(title: Column, body: Column, summary: Column, blocked: Column | None = None, paragraphs: Column | None = None) -> tuple[Column, Callable[[Column], Column]]:
+    """Availability of the text (full, partial, summary_only, title_only, blocked), and its quality from 0 to 1 as a function of that; of cleaned texts."""
+    n, s, paragraphs = F.length(body), F.length(summary), paragraph_count(body) if paragraphs is None else paragraphs
     status = F.when(F.lit(False) if blocked is None else blocked, "blocked").when((n >= 1200) & (paragraphs >= 3), "full")
     status = status.when((n >= 400) | (n >= 220) & (paragraphs >= 2), "partial").when(s >= 50, "summary_only").when(F.length(title) > 0, "title_only").otherwise("blocked")
     size, parts, brief = F.least(F.lit(1.0), n / 1600.0), F.least(F.lit(1.0), paragraphs / 5.0), F.least(F.lit(1.0), s / 300.0) * 0.45
-    quality = (
-        F.when(status == "full", F.greatest(F.lit(0.78), 0.65 * size + 0.35 * parts))
-        .when(status == "partial", F.greatest(F.lit(0.45), F.least(F.lit(0.74), 0.55 * size + 0.35 * parts + 0.10 * brief)))
-        .when(status == "summary_only", F.greatest(F.lit(0.24), F.least(F.lit(0.48), brief)))
-        .when(status == "title_only", 0.12).otherwise(0.0)
-    )
-    return status, F.round(quality, 3)
+
+    def quality(status: Column) -> Column:
+        out = F.when(status == "full", F.greatest(F.lit(0.78), 0.65 * size + 0.35 * parts)).when(status == "partial", F.greatest(F.lit(0.45), F.least(F.lit(0.74), 0.55 * size + 0.35 * parts + 0.10 * brief)))
+        return F.round(out.when(status == "summary_only", F.greatest(F.lit(0.24), F.least(F.lit(0.48), brief))).when(status == "title_only", 0.12).otherwise(0.0), 3)
+
+    return status, quality
 
 
 def confidence(status: Column, quality: Column) -> Column:

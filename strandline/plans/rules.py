@@ -49,9 +49,12 @@ _QUALITY = f"""{HEADLINES}, t AS (SELECT *, {_clean("title")} AS t_title, {_clea
 
 
 def qualified(spark, sf):
-    """Headlines with the status and quality of their texts."""
-    status, quality = rules.text_status(rules.clean(F.col("title")), rules.clean(F.col("body")), rules.clean(F.col("summary")))
-    return headlines(spark, sf).withColumns({"status": status, "quality": quality})
+    """Headlines with the status and quality of their texts; every text is cleaned once, in a projection of its own."""
+    h = headlines(spark, sf)
+    h = h.withColumns({f"t_{c}": rules.clean(F.col(c)) for c in ("title", "body", "summary")})
+    h = h.withColumn("t_paragraphs", rules.paragraph_count(F.col("t_body"), folded=True))
+    status, quality = rules.text_status(F.col("t_title"), F.col("t_body"), F.col("t_summary"), paragraphs=F.col("t_paragraphs"))
+    return h.withColumn("status", status).withColumn("quality", quality(F.col("status"))).drop("t_title", "t_body", "t_summary", "t_paragraphs")
 
 
 @query(f"WITH {_QUALITY} SELECT id, status, quality FROM ql")
@@ -79,17 +82,19 @@ _RULES = f"""{_QUALITY}, hd AS (SELECT *, {_LOW} AS head, lower(title) AS low FR
   round(least(10.0, least(4.0, 0.8 * ({_paragraphs("trim(body)")})) + least(4.0, 0.15 * length(regexp_replace(body, '[^0-9]', '', 'g')) + 0.4 * (2 * length(regexp_replace(body, '[^"]', '', 'g')) + length(regexp_replace(body, '[^'']', '', 'g')) + length(regexp_replace(body, '[^「]', '', 'g'))))
    + CASE WHEN content_type = 'x' THEN 2.0 WHEN status = 'full' THEN 1.0 ELSE 0.0 END)::DOUBLE, 1) AS depth0 FROM hd),
  dm AS (SELECT id, source_id, scope, status, {_cap("salience", "sal0")} AS salience, {_cap("reach", "reach0")} AS reach, authority, {_cap("depth", "depth0")} AS depth,
-  round((0.65 * CASE status {" ".join(f"WHEN '{k}' THEN {x}" for k, x in v.STATUS_CONFIDENCE.items())} END + 0.35 * quality)::DOUBLE, 3) AS confidence FROM sc),
- rs AS (SELECT *, round((0.30 * salience + 0.25 * reach + 0.25 * authority + 0.20 * depth)::DOUBLE * 10, 2) AS score FROM dm)"""
+  round((0.65::DOUBLE * CASE status {" ".join(f"WHEN '{k}' THEN {x}::DOUBLE" for k, x in v.STATUS_CONFIDENCE.items())} END + 0.35::DOUBLE * quality)::DOUBLE, 3) AS confidence FROM sc),
+ rs AS (SELECT *, round((0.30::DOUBLE * salience + 0.25::DOUBLE * reach + 0.25::DOUBLE * authority + 0.20::DOUBLE * depth) * 10, 2) AS score FROM dm)"""
 
 
 def rule_scored(spark, sf):
     """Headlines with all dimensions of the rule score, capped, the score and its confidence."""
-    h = qualified(spark, sf).withColumn("head", rules.headline(F.col("title"), F.col("summary")))
-    title, head = F.col("title"), F.col("head")
-    h = h.withColumn("scope", rules.cap_scope(title, head))
-    dims = {"salience": rules.salience(title, head), "reach": rules.reach(title, head), "depth": rules.depth(F.col("body"), F.col("status"), F.col("content_type"))}
-    h = h.withColumns({k: rules.capped(c, k, F.col("scope")) for k, c in dims.items()}).withColumn("authority", rules.authority(F.col("stars"), F.col("kind")))
+    h = qualified(spark, sf).withColumns({"head": rules.headline(F.col("title"), F.col("summary")), "low": F.lower("title"), "text": F.trim("body")})
+    h = h.withColumns({**rules.hits(F.col("low"), F.col("head")), "facts": rules.facts(F.col("text")), "paragraphs": rules.paragraph_count(F.col("text"))})
+    h = h.withColumn("scope", rules.cap_scope())
+    dims = {"salience": rules.salience(F.col("head")), "reach": rules.reach(), "depth": rules.depth(F.col("paragraphs"), F.col("facts"), F.col("status"), F.col("content_type"))}
+    h = h.withColumns(dims)
+    h = h.withColumns({k: rules.capped(F.col(k), k, F.col("scope")) for k in dims}).withColumn("authority", rules.authority(F.col("stars"), F.col("kind")))
+    h = h.drop(*rules.HITS, "head", "low", "text", "facts", "paragraphs")
     total = 0.30 * F.col("salience") + 0.25 * F.col("reach") + 0.25 * F.col("authority") + 0.20 * F.col("depth")
     return h.withColumns({"score": F.round(total * 10, 2), "confidence": rules.confidence(F.col("status"), F.col("quality"))})
 

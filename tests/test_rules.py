@@ -12,7 +12,7 @@ from strandline.sources import landed
 def dims(spark, title, summary=""):
     df = spark.createDataFrame([(title, summary)], "title string, summary string")
     head = rules.headline(F.col("title"), F.col("summary"))
-    return df.select(rules.salience(F.col("title"), head), rules.reach(F.col("title"), head), rules.cap_scope(F.col("title"), head)).first()
+    return df.select(head.alias("head"), *(c.alias(k) for k, c in rules.hits(F.lower("title"), head).items())).select(rules.salience(F.col("head")), rules.reach(), rules.cap_scope()).first()
 
 
 def test_salience_reach_and_scope(spark):
