@@ -5,22 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder named by spark.checkpoint.dir and read back, so that lost executors cost no history.
-
-    Only a local session without that setting, as in tests, uses a temporary folder.
-    """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; only a local session without that setting, as in tests, uses a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("strandline.local.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="strandline-")
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        spark.conf.set("strandline.local.dir", base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that lost executors cost no history."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluation, lookups, operations, rules, upkeep  # noqa: F401  (each registers its queries with the catalog's)
+from . import catalog, evaluation, eventing, lookups, operations, rules, upkeep  # noqa: F401  (each registers its queries with the catalog's)
 
 QUERIES = dict(catalog.QUERIES)
 ORACLE = dict(catalog.ORACLE)
