@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import rules, upkeep
+from strandline.operators import budget
 from strandline.plans.catalog import query
 from strandline.plans.rules import _QUALITY, _RULES, q, qualified, rule_scored
 from strandline.sources.views import CONTENTS, FETCH_LOG, HEADLINES, contents, fetch_log, headlines, table
@@ -215,17 +216,21 @@ def observations(spark, sf):
     return e.select("user_id", "pos", "neg", *upkeep.observation(F.col("pos"), F.col("neg")))
 
 
+_DAY, _MONTH = 20000, 400000
+
+
 @query(
-    """WITH t AS (SELECT event_id, ts, (event_id % 50 + 1) * 10 AS tokens FROM events), s AS (SELECT *, sum(tokens) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS day, sum(tokens) OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) AS month FROM t)
- SELECT ts::DATE AS day, count(*) AS calls, count(*) FILTER (WHERE day > 20000 OR month > 400000) AS denied FROM s GROUP BY 1"""
+    f"""WITH RECURSIVE t AS (SELECT event_id, ts, ts::DATE AS day, (event_id % 50 + 1) * 10 AS tokens FROM events), d AS (SELECT day, list({{'t': tokens, 'du': 0::BIGINT, 'mu': 0::BIGINT, 'no': 0::BIGINT}} ORDER BY ts, event_id) AS calls, row_number() OVER (ORDER BY day) AS i FROM t GROUP BY day),
+ f(i, day, n, e) AS (SELECT 0::BIGINT, NULL::DATE, 0::BIGINT, {{'t': 0::BIGINT, 'du': 0::BIGINT, 'mu': 0::BIGINT, 'no': 0::BIGINT}}
+  UNION ALL SELECT d.i, d.day, len(calls), list_reduce(calls, lambda a, x: CASE WHEN a.du + x.t <= {_DAY} AND a.mu + x.t <= {_MONTH} THEN {{'t': 0::BIGINT, 'du': a.du + x.t, 'mu': a.mu + x.t, 'no': a.no}} ELSE {{'t': 0::BIGINT, 'du': a.du, 'mu': a.mu, 'no': a.no + 1}} END,
+   {{'t': 0::BIGINT, 'du': 0::BIGINT, 'mu': CASE WHEN date_trunc('month', d.day) = date_trunc('month', f.day) THEN f.e.mu ELSE 0 END, 'no': 0::BIGINT}}) FROM f JOIN d ON d.i = f.i + 1)
+ SELECT day, n AS calls, e.no AS denied, e.du AS used FROM f WHERE i > 0"""
 )
 def token_budget(spark, sf):
-    """Calls of each day, and those asked for after the day's or month's tokens had run out, from daily sums and one running sum a day."""
-    t = table(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("day"), F.trunc(F.to_date("ts"), "month").alias("month"), ((F.col("event_id") % 50 + 1) * 10).alias("tokens"))
-    before = t.groupBy("month", "day").agg(F.sum("tokens").alias("sum"))
-    before = before.select("day", F.coalesce(F.sum("sum").over(Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    s = t.join(F.broadcast(before), "day").withColumn("used", F.sum("tokens").over(Window.partitionBy("day").orderBy("ts", "event_id")))
-    return s.groupBy("day").agg(F.count("*").alias("calls"), F.count_if((F.col("used") > 20000) | (F.col("before") + F.col("used") > 400000)).alias("denied"))
+    """Calls of each day, those denied by the day's or month's budget, and the tokens granted; a denied call uses nothing."""
+    calls = table(spark, sf, "events").select("event_id", "ts", ((F.col("event_id") % 50 + 1) * 10).alias("tokens"))
+    g = budget.granted(calls, _DAY, _MONTH)
+    return g.groupBy(F.col("day").cast("date").alias("day")).agg(F.count("*").alias("calls"), F.count_if(~F.col("allowed")).alias("denied"), F.sum(F.when(F.col("allowed"), F.col("tokens")).otherwise(0)).alias("used"))
 
 
 @query(f"WITH {HEADLINES} SELECT id, array_to_string(list_filter([CASE WHEN id % 2 = 0 THEN 'late' END, CASE WHEN id % 3 = 0 THEN 'short' END, CASE WHEN id % 4 = 0 THEN 'late' END], lambda x: x IS NOT NULL)[1:CASE WHEN id % 4 = 0 THEN CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END ELSE 3 END], '；') AS warning, 's' || id % 5 AS sid FROM h")

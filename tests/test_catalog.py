@@ -13,12 +13,20 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
 
 
+#: Queries whose sums and roundings need more rows than the smallest tables have.
+LARGER = ("article_scores", "content_quality", "event_ranking", "fulltext_quality", "greedy_clusters", "rebalance_pairs", "rule_scores", "signature_pairs")
+
+
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return con
+    def opened(sf):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        return con
+
+    known = {}
+    return lambda sf: known.setdefault(sf, opened(sf))
 
 
 def plain(v):
@@ -29,11 +37,11 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query_equals_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
+@pytest.mark.parametrize(("name", "sf"), [*((n, SF) for n in sorted(registry.ORACLE)), *((n, "/root/testdata/sf0.01") for n in LARGER)])
+def test_query_equals_sql(spark, duck, name, sf):
+    df = registry.QUERIES[name](spark, sf)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
-    cur = duck.execute(registry.ORACLE[name])
+    cur = duck(sf).execute(registry.ORACLE[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     want = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in cur.fetchall())
@@ -42,4 +50,10 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_docstrings_name_no_operator_that_is_not_built():
     named = {code for f in registry.QUERIES.values() for code in re.findall(r"\b[A-Z][0-9]{2}\b", f.__doc__ or "")}
-    assert named and named.isdisjoint({"V21", "F05", "F06", "X24", "R10", "F10", "A03", "A36"})
+    assert named and named.isdisjoint({"V21", "R10", "F10", "A03", "A36"})
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
+def test_query_without_sql_has_rows(spark, name):
+    """What they compute is held against plain models in test_eventing and test_reading."""
+    assert registry.QUERIES[name](spark, SF).count() > 0
