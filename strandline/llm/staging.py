@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,19 +29,20 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    if (open_ := _scratch.get()):
+        open_[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths staged within each open scratch(), innermost last.
-_scratch: list[list[str]] = []
+#: Paths staged within each open scratch() of this thread, innermost last; other threads have their own.
+_scratch: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes at its end what was staged within, except for tables (fresh from staged) passed to the function it gives."""
-    _scratch.append([])
+    before, made = _scratch.get(), []
+    token = _scratch.set((*before, made))
     kept: set[str] = set()
 
     def keep(df: DataFrame) -> DataFrame:
@@ -50,10 +52,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(token)
+        for path in made:
             if path.rsplit("/", 1)[-1] in kept:
-                if _scratch:
-                    _scratch[-1].append(path)
+                if before:
+                    before[-1].append(path)
             else:
                 place = spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
