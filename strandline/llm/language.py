@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import buffers, chunks
@@ -88,8 +88,8 @@ def _prepared(docs: DataFrame, text: str):
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", clusters: int = 4, sample_per_language: int = 600, slack: float = 0.5) -> Model:
     """Learn from rows of train that have a language and a text with a letter; without any, every text is `und`, rejected.
 
-    Document frequencies cover all of train. Centroids and distances are fitted per language on about
-    sample_per_language rows (the bound of the sample) chosen by a hash. A text is too far from its nearest centroid
+    Document frequencies cover all of train. Centroids and distances are fitted per language on
+    sample_per_language rows (the bound of the sample) chosen by a hash, or on all if there are fewer. A text is too far from its nearest centroid
     if its cosine is under slack times the one-percent quantile of that language's own texts of like length.
     """
     rows = train.select(F.col(lang).alias("lang"), _prepared(train, text).alias("text"), F.col(doc_id).alias("id")).where("lang is not null").where(r"text rlike '\\p{L}'")
@@ -109,9 +109,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     for r in seen:
         df[r.feature] = r.n
     idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_language / n))])
-    chance = F.pmod(F.xxhash64(F.col("id"), F.col("text")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(chance < F.element_at(share, F.col("lang")))
+    # the rows with the least hashes of each language; Spark limits each task's before the shuffle, and equal rows are as good as others
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"), F.xxhash64("text", "id"))
+    sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_per_language).drop("place")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pa.array(pdf["text"], pa.string())
