@@ -8,6 +8,7 @@ threshold are added with the kind whose seeds induced the patterns.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -60,18 +61,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: two words before it, two behind it, and the words on either side."""
-    left = re.sub("[0-9]", "0", text[max(0, start - 100) : start].lower()).split()[-2:]
-    right = re.sub("[0-9]", "0", text[end : end + 100].lower()).split()[:2]
-    left, right = ["^"] * (2 - len(left)) + left, right + ["$"] * (2 - len(right))
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}", f"_ {right[0]} {right[1]}"]
+_WORD = re.compile(r"\S+")
+#: Characters of a word, those nearest to the span, that a pattern holds.
+NEAR = 100
+
+
+class _Words:
+    """The words of a text by their places, found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def context(self, start: int, end: int) -> list[str]:
+        """Lexical patterns around a span: two words before it, two behind it, and the words on either side, however far away."""
+        low = lambda a, b: re.sub("[0-9]", "0", self.text[a:b].lower())
+        left, right = ["^", "^"], ["$", "$"]
+        at, stop = bisect.bisect_left(self.starts, start), start
+        for k in range(at - 1, max(-1, at - 3), -1):
+            stop = min(stop, self.ends[k])
+            left[1 - (at - 1 - k)] = low(max(self.starts[k], stop - NEAR), stop)
+            stop = self.starts[k]
+        at, begin = bisect.bisect_right(self.ends, end), end
+        for k in range(at, min(len(self.ends), at + 2)):
+            begin = max(begin, self.starts[k])
+            right[k - at] = low(begin, min(self.ends[k], begin + NEAR))
+            begin = self.ends[k]
+        return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}", f"_ {right[0]} {right[1]}"]
 
 
 def mentions(text: str) -> list[dict]:
     """Seeds and candidate tokens of a text with their patterns; kind is null for candidates."""
     base = base_spans(text)
-    out = [{"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": _context(text, s, e)} for s, k, e in base]
+    words = _Words(text) if base or _TOKEN.search(text) else None
+    out = [{"start": s, "end": e, "kind": k, "instance": text[s:e].lower(), "patterns": words.context(s, e)} for s, k, e in base]
     i = 0
     ends = sorted((s, e) for s, _, e in base)
     for m in _TOKEN.finditer(text):
@@ -83,7 +107,7 @@ def mentions(text: str) -> list[dict]:
             i += 1
         if any(a < e and s < b for a, b in ends[max(0, i - 4) : i + 4]):
             continue
-        out.append({"start": s, "end": e, "kind": None, "instance": token.lower(), "patterns": _context(text, s, e)})
+        out.append({"start": s, "end": e, "kind": None, "instance": token.lower(), "patterns": words.context(s, e)})
     return out
 
 
@@ -115,9 +139,9 @@ def discovered(docs: DataFrame, text: str = "text", min_seeds: int = 3, confiden
     likely = docs.select(F.xxhash64(text).alias("_text"), F.col(text).alias("_t")).where("_t rlike '[0-9@]'")
     found = likely.select("_text", F.explode(find("_t")).alias("m")).select("_text", "m.*")
     found = staged(found.select("_text", "start", "end", "kind", "instance", F.explode("patterns").alias("pattern")))
-    graph = staged(found.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
-    seeds = graph.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern", "kind")
-    edges = staged(graph.join(seeds, "pattern").select("pattern", "kind", "instance", F.when(F.col("seed").isNull(), 0.0).when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("given"), "seed"))
+    graph = staged(found.groupBy("pattern", "instance").agg(F.collect_set("kind").alias("seeds")))  # a seed can be of several kinds
+    seeds = graph.select("pattern", F.explode("seeds").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern", "kind")
+    edges = staged(graph.join(seeds, "pattern").select("pattern", "kind", "instance", F.when(F.array_contains("seeds", F.col("kind")), 1.0).otherwise(0.0).alias("given"), (F.size("seeds") == 0).alias("open")))
     scores = edges.groupBy("instance", "kind").agg(F.max("given").alias("score"))
     for _ in range(rounds):
         patterns = edges.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.avg("score").alias("confidence"))
@@ -127,7 +151,7 @@ def discovered(docs: DataFrame, text: str = "text", min_seeds: int = 3, confiden
             F.max("given").alias("given"), (1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))).alias("vote")
         )
         scores = staged(voted.select("instance", "kind", F.greatest("given", "vote").alias("score")))
-    new = edges.where("seed is null").select("instance", "kind").distinct().join(scores.where(F.col("score") >= threshold), ["instance", "kind"])
+    new = edges.where("open").select("instance", "kind").distinct().join(scores.where(F.col("score") >= threshold), ["instance", "kind"])
     best = new.groupBy("instance").agg(F.max(F.struct("score", F.negative("kind").alias("k"), "kind")).alias("b")).select("instance", "b.kind", "b.score")
     places = found.where("kind is null").select("_text", "start", "end", "instance").distinct()
     return places.join(best, "instance").select("_text", "start", "end", "kind", "score")
