@@ -26,8 +26,11 @@ _SEEN = frozenset("class id role hidden aria-hidden".split())
 # Elements by what they mean in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe svg math canvas object audio video button select textarea input option dialog menu title".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr "
+    "math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msubsup msup mtext munder munderover semantics annotation".split()
+)
+DROPPED = frozenset("head nav header footer aside form script style noscript template iframe svg button select textarea input option dialog menu title".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tr body html article main div section td th blockquote".split())
@@ -67,7 +70,7 @@ def _goes(tag: str, attributes: str, inside: bool) -> bool:
             continue
         seen.add(name)
         value = value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "aria-hidden" and value == "true" and not inside:  # inside an article that is for readers by eye
             return True
         if name in ("class", "id", "role") and not (MARKED_INSIDE.isdisjoint(value.split()) if inside else MARKED.isdisjoint(re.split(r"[^a-z0-9]+", value))):
             return True
