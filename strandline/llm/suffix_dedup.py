@@ -24,6 +24,8 @@ from .staging import staged
 from .textbytes import BASE, BYTE_CODES, buffers, chunks, mix
 
 GRAM = 24
+#: The longest strings whose windows fit the packed places.
+LONGEST = 150
 SHALLOW = 40
 
 
@@ -334,6 +336,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     Anchors that more than `crowd` windows share are split (see above), so that no task sorts an unbounded group.
     """
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST}")
     rows = keyed(docs, doc_id, text).select("doc", "tie", F.col(text).alias("text")).where(F.octet_length("text") >= length)
     marks = staged(rows.mapInArrow(_window_marks(length), _MARKS))
     near = marks.where("hi > 0").select("doc", "tie", F.col("place").alias("lo"), "hi")

@@ -208,3 +208,77 @@ def test_trie_query(spark, talk_dir):
 def test_new_queries_on_empty_tables(spark, talk_dir, tmp_path):
     spark.read.parquet(f"{talk_dir[0]}/conversations.parquet").limit(0).write.parquet(f"{tmp_path}/conversations.parquet")
     assert queries.op11_repair(spark, str(tmp_path)).count() == queries.op13_prefix_trie(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_of_another_thread_stay(spark):
+    """A scratch deletes what its own thread staged, not what others stage meanwhile."""
+    import threading
+
+    from strandline.llm import staging
+
+    opened, done, found = threading.Event(), threading.Event(), {}
+
+    def other():
+        opened.wait(60)
+        found["table"] = staging.staged(spark.range(7).toDF("x"))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with staging.scratch(spark) as kept:
+        mine = staging.staged(spark.range(3).toDF("x"))
+        named = kept(staging.staged(spark.range(4).toDF("x")))
+        opened.set()
+        assert done.wait(60)
+    thread.join()
+    assert found["table"].count() == 7 and named.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        mine.collect()
+
+
+def test_language_model_of_repeated_rows(spark):
+    from strandline.llm import language
+
+    for text in ("hello there", "guten Tag an alle", "x"):
+        docs = spark.createDataFrame([(1, text, "en")] * 900, "doc_id long, text string, lang string")
+        rows = language.identify(docs, language.fit(docs), "l").collect()
+        assert {r.l.lang_pred for r in rows} == {"en"} and len(rows) == 900
+    two = spark.createDataFrame([(1, "hello there world", "en")] * 900 + [(2, "guten tag welt", "de")] * 3, "doc_id long, text string, lang string")
+    assert {(r.lang, r.l.lang_pred) for r in language.identify(two, language.fit(two), "l").collect()} == {("en", "en"), ("de", "de")}
+
+
+def test_contexts_by_words():
+    from strandline.llm import pii
+
+    at = lambda text: {m["instance"]: m["patterns"] for m in pii.mentions(text)}
+    wide = at("Please  write" + " " * 300 + "to me@x.org" + "\n" * 200 + "or call")
+    assert wide["me@x.org"] == ["write to _", "to _ or", "_ or call"]
+    assert at("<me@x.org>, now")["me@x.org"] == ["^ < _", "< _ >,", "_ >, now"]
+    assert at("me@x.org")["me@x.org"] == ["^ ^ _", "^ _ $", "_ $ $"]
+    long = at("y" * 5000 + " me@x.org")["me@x.org"]
+    assert long[0] == "^ " + "y" * pii.NEAR + " _"
+
+
+def test_seeds_of_two_kinds(spark):
+    """A number that is a card in one place and part of an address in another counts for both kinds."""
+    from strandline.llm import pii
+
+    rows = [(i, f"pay with {c} today") for i, c in enumerate(("4465758382889437", "4012888888881881", "4111111111111111"))]
+    rows += [(10 + i, f"host 10.0.0.{i} answered quickly") for i in range(4)] + [(20, "host fe80::1234 answered quickly"), (21, "pay with 77-1234-0 today")]
+    found = {r.doc_id: r.spans for r in pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x.kind for x in found[20]] == [1] and [x.kind for x in found[21]] == [2]
+
+
+def test_article_text_of_formulas_and_objects():
+    from strandline.llm import html_text
+
+    page = '<article><p>area <math><mi>x</mi><mo>+</mo><mn>1</mn></math> end</p><object data="x"><p>instead</p></object><p>A <span aria-hidden="true">seen</span> word</p><video>no film</video></article><div aria-hidden="true">outside</div>'
+    assert html_text.main_text(page) == "area x+1 end\n\ninstead\n\nA seen word\n\nno film"
+
+
+@pytest.mark.parametrize("length", [7, 151])
+def test_suffix_lengths_out_of_range_are_refused(spark, length):
+    from strandline.llm import suffix_dedup
+
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.spans(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=length)
