@@ -7,7 +7,8 @@ shingles. Within a size band P exceeds that bound by one and some slack, so link
 which they hold the very same shingles (pigeonhole): the part's 64 parities and the XOR of its shingles' hashes agree,
 and an equi-join on (band, part, parities, XOR) finds every link. Parts without a shingle say little; a set gives them
 as keys only if it has more of them than the slack, as otherwise a linked set agrees with it in a part that has some.
-Candidates whose folded sketches lie too far apart go; the others are verified on the real sets.
+Candidates whose folded sketches lie too far apart go (folds of large sets have a bit for each shingle); the others are
+verified on the real sets.
 """
 
 from __future__ import annotations
@@ -56,6 +57,13 @@ class Bands:
     def parts(self, band: int) -> int:
         return self.differing(band) + 1 + self.slack(band)
 
+    def wide(self, band: int) -> int:
+        """Words of the wide fold: about a bit for each shingle, as FOLD words say nothing of large sets; 0 where FOLD words do."""
+        words = FOLD
+        while words * 64 < self.lows[band]:
+            words *= 2
+        return words if words > FOLD else 0
+
 
 def sketch(members: np.ndarray, parts: int) -> np.ndarray:
     """Parities of a set's members over 64 x parts bits, as 64-bit parts."""
@@ -81,11 +89,11 @@ def part_keys(members: np.ndarray, bands: Bands, band: int) -> np.ndarray:
     return keys[~np.ma.getmaskarray(sums)]
 
 
-def folded(parts: np.ndarray) -> np.ndarray:
-    """A sketch XOR-folded to FOLD parts; its Hamming distances are at most those of the sketch."""
-    out = np.zeros(FOLD, np.uint64)
-    for k in range(min(FOLD, len(parts))):
-        out[k] = np.bitwise_xor.reduce(parts[k::FOLD])
+def folded(parts: np.ndarray, words: int = FOLD) -> np.ndarray:
+    """A sketch XOR-folded to some parts; its Hamming distances are at most those of the sketch."""
+    out = np.zeros(words, np.uint64)
+    for k in range(min(words, len(parts))):
+        out[k] = np.bitwise_xor.reduce(parts[k::words])
     return out
 
 
@@ -197,22 +205,30 @@ def _shared(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame
     return entries.join(names, ["batch", "place"]).select("key", "lane", "node").distinct()
 
 
+_ABOUT = ("n_shingles", "band", "folds", "wide", "own")
+
+
 def _about(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """node, n_shingles, band, folds (of the sketches in its band and the next) of each different text that has words."""
+    """node, n_shingles, band, folds and wide folds (of the sketches in its band and the next; own: words of the first) of each different text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
-            rows = []
+            rows, wide = [], []
             for node, members in _sets(batch, n):
-                own = bands.of(len(members))
-                rows.append((node, len(members), own, np.concatenate([folded(sketch(members, bands.parts(own + k))) for k in (0, 1)])))
-            flat = np.concatenate([np.zeros(0, np.uint64), *[r[3] for r in rows]]).view(np.int64)
+                band = bands.of(len(members))
+                sketches = [sketch(members, bands.parts(band + k)) for k in (0, 1)]
+                rows.append((node, len(members), band, bands.wide(band), np.concatenate([folded(x) for x in sketches])))
+                wide.append(np.concatenate([np.zeros(0, np.uint64), *(folded(x, w) for k, x in enumerate(sketches) if (w := bands.wide(band + k)))]))
+            flat = np.concatenate([np.zeros(0, np.uint64), *[r[4] for r in rows]]).view(np.int64)
             folds = pa.FixedSizeListArray.from_arrays(pa.array(flat), 2 * FOLD).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), folds], ["node", "n_shingles", "band", "folds"])
+            ends = np.cumsum([0, *map(len, wide)]).astype(np.int32)
+            wides = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *wide]).view(np.int64)))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), folds, wides, pa.array([r[3] for r in rows], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", *_ABOUT])
 
-    found = _rows(docs, text).mapInArrow(run, "node long, n_shingles long, band int, folds array<long>")
-    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", "band", "folds")])
+    found = _rows(docs, text).mapInArrow(run, "node long, n_shingles long, band int, folds array<long>, wide array<long>, own int")
+    return found.groupBy("node").agg(*[F.first(c).alias(c) for c in _ABOUT])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -261,20 +277,31 @@ def _grouped(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFram
     spokes = staged(spokes)
     first = spokes.groupBy("a").agg(F.max(F.struct("common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
+    def close_by(x: Column, y: Column, bits: Column) -> Column:
+        """Whether so many bits of difference allow sets of sizes x and y to link."""
+        return (den + num) * bits <= (den - num) * (x + y)
+
     def possible(x: Column, y: Column, folds: list[tuple[Column, Column]]) -> Column:
         """Whether sizes x and y and folded sketches allow a link."""
-        bits = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in folds), F.lit(0))
-        return (den * F.least(x, y) >= num * F.greatest(x, y)) & ((den + num) * bits <= (den - num) * (x + y))
+        return (den * F.least(x, y) >= num * F.greatest(x, y)) & close_by(x, y, sum((F.bit_count(p.bitwiseXOR(q)) for p, q in folds), F.lit(0)))
 
     def found(pairs: DataFrame) -> DataFrame | None:
         """The links among pairs, None if there are none."""
-        left, right = (about.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "band", "folds")]) for x in "ab")
+        left, right = (about.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in _ABOUT]) for x in "ab")
 
         def fold(k: int, x: str, y: str) -> Column:
             return F.get(f"folds_{x}", F.when(F.col(f"band_{x}") < F.col(f"band_{y}"), FOLD).otherwise(0) + k)
 
         near = possible(F.col("n_shingles_a"), F.col("n_shingles_b"), [(fold(k, "a", "b"), fold(k, "b", "a")) for k in range(FOLD)])
-        close = staged(pairs.join(left, "a").join(right, "b").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & near).select("a", "b"))
+
+        def lane(x: str, y: str) -> Column:
+            """The wide fold of x in the band that it shares with y."""
+            upper = F.slice(f"wide_{x}", F.col(f"own_{x}") + 1, F.greatest(F.size(f"wide_{x}") - F.col(f"own_{x}"), F.lit(0)))
+            return F.when(F.col(f"band_{x}") < F.col(f"band_{y}"), upper).otherwise(F.slice(f"wide_{x}", F.lit(1), F.col(f"own_{x}")))
+
+        bits = F.aggregate(F.zip_with(lane("a", "b"), lane("b", "a"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+        wide_near = close_by(F.col("n_shingles_a"), F.col("n_shingles_b"), bits)
+        close = staged(pairs.join(left, "a").join(right, "b").where((F.abs(F.col("band_a") - F.col("band_b")) <= 1) & near & wide_near).select("a", "b"))
         if close.isEmpty():
             return None
         links = staged(_verified(close, docs, text, n, num, den))
