@@ -161,7 +161,8 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", spans: s
     """docs with columns `base` (base spans) and `spans` (base and discovered ones, by start, then kind); such columns are replaced."""
     clean = docs.drop(base, spans)
     key, other, more = free(clean, "_text", "_key", "_more")
-    extra = discovered(clean, text, **options).groupBy(F.col("_text").alias(other)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(more))
+    # written out, so that Spark knows its size and need not shuffle the texts to few of them
+    extra = staged(discovered(clean, text, **options).groupBy(F.col("_text").alias(other)).agg(F.collect_list(F.struct("start", "kind", "end")).alias(more)))
     keyed = clean.withColumns({base: spans_of(F.col(text)), key: F.xxhash64(text)})
     both = F.array_sort(F.concat(base, F.coalesce(F.col(more), F.array().cast(_SPAN))))
     return keyed.join(extra, F.col(key) == F.col(other), "left").withColumn(spans, both).drop(key, other, more)
