@@ -125,7 +125,7 @@ def offline_metrics(spark, sf):
  w(node, r) AS (SELECT a, a FROM u UNION SELECT b, b FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.r WHERE u.b < w.node OR true) SELECT node, min(r) AS component FROM w GROUP BY node"""
 )
 def linked_components(spark, sf):
-    """Components of predicted pairs; equal titles are linked by their first item, so that copies are no pairs of all with all."""
+    """Components of predicted pairs; equal titles are linked by their first item, so that copies are no pairs of all with all."""
     c = contents(spark, sf)
     firsts = c.where("title <> ''").groupBy("title").agg(F.min("id").alias("a"))
     pairs = c.where("id % 3 = 0").select(F.col("id").alias("a"), (F.col("id") + 17).alias("b")).union(c.join(firsts, "title").select("a", F.col("id").alias("b")))

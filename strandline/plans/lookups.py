@@ -72,7 +72,7 @@ _EVENTS = f"""{_RULES}, ev AS (SELECT 'e' || rs.id % 30 AS event, max(score) AS
  SELECT event, importance, coalesce(priority, 0) AS priority FROM ca LEFT JOIN mt USING (event) WHERE NOT coalesce(muted, false) ORDER BY coalesce(priority, 0) DESC, importance DESC, seen DESC, event LIMIT 20"""
 )
 def highlights(spark, sf):
-    """Important events of two sources and more in 48 hours under the user's rules: muted ones go, others are sorted by rule, then importance."""
+    """Important events of two sources and more in 48 hours under the user's rules: muted ones go, others are sorted by rule, then importance."""
     r = rule_scored(spark, sf)
     ev = r.groupBy(F.concat(F.lit("e"), F.col("id") % 30).alias("event")).agg(F.max("score").alias("importance"), F.count_distinct("source_id").alias("sources"), F.max("fetched_at").alias("seen"), F.min("content_type").alias("lane"))
     now = ev.agg(F.max("seen")).scalar()
@@ -135,7 +135,7 @@ def snapshot_changes(spark, sf):
 
 @query(f"WITH {FETCH_LOG}, n AS (SELECT source_id, count(*) AS n, count(*) FILTER (WHERE outcome = 'success') / count(*)::DOUBLE AS rate FROM l GROUP BY 1) SELECT source_id, n, round(rate, 6) AS rate, row_number() OVER (ORDER BY n DESC, source_id) AS place FROM n")
 def sources_by_count(spark, sf):
-    """Sources in order of their number of fetches, with the rate of success."""
+    """Sources in order of their number of fetches, with the rate of success."""
     ok = F.count_if(F.col("outcome") == "success") / F.count("*")
     n = fetch_log(spark, sf).groupBy("source_id").agg(F.count("*").alias("n"), F.round(ok, 6).alias("rate"))
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source_id")))

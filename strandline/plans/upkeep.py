@@ -83,7 +83,7 @@ def feed_health(spark, sf):
  SELECT 'outcome' AS part, outcome AS name, count(*) AS n FROM r GROUP BY outcome UNION ALL SELECT 'failing', source_id::VARCHAR, n FROM f UNION ALL SELECT 'disabled', '', count(DISTINCT source_id) FROM l WHERE source_id % 7 = 0 UNION ALL SELECT 'saved', '', coalesce(sum(saved_count), 0)::BIGINT FROM r"""
 )
 def weekly_health(spark, sf):
-    """A week's outcomes, the five sources that fail most, disabled sources and what was saved."""
+    """A week's outcomes, the five sources that fail most, disabled sources and what was saved."""
     log = fetch_log(spark, sf)
     r = log.where(F.col("attempted_at") > log.agg(F.max("attempted_at")).scalar() - F.expr("interval 7 days"))
     failing = r.where("outcome = 'failure'").groupBy("source_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_id").limit(5)
