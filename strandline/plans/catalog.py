@@ -96,7 +96,7 @@ def keyword_matches(spark, sf):
 
 @query(f"WITH {CONTENTS} SELECT id, CASE WHEN title = '' THEN 'no_title' WHEN length(body) < 40 THEN 'too_short' WHEN length(body) - length(replace(body, '|', '')) > 0.02 * length(body) THEN 'table' END AS reason FROM c")
 def rejection_reasons(spark, sf):
-    """first reason of a ladder for which an item is rejected."""
+    """First reason of a short ladder for which a document is rejected; the full rules are admission_reasons."""
     bars = F.length("body") - F.length(F.replace("body", F.lit("|"), F.lit("")))
     reason = F.when(F.col("title") == "", "no_title").when(F.length("body") < 40, "too_short").when(bars > 0.02 * F.length("body"), "table")
     return contents(spark, sf).select("id", reason.alias("reason"))

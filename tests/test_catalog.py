@@ -50,7 +50,7 @@ def test_query_equals_sql(spark, duck, name, sf):
 
 def test_docstrings_name_no_operator_that_is_not_built():
     named = {code for f in registry.QUERIES.values() for code in re.findall(r"\b[A-Z][0-9]{2}\b", f.__doc__ or "")}
-    assert named and named.isdisjoint({"V21", "R10", "F10", "A03", "A36"})
+    assert named and named.isdisjoint({"V21", "F10", "A03", "A36"})
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
