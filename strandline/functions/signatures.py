@@ -77,6 +77,9 @@ def threshold(size: Column, dispersion: Column | float = 0.0, state: Column | No
     return F.round(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), out)), 3)
 
 
+FIELDS = ("tokens", "entities", "action", "polarity", "place", "modality", "identifiers", "versions", "dates", "publish_time")
+
+
 def classified(rows: DataFrame, events: DataFrame) -> DataFrame:
     """id, event_id, score, conflicts, threshold, relation of each row with each other event with which it shares an entity.
 
@@ -85,10 +88,17 @@ def classified(rows: DataFrame, events: DataFrame) -> DataFrame:
     """
     named = lambda df, out: df.select(F.col("id").alias(out), F.explode("entities").alias("entity"))
     pairs = named(rows, "id").join(named(events, "event_id"), "entity").where("id <> event_id").select("id", "event_id").distinct()
-    fields = ("tokens", "entities", "action", "polarity", "place", "modality", "identifiers", "versions", "dates", "publish_time")
-    left = rows.select("id", *[F.col(c).alias(f"a_{c}") for c in fields])
-    right = events.select(F.col("id").alias("event_id"), "size", *[F.col(c).alias(f"b_{c}") for c in fields])
-    p = pairs.join(left, "id").join(right, "event_id")
+    left = rows.select("id", *[F.col(c).alias(f"a_{c}") for c in FIELDS])
+    right = events.select(F.col("id").alias("event_id"), "size", *[F.col(c).alias(f"b_{c}") for c in FIELDS])
+    return scored(pairs.join(left, "id").join(right, "event_id"))
+
+
+def scored(p: DataFrame, known_pair: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, event_id, score, conflicts, threshold, relation of pairs with size and FIELDS of both sides, as a_ and b_.
+
+    known_pair: pairs also have duplicate, alias, commentary (booleans), dispersion and status of the event, which then
+    count for score, threshold and relation. keep: further columns of the pairs that are returned.
+    """
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     when = lambda x: F.coalesce(F.try_to_timestamp(F.get(x("dates"), 0), F.lit("yyyy-MM-dd")), x("publish_time"))
     apart = F.abs(F.unix_micros(when(a)) - F.unix_micros(when(b))) / 86400e6
@@ -110,10 +120,17 @@ def classified(rows: DataFrame, events: DataFrame) -> DataFrame:
     p = p.withColumns({"conflicts": conflicts, "overlap": overlap, "match": F.coalesce(F.arrays_overlap(known(a), known(b)), F.lit(False)).cast("double"), "lexical": jaccard(a("tokens"), b("tokens"))})
     structure = 0.65 * F.col("overlap") + 0.25 * same(a("action"), b("action")) + 0.10 * same(third(a), third(b))
     semantic = F.greatest("lexical", 0.65 * F.col("overlap") + 0.35 * F.col("match"))
-    score = 0.45 * semantic + 0.25 * structure + 0.15 * F.coalesce(F.exp(-apart / 7.0), F.lit(0.5)) - F.least(F.lit(0.8), F.size("conflicts") * 0.4)
-    p = p.withColumns({"raw": score, "threshold": threshold(F.col("size"))})
-    relation = F.when(F.size("conflicts") > 0, "unrelated").when(a("modality") != b("modality"), "event_update").when(F.col("raw") >= F.col("threshold"), "same_event").when(F.col("raw") >= REVIEW, "related_context").otherwise("unrelated")
-    return p.select("id", "event_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw"))), 4).alias("score"), F.array_join("conflicts", ",").alias("conflicts"), "threshold", relation.alias("relation"))
+    score = 0.45 * semantic + 0.25 * structure + 0.15 * F.coalesce(F.exp(-apart / 7.0), F.lit(0.5))
+    bar = threshold(F.col("size"))
+    if known_pair:
+        score = score + 0.10 * F.col("duplicate").cast("double") + 0.05 * F.col("alias").cast("double")
+        bar = threshold(F.col("size"), F.col("dispersion"), F.col("status"), F.col("duplicate"), F.col("alias"))
+    p = p.withColumns({"raw": score - F.least(F.lit(0.8), F.size("conflicts") * 0.4), "threshold": bar})
+    relation = F.when(F.size("conflicts") > 0, "unrelated")
+    if known_pair:
+        relation = relation.when(F.col("commentary"), "commentary").when(F.col("duplicate"), "duplicate")
+    relation = relation.when(a("modality") != b("modality"), "event_update").when(F.col("raw") >= F.col("threshold"), "same_event").when(F.col("raw") >= REVIEW, "related_context").otherwise("unrelated")
+    return p.select("id", "event_id", *keep, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw"))), 4).alias("score"), F.array_join("conflicts", ",").alias("conflicts"), "threshold", relation.alias("relation"))
 
 
 def _q(text: str) -> str:
@@ -140,13 +157,20 @@ SQL = rf"""sx AS (SELECT id, trim(coalesce(title, '')) AS t, trim(trim(coalesce(
   array_to_string(list_filter(es, lambda x, i: list_position(es, x) = i)[1:{ENTITIES}], ',') AS entities FROM sz)"""
 
 _LIST = "list_filter(string_split(lower({0}), ','), lambda x: x <> '')"
-#: From pairs pr (see the query that uses it) to cl with score, conflicts and threshold.
-PAIR_SQL = f"""c0 AS (SELECT *, {_LIST.format("ia")} AS il, {_LIST.format("ib")} AS ir, {_LIST.format("va")} AS vl, {_LIST.format("vb")} AS vr, abs(epoch_us(da) - epoch_us(db)) / 86400e6 AS apart FROM pr),
+_BAR = f"round(greatest({LOWEST}, least({HIGHEST}, {ATTACH} + least({SIZE_MOST}, greatest(0, size - 5) * {SIZE_STEP})))::DOUBLE, 3)"
+
+
+def pair_sql(more: str = "", bar: str = _BAR) -> str:
+    """SQL from pairs pr (see the queries that use it) to cl with score, conflicts and threshold; `more` is added to the score."""
+    return f"""c0 AS (SELECT *, {_LIST.format("ia")} AS il, {_LIST.format("ib")} AS ir, {_LIST.format("va")} AS vl, {_LIST.format("vb")} AS vr, abs(epoch_us(da) - epoch_us(db)) / 86400e6 AS apart FROM pr),
  c1 AS (SELECT *, array_to_string(list_filter([CASE WHEN len(il) > 0 AND len(ir) > 0 AND len(list_intersect(il, ir)) = 0 THEN 'different_canonical_identifier' END, CASE WHEN la <> '' AND lb <> '' AND la <> lb THEN 'different_location' END,
   CASE WHEN len(vl) > 0 AND len(vr) > 0 AND len(list_intersect(vl, vr)) = 0 THEN 'different_version' END, CASE WHEN apart > 45 THEN 'incompatible_time' END,
   CASE WHEN aa <> '' AND ab <> '' AND aa <> ab AND (pa = 'positive' AND pb = 'negative' OR pa = 'negative' AND pb = 'positive') THEN 'opposite_action' END], lambda x: x IS NOT NULL), ',') AS conflicts,
   len(list_intersect(ea, eb)) / greatest(1, len(list_distinct(ea || eb)))::DOUBLE AS overlap, CASE WHEN len(list_intersect(il || vl, ir || vr)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit,
   CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / len(list_distinct(ta || tb))::DOUBLE ELSE 0.0 END AS lexical FROM c0),
  cl AS (SELECT *, 0.45::DOUBLE * greatest(lexical, 0.65::DOUBLE * overlap + 0.35::DOUBLE * hit) + 0.25::DOUBLE * (0.65::DOUBLE * overlap + CASE WHEN aa <> '' AND aa = ab THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN coalesce(ea[3], '') <> '' AND ea[3] = eb[3] THEN 0.10 ELSE 0 END::DOUBLE)
-  + 0.15::DOUBLE * coalesce(exp(-apart / 7.0), 0.5) - least(0.8, 0.4 * CASE WHEN conflicts = '' THEN 0 ELSE len(string_split(conflicts, ',')) END)::DOUBLE AS score,
-  round(greatest({LOWEST}, least({HIGHEST}, {ATTACH} + least({SIZE_MOST}, greatest(0, size - 5) * {SIZE_STEP})))::DOUBLE, 3) AS threshold FROM c1)"""
+  + 0.15::DOUBLE * coalesce(exp(-apart / 7.0), 0.5){more} - least(0.8, 0.4 * CASE WHEN conflicts = '' THEN 0 ELSE len(string_split(conflicts, ',')) END)::DOUBLE AS score,
+  {bar} AS threshold FROM c1)"""
+
+
+PAIR_SQL = pair_sql()

@@ -224,7 +224,8 @@ def discovered(links: DataFrame, now: Column, *, most: int = 50, denied: Sequenc
     out = out.when(F.length("title") < title_least, "dropped_short_title")
     stale = F.coalesce(F.col("publish_time") < now - F.make_dt_interval(F.lit(days)), F.lit(False)) if days else F.lit(False)
     x = x.select("page", "position", "url", out.alias("early"), stale.alias("stale"))
-    first = x.where("early is null and not stale").groupBy("page", "url").agg(F.min("position").alias("first"))
+    # a condition inside the minimum, as a filter would be pushed below the projections with every rule written out in it
+    first = x.groupBy("page", "url").agg(F.min(F.when(F.col("early").isNull() & ~F.col("stale"), F.col("position"))).alias("first")).where("first is not null")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("first"))
     kept = first.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("page").alias("kept_page"), F.col("url").alias("kept_url"), "first")
     met = x.join(kept, x["page"].eqNullSafe(kept["kept_page"]) & (x["url"] == kept["kept_url"]), "left")

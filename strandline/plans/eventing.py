@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import rules, signatures
-from strandline.operators import clustering, graph, oplog, rebalance
+from strandline.operators import clustering, graph, oplog, rebalance, recall
 from strandline.plans.catalog import query
 from strandline.plans.rules import _RULES, _TOKENS, rule_scored
 from strandline.sources import sinks
@@ -167,3 +167,45 @@ def upsert_replay(spark, sf):
         counted = found.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit(number).alias("batch"), "outcome", "n")
         out = counted if out is None else out.unionByName(counted)
     return out
+
+
+def arrivals(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rows to place and the events they meet: a source's headlines of a type are an event, named by its newest; copies and every 23rd row's alias."""
+    h = headlines(spark, sf)
+    both = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")))
+    x = h.select("id", "source_id", "content_type", "publish_time", "fetched_at", F.md5("body").alias("print"), rules.tokens(F.col("title")).alias("title_tokens"), rules.tokens(both).alias("tokens"), *signatures.columns(F.col("title"), F.col("summary")))
+    groups = h.where("source_id is not null").groupBy("source_id", "content_type").agg(F.max("id").alias("event_id"), F.count("*").alias("size"))
+    i = F.col("event_id")
+    status = F.when(i % 4 == 0, "active").when(i % 4 == 1, "cooling").when(i % 4 == 2, "reopened").otherwise("closed")
+    events = x.drop("tokens", "source_id", "content_type").withColumnsRenamed({"title_tokens": "tokens", "fetched_at": "updated"}).join(groups.select("event_id", "size"), F.col("id") == F.col("event_id"))
+    events = events.withColumns({"status": status, "dispersion": F.col("size") % 10 / 10.0})
+    copies = events.groupBy("print").agg(F.collect_set("event_id").alias("duplicate_of"))
+    rows = x.join(copies, "print", "left").join(groups.select("source_id", "content_type", "event_id"), ["source_id", "content_type"], "left")
+    return rows.withColumns({"alias_of": F.when((F.col("id") % 23 == 0) & i.isNotNull(), F.array("event_id")), "commentary": F.col("id") % 13 == 5}).drop("event_id"), events
+
+
+_BOTH = _TOKENS.replace("tk AS", "tk4 AS").replace("tn AS", "tn4 AS").replace("FROM tk)", "FROM tk4)").replace("lower(title)", "lower(coalesce(title, '') || ' ' || coalesce(summary, ''))")
+_STATES = " ".join(f"WHEN '{k}' THEN {x}::DOUBLE" for k, x in signatures.STATE.items())
+_BAR = f"""round(greatest({signatures.LOWEST}::DOUBLE, least({signatures.HIGHEST}::DOUBLE, {signatures.ATTACH}::DOUBLE + least({signatures.SIZE_MOST}::DOUBLE, greatest(0, size - 5) * {signatures.SIZE_STEP}::DOUBLE) + least({signatures.DISPERSION_MOST}::DOUBLE, dispersion * 0.2::DOUBLE)
+  + CASE status {_STATES} ELSE 0.0::DOUBLE END - CASE WHEN duplicate THEN {signatures.DUPLICATE_BONUS}::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN alias THEN {signatures.ALIAS_BONUS}::DOUBLE ELSE 0.0::DOUBLE END)), 3)"""
+_KNOWN = "list_filter(string_split(lower(identifiers), ',') || string_split(lower(versions), ','), lambda e: e <> '')"
+
+
+@query(
+    f"""WITH {HEADLINES}, {signatures.SQL}, {_TOKENS}, {_BOTH}, x AS MATERIALIZED (SELECT sg.*, tn.tokens AS tt, tn4.tokens AS tb, tn.source_id, tn.content_type, tn.publish_time, tn.fetched_at, md5(tn.body) AS print, list_filter(string_split(entities, ','), lambda e: e <> '') AS ents, string_split(dates, ',')[1] AS day, {_KNOWN} AS ids
+   FROM sg JOIN tn USING (id) JOIN tn4 USING (id)),
+ ev AS (SELECT *, id AS event_id, count(*) OVER (PARTITION BY source_id, content_type) AS size, ['active', 'cooling', 'reopened', 'closed'][id % 4 + 1] AS status FROM x WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, content_type ORDER BY id DESC) = 1),
+ et AS MATERIALIZED (SELECT *, size % 10 / 10.0::DOUBLE AS dispersion FROM ev ORDER BY fetched_at DESC, event_id LIMIT {recall.MOST}),
+ fl AS (SELECT a.id, b.event_id, b.fetched_at AS updated, coalesce(a.print = b.print, false) AS duplicate, coalesce(a.id % 23 = 0 AND a.source_id = b.source_id AND a.content_type = b.content_type, false) AS alias, len(list_intersect(a.ents, b.ents)) > 0 AS by_entity, len(list_intersect(a.ids, b.ids)) > 0 AS by_id,
+   a.action <> '' AND a.action = b.action AS by_action, b.status, CASE WHEN len(a.tb) > 0 AND len(b.tt) > 0 THEN len(list_intersect(a.tb, b.tt)) / len(list_distinct(a.tb || b.tt))::DOUBLE ELSE 0.0 END AS lex FROM x a CROSS JOIN et b),
+ rc AS (SELECT *, (CASE WHEN duplicate THEN 1.0 ELSE 0.0 END + CASE WHEN alias THEN 1.0 ELSE 0.0 END + CASE WHEN by_id THEN 1.0 ELSE 0.0 END + CASE WHEN by_entity THEN 0.5 ELSE 0.0 END)::DOUBLE + lex AS pre FROM fl WHERE (duplicate OR alias OR by_entity OR by_id OR by_action OR lex >= {recall.LEAST}::DOUBLE) AND (status <> 'closed' OR duplicate OR alias OR by_id)),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pre DESC, updated DESC, event_id DESC) AS rank FROM rc QUALIFY rank <= {recall.CANDIDATES}),
+ pr AS (SELECT rk.id, rk.event_id, rk.rank, rk.duplicate, rk.alias, rk.status, b.size, b.dispersion, array_to_string(list_filter([CASE WHEN by_id THEN 'canonical_identifier' END, CASE WHEN duplicate THEN 'duplicate_propagation' END, CASE WHEN by_entity THEN 'entity_time' END, CASE WHEN alias THEN 'explicit_alias' END, CASE WHEN lex >= {recall.LEAST}::DOUBLE THEN 'lexical' END,
+   CASE WHEN by_action THEN 'trigger_action' END], lambda e: e IS NOT NULL), ',') AS reasons, a.tb AS ta, b.tt AS tb, a.ents AS ea, b.ents AS eb, a.action AS aa, b.action AS ab, a.polarity AS pa, b.polarity AS pb, a.place AS la, b.place AS lb, a.modality AS ma, b.modality AS mb, a.identifiers AS ia, b.identifiers AS ib, a.versions AS va, b.versions AS vb,
+   coalesce(try_strptime(nullif(a.day, ''), '%Y-%m-%d'), a.publish_time) AS da, coalesce(try_strptime(nullif(b.day, ''), '%Y-%m-%d'), b.publish_time) AS db FROM rk JOIN x a USING (id) JOIN et b USING (event_id)),
+ {signatures.pair_sql(" + 0.10::DOUBLE * duplicate::INT::DOUBLE + 0.05::DOUBLE * alias::INT::DOUBLE", _BAR)}
+ SELECT id, event_id, rank, reasons, round(greatest(0.0, least(1.0, score)), 4) AS score, conflicts, threshold, CASE WHEN conflicts <> '' THEN 'unrelated' WHEN id % 13 = 5 THEN 'commentary' WHEN duplicate THEN 'duplicate' WHEN ma <> mb THEN 'event_update' WHEN score >= threshold THEN 'same_event' WHEN score >= {signatures.REVIEW} THEN 'related_context' ELSE 'unrelated' END AS relation FROM cl"""
+)
+def recalled_candidates(spark, sf):
+    """The events that a row may belong to, by entity, identifier, action, words, copies or alias, the fifty best of each row, with score, conflicts, threshold and relation."""
+    return recall.candidates(*arrivals(spark, sf))

@@ -200,7 +200,7 @@ def event_signatures(spark, sf):
  {signatures.PAIR_SQL} SELECT id, event_id, round(greatest(0.0, least(1.0, score)), 4) AS score, conflicts, threshold, CASE WHEN conflicts <> '' THEN 'unrelated' WHEN ma <> mb THEN 'event_update' WHEN score >= threshold THEN 'same_event' WHEN score >= 0.56 THEN 'related_context' ELSE 'unrelated' END AS relation FROM cl"""
 )
 def signature_pairs(spark, sf):
-    """Every headline against the newest one of each source with which it shares an entity: score, hard conflicts, threshold, relation."""
+    """Every headline against the newest one of each source with which it shares an entity: score, hard conflicts, threshold, relation."""
     h = headlines(spark, sf)
     x = h.select("id", "source_id", "publish_time", rules.tokens(F.col("title")).alias("tokens"), *signatures.columns(F.col("title"), F.col("summary")))
     newest = h.where("source_id is not null").groupBy("source_id").agg(F.max("id").alias("id"), F.count("*").alias("size"))
