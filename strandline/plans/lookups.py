@@ -99,11 +99,11 @@ def modality_checks(spark, sf):
     return m.select("id", "up", "brief", (F.element_at(scores, F.col("brief")) > F.element_at(scores, F.col("up"))).alias("blocked"))
 
 
-@query(f"WITH {_ATOMS}, e AS (SELECT atom_id AS x, atom_id * 7 % 1000 AS y FROM a) SELECT 'out' AS side, x, y FROM e WHERE x % 500 = 3 UNION ALL SELECT 'in', x, y FROM e WHERE y = 3 AND x % 500 <> 3")
+@query(f"WITH {_ATOMS}, e AS (SELECT atom_id AS x, atom_id * 7 % 1000 AS y FROM a) SELECT 'out' AS side, x AS atom, y AS other FROM e UNION ALL SELECT 'in', y, x FROM e WHERE x <> y")
 def relations_of_atom(spark, sf):
-    """Edges that have an atom at either end, from two lookups instead of an OR."""
+    """The edges of every atom, whichever end it stands at: two projections instead of an OR; an edge to itself once."""
     e = atoms(spark, sf).select(F.col("atom_id").alias("x"), (F.col("atom_id") * 7 % 1000).alias("y"))
-    return e.where("x % 500 = 3").select(F.lit("out").alias("side"), "x", "y").unionAll(e.where("y = 3 and x % 500 <> 3").select(F.lit("in"), "x", "y"))
+    return e.select(F.lit("out").alias("side"), F.col("x").alias("atom"), F.col("y").alias("other")).unionAll(e.where("x <> y").select(F.lit("in"), "y", "x"))
 
 
 @query(f"WITH {_ATOMS} SELECT domain AS entity, count(DISTINCT content_id) AS contents, count(*) AS mentions FROM a GROUP BY 1")

@@ -92,7 +92,7 @@ def rule_scored(spark, sf):
     h = h.withColumns({**rules.hits(F.col("low"), F.col("head")), "facts": rules.facts(F.col("text")), "paragraphs": rules.paragraph_count(F.col("text"))})
     h = h.withColumn("scope", rules.cap_scope())
     dims = {"salience": rules.salience(F.col("head")), "reach": rules.reach(), "depth": rules.depth(F.col("paragraphs"), F.col("facts"), F.col("status"), F.col("content_type"))}
-    h = h.withColumns(dims)
+    h = h.withColumns(dims).withColumns({f"{k}_before": F.col(k) for k in dims})
     h = h.withColumns({k: rules.capped(F.col(k), k, F.col("scope")) for k in dims}).withColumn("authority", rules.authority(F.col("stars"), F.col("kind")))
     h = h.drop(*rules.HITS, "head", "low", "text", "facts", "paragraphs")
     total = 0.30 * F.col("salience") + 0.25 * F.col("reach") + 0.25 * F.col("authority") + 0.20 * F.col("depth")

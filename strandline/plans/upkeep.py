@@ -192,6 +192,12 @@ def canonical_reports(spark, sf):
 )
 def event_sections(spark, sf):
     """Confidence of an event, how much it adds to sources seen before, and its section."""
+    e = events_with_sections(spark, sf)
+    return e.select("event", "confidence", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "incremental")), 1).alias("incremental"), "section")
+
+
+def events_with_sections(spark, sf) -> DataFrame:
+    """Events of headlines with best score, sources, tier, incremental, confidence and section."""
     c = rule_scored(spark, sf).select("id", F.concat(F.lit("e"), F.col("id") % 30).alias("event"), "source_id", "confidence", "status", "score")
     past = c.where("id % 3 = 0 and source_id is not null and event <> 'e0'").select("event", "source_id").distinct().withColumn("old", F.lit(True))
     now = c.where("source_id is not null").select("event", "source_id").distinct().join(past, ["event", "source_id"], "left")
@@ -201,9 +207,8 @@ def event_sections(spark, sf):
     added = upkeep.incremental(F.col("seen").isNotNull(), F.col("sources"), F.col("fresh"), F.col("sources") >= 2, F.col("whole"))
     sure = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("mean") * 100)) + 1e-9, 1)
     tier = F.when(F.col("sources") >= 2, "moderate").otherwise("single_low")
-    e = e.withColumns({"incremental": added, "confidence": sure})
-    section = upkeep.section(F.col("best"), F.col("incremental"), F.col("confidence"), tier)
-    return e.select("event", "confidence", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "incremental")), 1).alias("incremental"), section.alias("section"))
+    e = e.withColumns({"incremental": added, "confidence": sure, "tier": tier})
+    return e.withColumn("section", upkeep.section(F.col("best"), F.col("incremental"), F.col("confidence"), F.col("tier")))
 
 
 @query(
