@@ -33,7 +33,7 @@ def article_path(path):
     + "|".join(SECTIONS) + ")') AND (regexp_matches(p, '/(" + "|".join(HUBS) + ")/+[^/]') OR regexp_matches(regexp_extract(p, '([^/]*)/*$', 1), '[-.0-9]')) AS article FROM pages JOIN p USING (page_id)"
 )
 def article_urls(spark, sf):
-    """URLs that are shaped like an article's."""
+    """Paths that are shaped like an article's; with the site and wrappers it is link_outcomes."""
     return table(spark, sf, "pages").select("page_id", article_path(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)).alias("article"))
 
 
