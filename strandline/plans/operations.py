@@ -189,8 +189,8 @@ def daily_fold(spark, sf):
 
 @query(f"WITH {FETCH_LOG}, n AS (SELECT *, min(CASE WHEN outcome = 'success' THEN attempted_at END) OVER (PARTITION BY source_id ORDER BY attempted_at, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS up FROM l) SELECT source_id, count(up) AS recovered, count(*) AS failures, avg(date_diff('second', date_trunc('second', attempted_at), date_trunc('second', up))) AS seconds FROM n WHERE outcome = 'failure' GROUP BY 1")
 def recovery_times(spark, sf):
-    """Mean time from a failure to the next success."""
-    w = Window.partitionBy("source_id").orderBy("attempted_at", "id").rowsBetween(1, Window.unboundedFollowing)
+    """Mean time from a failure to the next success; the log is read backwards, so that the earliest success so far is a running minimum."""
+    w = Window.partitionBy("source_id").orderBy(F.desc_nulls_first("attempted_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     log = fetch_log(spark, sf).withColumn("up", F.min(F.when(F.col("outcome") == "success", F.col("attempted_at"))).over(w)).where("outcome = 'failure'")
     return log.groupBy("source_id").agg(F.count("up").alias("recovered"), F.count("*").alias("failures"), F.avg(F.unix_timestamp("up") - F.unix_timestamp("attempted_at")).alias("seconds"))
 
