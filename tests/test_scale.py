@@ -23,3 +23,15 @@ def test_recovery_times_reads_the_log_once(spark, tmp_path):
     con.execute(f"create view events as select * replace (ts::timestamp as ts) from '{at}/*.parquet'")
     want = sorted((r[0], r[1], r[2], pytest.approx(r[3])) for r in con.execute(registry.ORACLE["recovery_times"]).fetchall())
     assert sorted((r.source_id, r.recovered, r.failures, r.seconds) for r in df.collect()) == want
+
+
+def test_bootstrap_in_blocks_draws_as_one_generator(spark):
+    n, rounds = 300, 40
+    values = [((i * 7919) % 101) / 7 for i in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(3)
+    generator = random.Random(bootstrap.SEED)
+    drawn = [[generator.randrange(n) for _ in range(n)] for _ in range(rounds)]
+    placed = bootstrap.numbered(df.select("v", F.col("i").alias("o")))
+    sums = {r["round"]: r.s for r in bootstrap.round_sums(placed, n, rounds, bootstrap.SEED, block=64).collect()}
+    assert sums == {r: pytest.approx(sum(values[i] for i in at)) for r, at in enumerate(drawn)}
+    assert "Window" not in bootstrap.interval(df, "v", "i", rounds=rounds, block=64)._jdf.queryExecution().toString()
