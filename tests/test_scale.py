@@ -35,3 +35,11 @@ def test_bootstrap_in_blocks_draws_as_one_generator(spark):
     sums = {r["round"]: r.s for r in bootstrap.round_sums(placed, n, rounds, bootstrap.SEED, block=64).collect()}
     assert sums == {r: pytest.approx(sum(values[i] for i in at)) for r, at in enumerate(drawn)}
     assert "Window" not in bootstrap.interval(df, "v", "i", rounds=rounds, block=64)._jdf.queryExecution().toString()
+
+
+def test_depth_rounds_halves_up_whatever_the_sum_of_doubles(spark):
+    cases = [(p, d, k) for p in range(6) for d in range(28) for k in range(6)]
+    df = spark.createDataFrame(cases, "p int, d int, k int").withColumn("t", F.concat(F.repeat(F.lit("7"), F.col("d")), F.repeat(F.lit("'"), F.col("k"))))
+    got = {(r.p, r.d, r.k): r.x for r in df.select("p", "d", "k", rules.depth(F.col("p"), rules.facts(F.col("t")), F.lit("full"), F.lit("rss")).alias("x")).collect()}
+    cents = {c: min(1000, min(400, 80 * c[0]) + min(400, 15 * c[1] + 40 * c[2]) + 100) for c in cases}
+    assert got == {c: (n + 5) // 10 / 10 for c, n in cents.items()}
