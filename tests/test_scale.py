@@ -43,3 +43,27 @@ def test_depth_rounds_halves_up_whatever_the_sum_of_doubles(spark):
     got = {(r.p, r.d, r.k): r.x for r in df.select("p", "d", "k", rules.depth(F.col("p"), rules.facts(F.col("t")), F.lit("full"), F.lit("rss")).alias("x")).collect()}
     cents = {c: min(1000, min(400, 80 * c[0]) + min(400, 15 * c[1] + 40 * c[2]) + 100) for c in cases}
     assert got == {c: (n + 5) // 10 / 10 for c, n in cents.items()}
+
+
+def test_plain_search_and_guards_equal_the_patterns(spark):
+    rng, bits = random.Random(5), ["ipo", " ", "  ", "\n", "\n\n", "\t", "Fed.", "nato", "natos", "xnato", "series a", "<b>", "<", "&amp;", "&lt;b&gt;", "a" * 38, "b" * 41, "。", "地震", "!", "ipo?", " ", "'", "7"]
+    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(600))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low, t = F.lower("t"), F.col("t")
+    terms = ("IPO", "series a", "地震")
+    pairs = [(rules.has(low, terms), low.rlike(rules.any_of(terms))), (rules.names(low, ("nato", "fed.")), low.rlike(rules.any_entity(("nato", "fed."))))]
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(t, F.lit("")), "<[^>]+>", ""), r"\s+", " ")
+    for name, value in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&hellip;", "...")):
+        plain = F.replace(plain, F.lit(name), F.lit(value))
+    pairs.append((rules.clean(t), F.trim(plain)))
+    parts = F.size(F.filter(F.split(t, r"(?<=[.!?。！？])\s+|\n{2,}"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) >= 40))
+    pairs.append((rules.paragraph_count(t), F.when(parts > 0, parts).when(F.length(t) >= 80, 1).otherwise(0)))
+    got = df.select("t", *[F.struct(a.alias("a"), b.alias("b")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    for r in got:
+        for i in range(len(pairs)):
+            assert r[f"p{i}"].a == r[f"p{i}"].b, (i, r.t)
+
+
+def test_hits_hold_no_list_as_one_alternation(spark):
+    plan = spark.range(1).select(*rules.hits(F.lit("x") + F.col("id"), F.col("id").cast("string")).values())._jdf.queryExecution().analyzed().toString()
+    assert rules.any_of(("deal", "x")) == "deal|x" and "earbuds|" not in plan and "|earbuds" not in plan
