@@ -1,7 +1,9 @@
 """Steps that grew faster than their input or fell on the other side of a tie on larger tables."""
 
 import datetime
+import hashlib
 import random
+import re
 
 import duckdb
 import pytest
@@ -67,3 +69,20 @@ def test_plain_search_and_guards_equal_the_patterns(spark):
 def test_hits_hold_no_list_as_one_alternation(spark):
     plan = spark.range(1).select(*rules.hits(F.lit("x") + F.col("id"), F.col("id").cast("string")).values())._jdf.queryExecution().analyzed().toString()
     assert rules.any_of(("deal", "x")) == "deal|x" and "earbuds|" not in plan and "|earbuds" not in plan
+
+
+def test_fingerprints_work_out_words_and_digests_once(spark):
+    df = spark.createDataFrame([("The very same title here 你好",), ("a b",), ("x" * 99 + " yz",), (None,)], "t string").repartition(1)
+    out = df.select("t", rules.simhash(rules.title_features(F.col("t"))).alias("fp"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("sha1(") == 1
+
+    def plain(t):
+        words = re.findall(r"\w+", (t or "").lower())
+        if len(" ".join(words)) < 12 or len(words) < 2:
+            return ""
+        compact = "".join(words)
+        marks = [(int(hashlib.sha1(f.encode()).hexdigest()[:16], 16), min(len(f), 8)) for f in [*words, *(compact[i : i + 3] for i in range(len(compact) - 2))]]
+        return f"{sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for h, w in marks) >= 0):016x}"
+
+    assert all(r.fp == plain(r.t) for r in out.collect())
