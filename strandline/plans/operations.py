@@ -293,7 +293,8 @@ def title_grounding(spark, sf):
     """Share of a title's 4-grams that its summary holds."""
 
     def grams(c: str):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(F.lower(c), i, F.lit(4))))
+        # the length stays that of the text itself: lower-casing may add a character, which the grams end before
+        return text.once(F.struct(F.lower(c).alias("low"), F.length(c).alias("n")), lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), x.n - 3), lambda i: F.substring(x.low, i, F.lit(4)))))
 
     c = contents(spark, sf).where(F.length("title") >= 4).select("id", grams("title").alias("a"), grams("summary").alias("b"))
     return c.select("id", (F.size(F.array_intersect("a", "b")) / F.size("a")).alias("grounded"))

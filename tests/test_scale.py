@@ -86,3 +86,8 @@ def test_fingerprints_work_out_words_and_digests_once(spark):
         return f"{sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for h, w in marks) >= 0):016x}"
 
     assert all(r.fp == plain(r.t) for r in out.collect())
+
+
+def test_grounding_lowers_a_text_once(spark):
+    plan = registry.QUERIES["title_grounding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2 and "substring(lower(" not in plan
