@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: rows of one key that meet their partners in one task.
+BLOCK = 4096
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, with their rank; Spark limits each task's groups before the shuffle."""
@@ -50,14 +53,33 @@ def without_earlier(df: DataFrame, group: str, order: Sequence[str]) -> DataFram
     return df.join(first, F.col(group) == F.col("_g"), "left").where(F.col("_g").isNull() | (F.struct(*order) == F.col("_first"))).drop("_g", "_first")
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """left and right joined on keys; a key with more than `block` rows on the left is dealt into blocks by its other columns, each of which meets the right's rows of that key in a task of its own."""
+    large = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    large = F.broadcast(large)  # no more rows than the left has blocks
+    blocks = F.coalesce("_blocks", F.lit(1))
+    place = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), blocks).cast("int")
+    dealt_left = left.join(large, keys, "left").withColumn("_part", place).drop("_blocks")
+    spread = right.join(large, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    return dealt_left.join(spread, [*keys, "_part"]).drop("_part")
+
+
 def identity_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], id_: str = "id") -> DataFrame:
-    """Pairs of ids that share any of several keys, by one equi-join over exploded keys instead of an OR-join."""
+    """Pairs of ids that share any of several keys, by one equi-join over exploded keys instead of an OR-join.
+
+    A pair is told under the first key that its rows share, so none comes twice and none is shuffled to find out. Rows carry
+    digests of the keys before theirs for that; ids of a side are taken as distinct.
+    """
 
-    def exploded(df: DataFrame, name: str) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
-        return df.select(F.col(id_).alias(name), F.explode(pairs).alias("k")).select(name, "k.kind", "k.value").where("value is not null")
+    def exploded(df: DataFrame, name: str, seen: str) -> DataFrame:
+        text = [F.col(k).cast("string") for k in keys]
+        earlier = lambda at: F.array(*[F.when(t.isNotNull(), F.md5(t.cast("binary"))) for t in text[:at]]).cast("array<string>")
+        pairs = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("value"), earlier(at).alias("earlier")) for at, (k, t) in enumerate(zip(keys, text, strict=True))])
+        return df.select(F.col(id_).alias(name), F.explode(pairs).alias("k")).select(name, "k.kind", "k.value", F.col("k.earlier").alias(seen)).where("value is not null")
 
-    return exploded(left, "left_id").join(exploded(right, "right_id"), ["kind", "value"]).select("left_id", "right_id").distinct()
+    met = dealt(exploded(left, "left_id", "seen_l"), exploded(right, "right_id", "seen_r"), ["kind", "value"])
+    told = F.exists(F.zip_with("seen_l", "seen_r", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same)
+    return met.where(~told).select("left_id", "right_id")
 
 
 def runs(df: DataFrame, group: str, order: Sequence[str], starts: Column, name: str = "run") -> DataFrame:

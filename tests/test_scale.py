@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import rules
-from strandline.operators import bootstrap
+from strandline.operators import bootstrap, rows
 from strandline.plans import registry
 
 
@@ -91,3 +91,22 @@ def test_fingerprints_work_out_words_and_digests_once(spark):
 def test_grounding_lowers_a_text_once(spark):
     plan = registry.QUERIES["title_grounding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 2 and "substring(lower(" not in plan
+
+
+def test_identity_matches_tells_each_pair_once_without_a_shuffle_of_pairs(spark):
+    rng = random.Random(4)
+    data = [(i, rng.choice([None, "", "a", "b", "c"]), rng.choice([None, "a", "x", "y"])) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, t string, s string").repartition(3)
+    out = rows.identity_matches(df, df, ["t", "s"]).where("left_id < right_id")
+    same = lambda a, b: a is not None and a == b
+    want = sorted((a[0], b[0]) for a in data for b in data if a[0] < b[0] and (same(a[1], b[1]) or same(a[2], b[2])))
+    assert sorted(map(tuple, out.collect())) == want
+    top = out._jdf.queryExecution().sparkPlan().toString()
+    assert "hashpartitioning(left_id" not in top and "HashAggregate(keys=[left_id" not in top
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_dealt_joins_large_keys_in_blocks(spark, block):
+    a = spark.createDataFrame([(i, i % 4) for i in range(40)], "i long, k long").repartition(3)
+    b = a.select(F.col("i").alias("j"), F.col("k"))
+    assert sorted(map(tuple, rows.dealt(a, b, ["k"], block).select("i", "j").collect())) == sorted((i, j) for i in range(40) for j in range(40) if i % 4 == j % 4)
