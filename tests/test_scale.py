@@ -110,3 +110,8 @@ def test_dealt_joins_large_keys_in_blocks(spark, block):
     a = spark.createDataFrame([(i, i % 4) for i in range(40)], "i long, k long").repartition(3)
     b = a.select(F.col("i").alias("j"), F.col("k"))
     assert sorted(map(tuple, rows.dealt(a, b, ["k"], block).select("i", "j").collect())) == sorted((i, j) for i in range(40) for j in range(40) if i % 4 == j % 4)
+
+
+def test_title_pairs_are_neither_gathered_nor_made_distinct(spark):
+    plan = registry.QUERIES["title_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[id#\d+L?, id_b#", plan) and not re.search(r"hashpartitioning\((id|id_b)#\d+L?, \d+\)", plan)
