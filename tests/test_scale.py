@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import rules
 from strandline.operators import bootstrap, rows
 from strandline.plans import registry
+from strandline.sources import sinks
 
 
 def test_recovery_times_reads_the_log_once(spark, tmp_path):
@@ -115,3 +116,17 @@ def test_dealt_joins_large_keys_in_blocks(spark, block):
 def test_title_pairs_are_neither_gathered_nor_made_distinct(spark):
     plan = registry.QUERIES["title_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"keys=\[id#\d+L?, id_b#", plan) and not re.search(r"hashpartitioning\((id|id_b)#\d+L?, \d+\)", plan)
+
+
+def test_upsert_stages_values_of_last_rows_by_bucket(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"k{i % 5}", f"text {i}") for i in range(40)], "id long, k string, body string").repartition(3)
+    path = str(tmp_path / "t")
+    for outcomes in ({"saved": 5, "updated": 35}, {"updated": 40}):
+        found = sinks.upsert(path, df, F.col("k"), ["k", "body"], buckets=3)
+        files = found.inputFiles()
+        assert files and all("/_bucket=" in f and ".zstd." in f for f in files)
+        staged = spark.read.parquet(*files)
+        assert staged.where("body is not null").count() == staged.where("_final").count() == 5
+        counted = {r[0]: r[1] for r in found.groupBy(F.when(F.col("outcome") == "saved", "saved").otherwise("updated")).count().collect()}
+        assert counted == outcomes
+        assert sorted(r.body for r in sinks.stored(spark, path).collect()) == [f"text {i}" for i in range(35, 40)]
