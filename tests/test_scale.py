@@ -13,6 +13,7 @@ from strandline.functions import rules
 from strandline.operators import bootstrap, rows
 from strandline.plans import registry
 from strandline.sources import sinks
+from strandline.streaming import assignment
 
 
 def test_recovery_times_reads_the_log_once(spark, tmp_path):
@@ -130,3 +131,15 @@ def test_upsert_stages_values_of_last_rows_by_bucket(spark, tmp_path):
         counted = {r[0]: r[1] for r in found.groupBy(F.when(F.col("outcome") == "saved", "saved").otherwise("updated")).count().collect()}
         assert counted == outcomes
         assert sorted(r.body for r in sinks.stored(spark, path).collect()) == [f"text {i}" for i in range(35, 40)]
+
+
+def test_assignment_keeps_sets_of_open_events(spark):
+    rng = random.Random(2)
+    base = {"identifiers": [], "versions": [], "dates": [], "action": "", "polarity": "neutral", "modality": "reported", "place": "", "role": "wire", "weight": 1.0, "importance": 0.0, "alias": ""}
+    items = [{**base, "id": i, "time": i / 24, "tokens": rng.sample("abcdefghij", 4), "entities": rng.sample(["x", "y", "z"], 2), "versions": rng.choice([[], ["V1"], ["v2"]]), "origin": f"s{i % 3}", "duplicate_group": rng.choice(["", "g"])} for i in range(80)]
+    kept, plain, views = assignment.empty(), assignment.empty(), {}
+    told = [assignment.take(kept, i, views) for i in [*items, items[0]]]
+    assert told == [assignment.take(plain, i) for i in [*items, items[0]]] and kept == plain
+    assert set(views) == set(kept["events"]) and {t[2] for t in told} >= {"attach", "new", "idempotent"}
+    for k, e in kept["events"].items():
+        assert views[k] == {**assignment.view(e["signature"], e["tokens"]), "members": [set(m["tokens"]) for m in e["members"]]}
