@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import rules
 from strandline.operators import bootstrap, rows
 from strandline.plans import registry
-from strandline.sources import sinks
+from strandline.sources import sinks, views
 from strandline.streaming import assignment
 
 
@@ -143,3 +143,13 @@ def test_assignment_keeps_sets_of_open_events(spark):
     assert set(views) == set(kept["events"]) and {t[2] for t in told} >= {"attach", "new", "idempotent"}
     for k, e in kept["events"].items():
         assert views[k] == {**assignment.view(e["signature"], e["tokens"]), "members": [set(m["tokens"]) for m in e["members"]]}
+
+
+def test_headlines_take_the_standing_of_a_source_without_a_join(spark, tmp_path):
+    rows = [(1, "a\nb", "src4"), (2, "b", "src9"), (3, "c", "src14"), (4, None, None), (5, "d", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    h = views.headlines(spark, str(tmp_path))
+    joined = h.drop("stars", "kind", "enabled").join(views.sources(spark, str(tmp_path)).withColumnRenamed("authority", "kind"), "source_id", "left").select(h.columns)
+    key = lambda r: r.id
+    assert sorted(h.collect(), key=key) == sorted(joined.collect(), key=key) and len(h.columns) == len(set(h.columns))
+    assert "Join" not in h._jdf.queryExecution().optimizedPlan().toString()
