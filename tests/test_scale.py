@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import rules
 from strandline.operators import bootstrap, rows
-from strandline.plans import registry
+from strandline.plans import eventing, registry
 from strandline.sources import sinks, views
 from strandline.streaming import assignment
 
@@ -153,3 +153,12 @@ def test_headlines_take_the_standing_of_a_source_without_a_join(spark, tmp_path)
     key = lambda r: r.id
     assert sorted(h.collect(), key=key) == sorted(joined.collect(), key=key) and len(h.columns) == len(set(h.columns))
     assert "Join" not in h._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_arrivals_are_not_shuffled_and_tokens_fold_a_text_once(spark):
+    rows, events = eventing.arrivals(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2 and events.count() > 0
+    df = spark.createDataFrame([("The  ABC 地震多地死亡 x1",), (None,), ("地",)], "t string").repartition(1).select(rules.tokens(F.col("t")).alias("k"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [sorted(r.k) for r in df.collect()] == [sorted(["the", "abc", "x1", "地震", "震多", "多地", "地死", "死亡", "地震多", "震多地", "多地死", "地死亡"]), [], []]
