@@ -43,16 +43,16 @@ class Cluster:
     def keys(self) -> list[str]:
         return sorted({m["explicit_key"] for m in self.members} - {""})
 
-    def topic(self) -> str:
+    def topic(self, untitled: str = UNTITLED) -> str:
         worth = lambda m: min(5.0, m["n_text"] / 400.0) if m["score"] is None else m["score"] / 10.0
-        return max(self.members, key=lambda m: (worth(m), len(m["title"])))["title"] or UNTITLED
+        return max(self.members, key=lambda m: (worth(m), len(m["title"])))["title"] or untitled
 
-    def key(self) -> str:
-        """Its explicit key, else a hash of the first centroid tokens in order, else of the topic."""
+    def key(self, by_topic: bool = True) -> str:
+        """Its explicit key, else a hash of the first centroid tokens in order, else of the topic if keyed by that."""
         named = self.keys()
         if named:
             return named[0]
-        basis = " ".join(sorted(self.centroid)[:KEY_TOKENS]) or " ".join(self.topic().lower().split())
+        basis = " ".join(sorted(self.centroid)[:KEY_TOKENS]) or (" ".join(self.topic().lower().split()) if by_topic else "")
         return hashlib.sha1(basis.encode()).hexdigest()[:16]
 
     def band(self) -> str:
@@ -98,12 +98,14 @@ def fold(entries: Sequence[dict]) -> list[Cluster]:
 SCHEMA = "cluster int, id long, event_key string, topic string, band string, best_similarity double, reasons string, size int, sources string, centroid string"
 
 
-def greedy(entries: DataFrame, window: str = "window", limit: int = 200, excluded: Sequence[str] = ()) -> DataFrame:
+def greedy(entries: DataFrame, window: str = "window", limit: int = 200, excluded: Sequence[str] = (), untitled: str = UNTITLED, by_topic: bool = True) -> DataFrame:
     """A row for each of the `limit` best entries of a window, with its cluster and what the cluster is.
 
     entries has the window, id, title, tokens (array), n_text (length of title and summary), score (0 to 100 or null),
     explicit_key, duplicate_group and source. They are taken by score (null last), length of title, then id. Clusters whose
     key is excluded are left out. Null strings count as empty; an entry without tokens stands alone.
+    untitled is the topic of a cluster without titles; by_topic keys a cluster without centroid by its topic, else they share
+    the key of an empty text.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     e = entries.select(
@@ -119,9 +121,9 @@ def greedy(entries: DataFrame, window: str = "window", limit: int = 200, exclude
             r["tokens"], r["score"] = set(r["tokens"]), None if pd.isna(r["score"]) else r["score"]
         out = []
         for number, c in enumerate(fold(ordered)):
-            key = c.key()
+            key = c.key(by_topic)
             if key not in skipped:
-                same = (key, c.topic(), c.band(), c.best, ",".join(c.reasons()), len(c.members), ",".join(sorted({m["source"] for m in c.members} - {""})), " ".join(sorted(c.centroid)))
+                same = (key, c.topic(untitled), c.band(), c.best, ",".join(c.reasons()), len(c.members), ",".join(sorted({m["source"] for m in c.members} - {""})), " ".join(sorted(c.centroid)))
                 out += [(m["window"], number, m["id"], *same) for m in c.members]
         return pd.DataFrame(out, columns=["window", *(part.split()[0] for part in SCHEMA.split(", "))])
 

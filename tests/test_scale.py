@@ -162,3 +162,15 @@ def test_arrivals_are_not_shuffled_and_tokens_fold_a_text_once(spark):
     df = spark.createDataFrame([("The  ABC 地震多地死亡 x1",), (None,), ("地",)], "t string").repartition(1).select(rules.tokens(F.col("t")).alias("k"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert [sorted(r.k) for r in df.collect()] == [sorted(["the", "abc", "x1", "地震", "震多", "多地", "地死", "死亡", "地震多", "震多地", "多地死", "地死亡"]), [], []]
+
+
+def test_greedy_clusters_equal_their_sql_on_entries_without_titles_or_tokens(spark, tmp_path):
+    texts = {10: None, 22: "", 34: "\nSecond line only with words", 46: "!!! ---", 58: "Ünï é", 11: "plain words here", 40: None, 1210: "", 1222: "я не"}
+    rows = [(i, t, "src4" if i % 4 else None, "en") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["greedy_clusters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(registry.ORACLE["greedy_clusters"])
+    names = [d[0] for d in cur.description]
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, cur.fetchall())) and df.count() == len(rows)
