@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: rows of one key that meet their partners in one task.
-BLOCK = 4096
+# Rows of one key that meet their partners in one task; ids that follow each other for a row's pairs.
+BLOCK, RUN = 4096, 256
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
@@ -82,6 +82,38 @@ def identity_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], id_
     return met.where(~told).select("left_id", "right_id")
 
 
+def identity_pairs(df: DataFrame, keys: Sequence[str], id_: str = "id", block: int = BLOCK, run: int = RUN) -> DataFrame:
+    """left_id < right_id: each pair of ids that share any of several keys, told under the first key they share.
+
+    Values travel once, as digests; a key's ids are gathered in order into blocks of at most `block` ids that agree in the
+    earlier keys, and only blocks meet. Pairs come in runs: the same `run` right ids for one left id after the other. Their
+    number is the square of a group, and columnar files keep such repeats in a small part of what mixed pairs take.
+    """
+    kinds, seen = range(len(keys)), [f"seen{i}" for i in range(len(keys) - 1)]
+    told = df.select(F.col(id_).alias("id"), *[F.unhex(F.md5(F.concat(F.lit(f"{i}:"), F.col(k).cast("string")))).alias(f"d{i}") for i, k in enumerate(keys)]).where("id is not null")
+    earlier = lambda at: [(F.col(f"d{i}") if i < at else F.lit(None).cast("binary")).alias(name) for i, name in enumerate(seen)]
+    rows = told.select("id", F.inline(F.array(*[F.struct(F.col(f"d{at}").alias("key"), *earlier(at)) for at in kinds]))).where("key is not null")
+    own = Window.partitionBy("key")
+    placed = rows.select("*", F.row_number().over(own.orderBy("id")).alias("at"), F.count("*").over(own).alias("n")).where("n > 1")
+    number = lambda at: F.floor((F.col(at) - 1) / block).cast("int")
+    blocks = placed.groupBy("key", *seen, number("at").alias("block"), number("n").alias("last")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+    def dealt_out(low: str, high: str, partner: Column, *renamed: Column) -> DataFrame:
+        side = blocks.withColumn("partner", F.explode(partner)).select("key", F.col(low).alias("i"), F.col(high).alias("j"), *renamed)
+        return side.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")  # a number, as bytes of blocks don't tell their pairs
+
+    left = dealt_out("block", "partner", F.sequence("block", "last"), *[F.col(c).alias(f"l_{c}") for c in ("ids", *seen)])
+    right = dealt_out("partner", "block", F.sequence(F.lit(0), "block"), *[F.col(c).alias(f"r_{c}") for c in ("ids", *seen)])
+    met = left.join(right.hint("merge"), ["key", "i", "j"])
+    for c in seen:
+        met = met.where(~F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False)))
+    starts = F.sequence(F.lit(1), F.size("r_ids"), F.lit(run))
+    parts = met.select("l_ids", F.explode(F.transform(starts, lambda at: F.slice("r_ids", at, run))).alias("run"))
+    # The filter is a lambda, which ends the generated loop: else Spark holds all pairs of two blocks before it hands on the first.
+    lefts = parts.select(F.explode(F.filter("l_ids", lambda left: left < F.element_at("run", -1))).alias("left_id"), "run")
+    return lefts.select("left_id", F.explode("run").alias("right_id")).where("left_id < right_id")
+
+
 def runs(df: DataFrame, group: str, order: Sequence[str], starts: Column, name: str = "run") -> DataFrame:
     """Numbers runs of rows: a new one begins where `starts` holds."""
     w = Window.partitionBy(group).orderBy(*order)

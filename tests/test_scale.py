@@ -107,6 +107,27 @@ def test_identity_matches_tells_each_pair_once_without_a_shuffle_of_pairs(spark)
     assert "hashpartitioning(left_id" not in top and "HashAggregate(keys=[left_id" not in top
 
 
+@pytest.mark.parametrize(("block", "run"), [(1, 1), (3, 2), (7, 256), (4096, 256)])
+def test_identity_pairs_tell_each_pair_once_in_blocks(spark, block, run):
+    rng = random.Random(8)
+    data = [(i if i % 41 else None, rng.choice([None, "", "a", "b", "c"]), rng.choice([None, "a", "x", "y"]), rng.choice([None, *"pqrstuvw"])) for i in range(1, 200)]
+    df = spark.createDataFrame(data, "id long, t string, s string, u string").repartition(3)
+    same = lambda a, b: any(x is not None and x == y for x, y in zip(a[1:], b[1:], strict=True))
+    rest = [r for r in data if r[0] is not None]
+    assert sorted(map(tuple, rows.identity_pairs(df, ["t", "s", "u"], block=block, run=run).collect())) == sorted((a[0], b[0]) for a in rest for b in rest if a[0] < b[0] and same(a, b))
+
+
+def test_identity_links_are_kept_small_and_carry_no_titles(spark, tmp_path):
+    n = 1500
+    texts = [(i * 37, f"A title of more than thirty characters, the same for all\n{i}") for i in range(n)]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumns({"source": F.lit("src1"), "lang": F.lit("en")}).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["identity_links"](spark, str(tmp_path))
+    df.write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert df.count() == n * (n - 1) // 2 and size < 0.4 * df.count()
+    assert not re.search(r"Exchange hashpartitioning\(kind", df._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("block", [1, 3, 100])
 def test_dealt_joins_large_keys_in_blocks(spark, block):
     a = spark.createDataFrame([(i, i % 4) for i in range(40)], "i long, k long").repartition(3)
