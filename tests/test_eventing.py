@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import rules
 from strandline.operators import clustering, oplog, rebalance
-from strandline.plans import eventing
+from strandline.plans import eventing, registry
 from strandline.sources import sinks
 from strandline.streaming import assignment
 
@@ -112,6 +112,46 @@ def test_assignment_decisions():
     assert take(6, entities=["else"], versions=[], action="", tokens=["other"])[2:4] == ("new", "same_event")
 
 
+def test_headlines_meet_events_of_other_days_and_first_entities(spark, tmp_path):
+    text = "Harbour plan of Acme approved by the council after long debate"
+    rows = [(12, text, "src2"), (12 + 1440, text, "src6"), (13 + 2880, text, "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r for r in registry.QUERIES["online_assignments"](spark, str(tmp_path)).collect()}
+    assert got[1452].decision == "attach" and got[1452].event_id == got[12].event_id and got[2893].candidates == 1
+    whole = [r.asDict() for r in eventing.items(spark, SF).orderBy("time", "id").collect()]
+    state, views = assignment.empty(), {}
+    want = sorted(assignment.take(state, i, views) for i in whole)
+    assert sorted(tuple(r)[1:] for r in registry.QUERIES["online_assignments"](spark, SF).collect()) == want
+
+
+def test_index_tells_what_comparing_with_every_event_tells(monkeypatch):
+    monkeypatch.setattr(assignment, "OPEN_EVENTS", 21)
+    monkeypatch.setattr(assignment, "CANDIDATES", 4)
+    rng = random.Random(11)
+    some = lambda x, n: rng.sample(x, rng.randrange(n + 1))
+    state, plain, views, told = assignment.empty(), assignment.empty(), {}, []
+    index = assignment.Index(state, views)
+    for i in range(900):
+        item = {"id": i if rng.random() < 0.95 else rng.randrange(i + 1), "time": i * 0.4, "tokens": some("abcdefghijkl", 6), "entities": some(["x", "y", "z", "w"], 4), "identifiers": some(["A1", "a1", "B2"], 1), "versions": some(["1.0", "2.0"], 1), "dates": [], "action": rng.choice(["", "launch", "sue"])}
+        item |= {"polarity": rng.choice(["positive", "negative", "neutral"]), "modality": rng.choice(["reported", "confirmed"]), "place": rng.choice(["", "", "oslo", "rome"]), "role": rng.choice(["wire", "commentary", "original"]), "origin": f"s{i % 3}", "weight": 1.0, "importance": 30.0, "duplicate_group": rng.choice(["", "", "g", "h"]), "alias": rng.choice(["", "", "", "p"])}
+        told.append(assignment.take(state, item, views, index))
+        assert told[-1] == assignment.take(plain, item) and list(state["events"]) == list(plain["events"]), i
+        if i % 50 == 0:
+            for held in (state, plain):
+                next(iter(held["events"].values()))["status"] = "closed"
+            index.put(next(iter(state["events"].values())))
+    assert state == plain and {t[2] for t in told} == {"new", "review_new", "attach", "idempotent"} and len(index.slots) == 21
+    assert set(index.rows) == set().union(*index.terms) and not index.bits[index.unused].any()
+
+
+def test_a_batch_tells_a_repeated_item_its_event(spark, items):
+    whole = assignment.prepared(items)
+    once, twice = ({tuple(r) for r in assignment.assigned(x).collect()} for x in (whole, whole.union(whole.where("id < 20"))))
+    events = {r[1]: r[2] for r in once}
+    again = [r for r in twice if r[3] == "idempotent"]
+    assert once == {r for r in twice if r[3] != "idempotent"} and len(again) == 20 and all(r[2] == events[r[1]] for r in again)
+
+
 def plain_pairs(events):
     blocks, seen, out = {}, set(), []
     for e in sorted(events, key=lambda e: e.event_id):
